@@ -103,6 +103,20 @@ class Benchmark:
         return found
 
 
+def matches(texts: pa.Array, bench: Benchmark, share: float, least: int) -> Iterator[tuple[int, int, int, int, list]]:
+    """Row, item_id, the item's words, covered words and tiles, where the coverage reaches ``share``."""
+    data, bounds = text_bytes(texts)
+    for a, b in slices(bounds, SLICE_BYTES):
+        part = data[bounds[a] : bounds[b]]
+        for row, items in sorted(bench.items_of(part, bounds[a : b + 1] - bounds[a], least).items()):
+            words = _WORD.findall(_LETTER[data[bounds[a + row] : bounds[a + row + 1]]].tobytes())
+            for n in sorted(items):
+                tiles = tile(words, bench.words[n], least)
+                covered = sum(t[2] for t in tiles)
+                if covered >= share * len(bench.words[n]):
+                    yield a + row, bench.ids[n], len(bench.words[n]), covered, tiles
+
+
 def _blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of about BLOCK_WORDS words, by ranges of their hash, so that none is too large to hold."""
     rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
@@ -120,31 +134,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, leas
     items of fewer than ``least`` words match nothing. Documents aren't shuffled.
     """
     schema = "doc_id long, item_id long, item_words int, covered int, coverage double, tiles array<struct<doc_word:int,item_word:int,length:int>>"
-    tile_type = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))]
     out = None
     for items in _blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = shared.value
             for batch in batches:
-                data, bounds = text_bytes(batch.column(1))
-                ids, found = batch.column(0), []
-                for a, b in slices(bounds, SLICE_BYTES):
-                    part = data[bounds[a] : bounds[b]]
-                    for row, items_here in sorted(bench.items_of(part, bounds[a : b + 1] - bounds[a], least).items()):
-                        words = _WORD.findall(_LETTER[data[bounds[a + row] : bounds[a + row + 1]]].tobytes())
-                        for n in sorted(items_here):
-                            tiles = tile(words, bench.words[n], least)
-                            covered = sum(t[2] for t in tiles)
-                            if covered >= share * len(bench.words[n]):
-                                found.append((ids[a + row].as_py(), bench.ids[n], len(bench.words[n]), covered, covered / len(bench.words[n]), [{"doc_word": i, "item_word": j, "length": k} for i, j, k in tiles]))
+                found = [
+                    (batch.column(0)[row].as_py(), number, words, covered, covered / words, [{"doc_word": i, "item_word": j, "length": k} for i, j, k in tiles])
+                    for row, number, words, covered, tiles in matches(batch.column(1), shared.value, share, least)
+                ]
                 columns = list(zip(*found)) or [()] * 6
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), tile_type]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item is covered in (see ``contaminated``), without a shuffle."""
+    at = docs.columns.index(text)
+    for items in _blocks(benchmark, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[m[0] for m in matches(batch.column(at), shared.value, share, least)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -26,6 +26,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: Cell entries that one task takes, about; and members of a cell that are compared at once.
 BUCKET_ENTRIES, BLOCK = 2_000_000, 1024
+#: Least Jaccard similarity of sets of shingles that counts as a near copy.
+SIMILAR = 0.8
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -108,10 +110,10 @@ def _coded(values: np.ndarray) -> np.ndarray:
 
 
 def linked_in_cells(cells: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) that join what is linked within cells; at most one for each member.
+    """Edges (row, row) that join what is linked within cells, few for each member.
 
-    ``cells`` is sorted. Pairs of a cell are compared in blocks; of the pairs within ``radius``
-    only those that join separate parts are returned.
+    ``cells`` is sorted. Small cells give their pairs within ``radius``; those of large cells are
+    compared in blocks and only edges that join separate parts are returned.
     """
     bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else np.zeros(1, np.int64)
     sizes = np.diff(bounds)
@@ -127,29 +129,42 @@ def linked_in_cells(cells: np.ndarray, words: np.ndarray, radius: int) -> tuple[
         found.append((left[near], left[near] + step))
         step += 1
     for a, n in zip(bounds[:-1][sizes > 32], sizes[sizes > 32]):
-        parts = np.arange(n)  # smallest member that each is joined to
+        edges = []
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
                 x, y = words[a + i : a + min(i + BLOCK, n)], words[a + j : a + min(j + BLOCK, n)]
                 apart = sum(np.bitwise_count(x[:, None, w] ^ y[None, :, w]).astype(np.int16) for w in range(words.shape[1]))
                 p, q = np.nonzero(apart <= radius)
-                p, q = p + i, q + j
-                p, q = p[p < q], q[p < q]
-                while len(p):
-                    u, v = parts[p], parts[q]
-                    p, q = p[u != v], q[u != v]
-                    if len(p):
-                        u, v = np.minimum(parts[p], parts[q]), np.maximum(parts[p], parts[q])
-                        np.minimum.at(parts, v, u)
-                        while (parts[parts] != parts).any():
-                            parts = parts[parts]
-        joined = np.flatnonzero(parts != np.arange(n))
-        found.append((a + joined, a + parts[joined]))
+                parts = joined(n, *(np.concatenate(e) for e in zip(*edges, (p + i, q + j))))
+                edges = [(np.flatnonzero(parts != np.arange(n)), parts[parts != np.arange(n)])]
+        found.extend((a + p, a + q) for p, q in edges)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest member that each of ``n`` is joined to by edges."""
+    parts = np.arange(n)
+    while len(p):
+        u, v = parts[p], parts[q]
+        p, q = p[u != v], q[u != v]
+        if len(p):
+            u, v = parts[p], parts[q]
+            np.minimum.at(parts, np.maximum(u, v), np.minimum(u, v))
+            while (parts[parts] != parts).any():
+                parts = parts[parts]
+    return parts
+
+
+def joined_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Edges (a, b) from each node to the smallest it is joined to, one at most for each."""
+    ids, which = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parts = joined(len(ids), which[: len(a)], which[len(a) :])
+    at = np.flatnonzero(parts != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[parts[at]], pa.int64())})
+
+
 def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int = 2, reach: int = 2, sizes: bool = False) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints are within ``radius`` bits and whose cells meet.
 
@@ -171,10 +186,13 @@ def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int
                 node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 words = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for i in range(n)], axis=1)
                 rows, codes = map(np.concatenate, zip(*cell_codes(words, groups, segment_bits, reach)))
-                if sizes:  # a class of sizes holds ratios up to 1.25; each row visits the next as well
-                    kind = np.floor(np.log(np.maximum(batch.column(1 + n).to_numpy(zero_copy_only=False), 1)) / np.log(1.25) + 1e-9).astype(np.int64).view(U64)[rows]
-                    codes = np.concatenate([codes + kind * U64(0xD1342543DE82EF95), codes + (kind + U64(1)) * U64(0xD1342543DE82EF95)])
-                    rows = np.concatenate([rows, rows])
+                if sizes:  # a class of sizes goes up to twice its least; a size whose partners may be larger visits the next
+                    size = np.maximum(batch.column(1 + n).to_numpy(zero_copy_only=False), 1).astype(np.float64)
+                    kind = np.floor(np.log2(size) + 1e-12)
+                    above = (np.floor(np.log2(size / SIMILAR) + 1e-9) > kind)[rows]
+                    kind = kind.astype(np.int64).view(U64)[rows]
+                    codes = np.concatenate([codes + kind * U64(0xD1342543DE82EF95), (codes + (kind + U64(1)) * U64(0xD1342543DE82EF95))[above]])
+                    rows = np.concatenate([rows, rows[above]])
                 bucket = (codes >> U64(32)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 rows, codes, bucket = rows[order], codes[order], bucket[order]
@@ -189,9 +207,7 @@ def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int
         rows = rows[~alone]
         p, q = linked_in_cells(rows[:, 0], rows[:, 2:], radius)
         ids = rows[:, 1].view(np.int64)
-        pairs = np.unique(np.stack([np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return joined_table(ids[p], ids[q])
 
     entries = nodes.select("node", *names, *(["n_shingles"] if sizes else [])).mapInArrow(spread, "bucket long, entries binary")
     return entries.groupBy("bucket").applyInArrow(linked, "a long, b long")
@@ -216,3 +232,91 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
         prints.join(named.select("fp0", "root").join(smallest, "root").select("fp0", "component_id"), "fp0")
         .select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def similar_pairs(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted sets of numbers whose Jaccard similarity is ``least`` or more.
+
+    Only numbers of two sets or more can be shared; those make a matrix of bits, row against rows.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    width = int(place[-1]) + 1 if len(values) else 0
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[which] > 1
+    bits = np.zeros((len(sets), -(-max(1, width) // 64)), U64)
+    np.bitwise_or.at(bits, (row[shared], place[which[shared]] >> 6), U64(1) << (place[which[shared]] & 63).astype(U64))
+    p, q = [], []
+    for i in range(len(sets) - 1):
+        both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(both >= least * (sizes[i] + sizes[i + 1 :] - both) - 1e-9)
+        p.append(np.full(len(near), i))
+        q.append(i + 1 + near)
+    return np.concatenate([*p, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*q, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+#: Members of a candidate group that one task compares with as many others.
+GROUP = 1024
+
+
+def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges (a, b) of nodes of one candidate group whose shingle sets are similar.
+
+    ``members``: node, root. Groups of up to GROUP members are compared whole, several in a task;
+    a larger one is cut into parts, and each two parts are compared in a task of their own.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    tasks = max(16, members.count() // GROUP)
+    parts = F.ceil(F.col("n") / GROUP)
+    placed = (
+        members.join(sizes, "root")
+        .withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts))
+        .withColumn("other", F.explode(F.when(parts == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
+        .select("node", "root", F.when(F.col("other") < 0, F.pmod("root", F.lit(tasks))).otherwise(F.col("root")).alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    )
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles(t, words)]), ">u8")).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "set"])
+
+    wanted = rows.join(members.select(F.col("node").alias("_key")), "_key", "left_semi").select("_key", "_text").dropDuplicates(["_key"])
+    sets = wanted.mapInArrow(sets_of, "node long, set binary")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("root")
+        roots, nodes = table.column("root").to_numpy(), table.column("node").to_numpy()
+        held = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
+        cut = np.flatnonzero(np.r_[True, roots[1:] != roots[:-1], True])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(cut, cut[1:]):
+            p, q = similar_pairs(held[x:y], least)
+            a.append(nodes[x + p])
+            b.append(nodes[x + q])
+        return joined_table(np.concatenate(a), np.concatenate(b))
+
+    return placed.join(sets, "node").groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near copies: of each group the one with the smallest id stays.
+
+    Texts are near copies if their sets of five-word shingles have a Jaccard similarity of
+    ``least`` or more, and so are those linked through others. Candidates come from two SimHash
+    fingerprints of the set: of eight groups of 16 bits one has to meet in the popcount grid, and
+    28 of the 128 bits may differ (at a similarity of 0.8 about 19 do). Candidates are verified
+    on the whole sets. Equal sets (so equal texts, and all texts without words) are copies; rows
+    without an id lose to those with one; of rows with one id one stays.
+    """
+    rows = docs.withColumns({"_text": F.col(text), "_key": F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))})
+    prints = kept(fingerprints(rows.select("_key", "_text"), words, (42, 43), distinct=True, key="_key", text="_text"))
+    nodes = kept(prints.groupBy("shingle_key").agg(F.min("doc_id").alias("node"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("n_shingles").alias("n_shingles")))
+    roots = connected_components(grid_links(nodes, 28, groups=8, reach=1, sizes=True))
+    verified = connected_components(_verified(rows.select("_key", "_text"), kept(roots), words, least))
+    losing = nodes.join(verified.where("node <> root").select("node"), "node", "left_semi").select("shingle_key")
+    lost = prints.join(nodes.select("shingle_key", "node"), "shingle_key").where("doc_id <> node").select("doc_id").union(prints.join(losing, "shingle_key", "left_semi").select("doc_id"))
+    left = rows.join(lost.distinct().withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    if prints.count() > prints.select("doc_id").distinct().count():
+        left = left.dropDuplicates(["_key"])
+    return left.select(*docs.columns)
