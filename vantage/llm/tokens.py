@@ -12,7 +12,8 @@ END = 2
 #: Texts of these characters need no Unicode rules: printable ASCII, white space, Latin-1 letters.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-MAX_WORDS = 400_000
+#: Words that a worker remembers, about 250 bytes each.
+MAX_WORDS = 1_200_000
 
 
 class WordIds(dict):
