@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import ann, decontam, langid, packing, sharding, simhash, substring, toxicity, urlfilter
+from vantage.llm import ann, decontam, langid, packing, sharding, simhash, substring, tokenstore, toxicity, urlfilter
+from vantage.llm.common import shared_dir
 
 #: Fixed rules of the url query: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -56,6 +58,12 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenstore.write_tokens(_table(spark, sf_dir, "documents"), path)
+    return tokenstore.read_tokens(spark, path, with_ids=False)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -74,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
         "op7_ann": op7_ann,
+        "op8_token_files": op8_token_files,
         "op9_url_filter": op9_url_filter,
         "op10_sharding": op10_sharding,
     }
