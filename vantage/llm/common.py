@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Text is hashed in slices of about so many bytes, so that the work arrays stay small.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from vantage.llm.common import U64, mixed, slices
 
@@ -38,8 +38,8 @@ UNKNOWN = "und"
 #: n-grams are hashed to so many features.
 FEATURES = 1 << 16
 #: Words of which a task remembers the scores.
-MAX_WORDS = 300_000
-SLICE_BYTES = 6 << 20
+MAX_WORDS = 150_000
+SLICE_BYTES = 2 << 20
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     base = docs.drop(*[c for c in added if c != text])
     schema = StructType([*base.schema.fields]).add("lang_pred", "string").add("score", "double")
     if spans:
-        schema = schema.add("spans", "array<struct<first:int,last:int,lang:string>>")
+        schema = schema.add("spans", ArrayType(StructType().add("first", "integer").add("last", "integer").add("lang", "string")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = base.columns
 

@@ -13,7 +13,7 @@ END = 2
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Words that a worker remembers, about 250 bytes each.
-MAX_WORDS = 1_200_000
+MAX_WORDS = 500_000
 
 
 class WordIds(dict):
