@@ -78,13 +78,13 @@ def is_building_id(text: Column) -> Column:
 
 
 def inches(feet: Column) -> Column:
-    """Rounded half away from zero and held to 0..65535."""
-    return F.least(F.greatest(F.round(feet * 12), F.lit(0.0)), F.lit(65535.0)).cast("int")
+    """Rounded half away from zero and held to 0..65535; null stays null (greatest alone would skip it)."""
+    return F.when(feet.isNotNull(), F.least(F.greatest(F.round(feet * 12), F.lit(0.0)), F.lit(65535.0)).cast("int"))
 
 
 def inches_cut(feet: Column) -> Column:
     """Cut to whole inches and held to 0..65535."""
-    return F.floor(F.least(F.greatest(feet * 12, F.lit(0.0)), F.lit(65535.0))).cast("int")
+    return F.when(feet.isNotNull(), F.floor(F.least(F.greatest(feet * 12, F.lit(0.0)), F.lit(65535.0))).cast("int"))
 
 
 def fraction_byte(value: Column) -> Column:

@@ -25,10 +25,10 @@ def las_name(e: Column, n: Column) -> Column:
 
 
 def parse_las_name(name: Column) -> Column:
-    """Struct (e, n) of components; null for what isn't a name. Eastings below 200 are from 1000 on."""
+    """Struct (e, n) of components; null for what isn't a name. Eastings below 500 are from 1000 on."""
     n = F.expr("1").cast("int") * F.right(name, F.lit(3)).try_cast("int")
     head = F.when(F.length(name) > 3, F.expr("1").cast("int") * F.substr(name, F.lit(1), F.length(name) - 3).try_cast("int")).otherwise(1000)
-    e = F.when(head < 200, head + 1000).otherwise(head)
+    e = F.when(head < 500, head + 1000).otherwise(head)
     fits = name.rlike(r"^[0-9]{1,6}\z") & (n % 10).isin(0, 2, 5, 7) & (e % 10).isin(0, 2, 5, 7)
     return F.when(fits, F.struct(e.alias("e"), n.alias("n")))
 

@@ -89,16 +89,21 @@ def rooftop_samples(polygons: DataFrame, cells: DataFrame, spacing: float, mast:
 def nearest_status(cells: DataFrame, samples: DataFrame, reach: int) -> DataFrame:
     """bin, e, n and status of the nearest sample (bin, x, y, sample_id, status) of each cell; ties to the smaller id.
 
-    Samples come from the roof's cells within ``reach`` feet (equi-join by squares of that size);
-    a cell without one is compared with all samples of its roof.
+    Cells meet the samples of their square of ``reach`` feet and of those around it; a sample
+    within ``reach`` is then the nearest. Cells without one go on with twice the reach. Cells of
+    roofs without samples are left out.
     """
     dist = (F.col("x") - F.col("e") - 0.5) * (F.col("x") - F.col("e") - 0.5) + (F.col("y") - F.col("n") - 0.5) * (F.col("y") - F.col("n") - 0.5)
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    square = lambda c: F.floor(F.col(c) / reach)
-    spread = samples.select("bin", "x", "y", "sample_id", "status", square("x").alias("sx"), square("y").alias("sy"), step.alias("s"))
-    spread = spread.select("bin", "x", "y", "sample_id", "status", (F.col("sx") + F.col("s.i")).alias("cx"), (F.col("sy") + F.col("s.j")).alias("cy"))
-    keyed = cells.select("bin", "e", "n", square("e").alias("cx"), square("n").alias("cy"))
-    best = lambda df: df.groupBy("bin", "e", "n").agg(F.min_by("status", F.struct(dist.alias("d"), "sample_id")).alias("status"))
-    near = best(keyed.join(spread, ["bin", "cx", "cy"]).where(dist <= reach * reach))
-    rest = keyed.join(near, ["bin", "e", "n"], "left_anti")
-    return near.unionByName(best(rest.select("bin", "e", "n").join(samples, "bin")))
+    rest, found = cells.select("bin", "e", "n").join(samples.select("bin").distinct(), "bin", "left_semi"), None
+    while True:
+        square = lambda c, size=reach: F.floor(F.col(c) / size)
+        spread = samples.select("bin", "x", "y", "sample_id", "status", square("x").alias("sx"), square("y").alias("sy"), step.alias("s"))
+        spread = spread.select("bin", "x", "y", "sample_id", "status", (F.col("sx") + F.col("s.i")).alias("cx"), (F.col("sy") + F.col("s.j")).alias("cy"))
+        keyed = rest.withColumns({"cx": F.floor((F.col("e") + 0.5) / reach), "cy": F.floor((F.col("n") + 0.5) / reach)})
+        near = keyed.join(spread, ["bin", "cx", "cy"]).where(dist <= reach * reach).groupBy("bin", "e", "n").agg(F.min_by("status", F.struct(dist.alias("d"), "sample_id")).alias("status"))
+        found = near if found is None else found.unionByName(near)
+        rest = rest.join(near, ["bin", "e", "n"], "left_anti")
+        if rest.isEmpty():
+            return found
+        reach *= 2

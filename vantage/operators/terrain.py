@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions import geometry, tiles
+from vantage.functions.normalize import inches
 from vantage.operators.raster import rasterize
 
 #: Bytes of a raster (two a cell) above which it is cut into one for each tile.
 RASTER_BYTES = 1_048_576
-TYPES = ["building_footprint", "new_construction_footprints", "new_construction_co", "active_permits", "approved_job_applications", "recent_job_applications"]
+# The types of obstructions.
+TYPES = ["active_permits", "approved_job_applications", "non_surveyed_bridge", "new_construction_co", "new_construction_footprints", "recent_job_applications"]
 
 
 def box_tiles(boxes: DataFrame, *keep: str) -> DataFrame:
@@ -93,8 +95,7 @@ def obstructions_from(rows: DataFrame, elevation: DataFrame) -> DataFrame:
     parsed = usable.where(~F.upper(F.trim("output_geometry")).startswith("MULTI")).withColumn("rings", geometry.parse_wkt(F.col("output_geometry"))).where(F.col("rings").isNotNull())
     named = parsed.withColumn("obstruction_id", F.substring(F.sha2(F.concat_ws("|", "type", "output_geometry", "props"), 256), 1, 32))
     grounds = ground_under(named.where("ground_elevation IS NULL"), elevation, "obstruction_id").dropDuplicates(["obstruction_id"])
-    total = (F.coalesce("ground_elevation", "ground") + F.col("height_roof")) * 12
-    tall = F.least(F.greatest(F.round(total), F.lit(0.0)), F.lit(65535.0)).cast("int")
+    tall = inches(F.coalesce("ground_elevation", "ground") + F.col("height_roof"))
     return named.join(grounds, "obstruction_id", "left").withColumn("h_in", tall).where("h_in IS NOT NULL").select(
         "obstruction_id", "type", "props", "h_in", "rings", geometry.bounds(F.col("rings")).alias("box")
     )

@@ -166,11 +166,11 @@ def borough_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tiles
 
-_SPREAD = "SELECT l_orderkey, l_linenumber, 200000 + (l_orderkey * 137 + l_linenumber * 911) % 990000 AS e, (l_partkey * 773) % 400000 AS n FROM lineitem"
+_SPREAD = "SELECT l_orderkey, l_linenumber, 500000 + (l_orderkey * 137 + l_linenumber * 911) % 990000 AS e, (l_partkey * 773) % 400000 AS n FROM lineitem"
 
 
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(200000) + (F.col("l_orderkey") * 137 + F.col("l_linenumber") * 911) % 990000).alias("e"), ((F.col("l_partkey") * 773) % 400000).alias("n"))
+    return S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(500000) + (F.col("l_orderkey") * 137 + F.col("l_linenumber") * 911) % 990000).alias("e"), ((F.col("l_partkey") * 773) % 400000).alias("n"))
 
 
 def _keys() -> tuple[Column, Column]:
@@ -245,8 +245,8 @@ cells AS (SELECT g.e, g.n, coalesce((height * 12)::INT, 0) AS h_in, coalesce(poi
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole grid: cells without points have a count of 0 and no class."""
-    axis = lambda start, name: spark.range(_SIDE).select((F.col("id") + start).cast("int").alias(name))
-    grid = axis(S.EAST, "e").crossJoin(axis(S.NORTH, "n"))  # the grid itself, side times side cells
+    side = F.sequence(F.lit(S.NORTH), F.lit(S.NORTH + _SIDE - 1))
+    grid = spark.range(S.EAST, S.EAST + _SIDE).select(F.col("id").cast("int").alias("e"), F.explode(side).alias("n"))
     known = raster.height_grid(S.points(spark, sf_dir, _SIDE))
     kind = F.when(F.col("height").isNull(), 0).when((F.col("veg") > 0) & (F.col("veg") >= F.col("height") - 5), 1).otherwise(2)
     return grid.join(known, ["e", "n"], "left").select("e", "n", F.coalesce((F.col("height") * 12).cast("int"), F.lit(0)).alias("h_in"), F.coalesce("points", F.lit(0)).alias("points"), kind.alias("class"))
