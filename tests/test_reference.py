@@ -304,7 +304,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_streamed_tiles_equal_the_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(r, c, float((r * 7 + c) % 5)) for r in range(0, 1200, 40) for c in range(0, 1000, 100)], "row long, col long, feet double")
+    rows = spark.createDataFrame([(r, c, float((r // 40 * 7 + c // 100) % 5)) for r in range(0, 1200, 40) for c in range(0, 1000, 100)], "row long, col long, feet double")
     for first in range(0, 1200, 200):  # files are read in the order of their times
         rows.where(F.col("row").between(first, first + 199)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = refresh.stream_tiles(refresh.read_strips(spark, str(tmp_path / "in"), 1))
