@@ -6,7 +6,7 @@ side (gaps, unclassified cells) to its neighbours and join, instead of nine copi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions import geometry, tiles
@@ -72,22 +72,33 @@ def fill_vegetation(cells: DataFrame) -> DataFrame:
 
 
 def replace_outliers(cells: DataFrame, limit: float = 180.0) -> DataFrame:
-    """bin, e, n, h_in of masked roof cells: a height further than ``limit`` inches from its neighbours' mean becomes the mean, rounded."""
-    own = cells.select("bin", "e", "n", "h_in")
-    near = around(own, "bin").join(own, ["bin", "e", "n"])
-    means = near.groupBy("bin", F.col("te").alias("e"), F.col("tn").alias("n")).agg((F.sum("h_in") / F.count(F.lit(1))).alias("mean"))
-    return own.join(means, ["bin", "e", "n"], "left").select("bin", "e", "n", F.when(F.abs(F.col("h_in") - F.col("mean")) > limit, F.round("mean").cast("int")).otherwise(F.col("h_in")).alias("h_in"))
+    """bin, e, n, h_in of masked roof cells: a height further than ``limit`` inches from its neighbours' mean becomes the mean, rounded.
+
+    Each cell is spread over its row's three places and added up there, and these sums over three
+    along each column: three rows a cell instead of eight, and no join.
+    """
+    across = cells.select("bin", "e", "n", "h_in", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d")).withColumn("at", F.col("e") + F.col("d"))
+    own = F.max(F.when(F.col("at") == F.col("e"), F.col("h_in"))).alias("h_in")
+    rows = across.groupBy("bin", F.col("at"), "n").agg(F.sum("h_in").alias("s"), F.count(F.lit(1)).alias("c"), own).withColumnRenamed("at", "e")
+    column = Window.partitionBy("bin", "e").orderBy("n").rangeBetween(-1, 1)
+    nine = rows.withColumns({"s": F.sum("s").over(column), "c": F.sum("c").over(column)}).where("h_in IS NOT NULL")
+    mean = (F.col("s") - F.col("h_in")) / F.nullif(F.col("c") - 1, F.lit(0))
+    return nine.select("bin", "e", "n", F.when(F.abs(F.col("h_in") - mean) > limit, F.round(mean).cast("int")).otherwise(F.col("h_in")).alias("h_in"))
 
 
 def rasterize(polygons: DataFrame, *keep: str) -> DataFrame:
-    """e, n of cells whose centre is inside a polygon (column rings), with ``keep``; bounds give the cells to try."""
+    """e, n of cells whose centre is inside a polygon (column rings), with ``keep``.
+
+    Row by row: the places where edges cross the row's middle, in order, are where the inside
+    begins and ends in turn (even-odd), so no cell is tested on its own.
+    """
     box = geometry.bounds(F.col("rings"))
-    rows = polygons.select(*keep, "rings", box.alias("b")).select(
-        *keep, "rings", "b", F.explode(F.sequence(F.floor("b.south"), F.greatest(F.ceil("b.north") - 1, F.floor("b.south")))).alias("n")
-    )
-    cells = rows.select(*keep, "rings", "n", F.explode(F.sequence(F.floor("b.west"), F.greatest(F.ceil("b.east") - 1, F.floor("b.west")))).alias("e"))
-    inside = geometry.contains(F.col("rings"), F.col("e") + 0.5, F.col("n") + 0.5)
-    return cells.where(inside).select(*keep, F.col("e").cast("int").alias("e"), F.col("n").cast("int").alias("n"))
+    rows = polygons.select(*keep, "rings", box.alias("b")).select(*keep, "rings", F.explode(F.sequence(F.floor("b.south"), F.greatest(F.ceil("b.north") - 1, F.floor("b.south")))).alias("n"))
+    turns = rows.select(*keep, "n", geometry.crossings(F.col("rings"), F.col("n") + 0.5).alias("c")).where(F.size("c") > 1)
+    spans = turns.select(*keep, "n", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2))).alias("i"))
+    ends = spans.select(*keep, "n", F.ceil(F.get("c", F.col("i")) - 0.5).alias("first"), (F.ceil(F.get("c", F.col("i") + 1) - 0.5) - 1).alias("last"))
+    cells = ends.select(*keep, "n", F.explode(F.when(F.col("last") >= F.col("first"), F.sequence("first", "last"))).alias("e"))
+    return cells.select(*keep, F.col("e").cast("int").alias("e"), F.col("n").cast("int").alias("n"))
 
 
 def classify(cells: DataFrame, water_first: bool = True, tolerance: float = 5.0) -> DataFrame:

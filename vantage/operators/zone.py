@@ -46,9 +46,12 @@ def zone_rows(links: DataFrame, alpha: float = FULL) -> DataFrame:
         {"p": c("m01") * c("dy"), "q": c("m12") * c("dy"), "f": c("m11") * c("dy") * c("dy") - 1.0, "det": c("m00") * c("m22") - c("m02") * c("m02")}
     )
     rows = rows.withColumns({"u": -(c("m22") * c("p") - c("m02") * c("q")) / c("det"), "v": -(c("m00") * c("q") - c("m02") * c("p")) / c("det")})
-    rows = rows.withColumn("fn", c("f") + c("p") * c("u") + c("q") * c("v")).where("fn <= 0").withColumn("hw", F.sqrt(-(c("m22") * c("fn")) / c("det")))
-    rows = rows.withColumns({"e_lo": F.ceil(c("me") + c("u") - c("hw")), "e_hi": F.floor(c("me") + c("u") + c("hw"))}).where("e_hi >= e_lo")
-    return rows.withColumn("n", c("n").cast("int"))
+    rows = rows.withColumn("fn", c("f") + c("p") * c("u") + c("q") * c("v"))
+    rows = rows.withColumn("hw", F.when(c("fn") <= 0, F.sqrt(-(c("m22") * c("fn")) / c("det"))))
+    rows = rows.withColumns({"e_lo": F.ceil(c("me") + c("u") - c("hw")), "e_hi": F.floor(c("me") + c("u") + c("hw"))})
+    # an explode, not a filter: a filter would be pushed below the steps above and repeat all of them
+    met = F.explode(F.when(c("e_hi") >= c("e_lo"), F.array(F.lit(True))))
+    return rows.select("*", met.alias("_met")).drop("_met").withColumn("n", c("n").cast("int"))
 
 
 def zone_cells(links: DataFrame, alpha: float = FULL) -> DataFrame:

@@ -499,7 +499,7 @@ SELECT c.bin, c.e, c.n, arg_min((s.e + s.n) % 3, ((s.e - c.e) * (s.e - c.e) + (s
 def nearest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _roof_cells(spark, sf_dir)
     found = rooftop.grid_samples(cells, _SPACING).select("bin", (F.col("e") + 0.5).alias("x"), (F.col("n") + 0.5).alias("y"), F.struct("e", "n").alias("sample_id"), ((F.col("e") + F.col("n")) % 3).cast("int").alias("status"))
-    return rooftop.nearest_status(cells, found, 2 * _SPACING)
+    return rooftop.nearest_status(cells, found, _SPACING)
 
 
 @query()
