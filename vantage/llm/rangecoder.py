@@ -16,10 +16,9 @@ import numpy as np
 
 U64 = np.uint64
 #: Ids of a block, about; slots of a context table.
-BLOCK, SLOTS = 2048, 1024
+BLOCK, SLOTS = 2048, 256
 _TOP, _BOTTOM, _WORD, _SHIFT = U64(1 << 48), U64(1 << 32), U64(16), U64(48)
-_CLASSES = 33
-_START = np.array([1000, 8000, 20000, 32000, 42000, 50000, 56000, 60000], np.int64)
+_START = np.array([1000, 8000, 20000, 32000, 42000, 50000, 56000, 60000], np.int32)
 
 
 class _Ranges:
@@ -36,22 +35,26 @@ class _Ranges:
                 self.code = self.code << _WORD | words[:, i].astype(U64)
             self.at += 4
 
-    def settle(self, lanes: np.ndarray) -> None:
-        """Shifts out what is certain; ``lanes`` are numbers of those that have changed."""
-        while len(lanes):
-            low, size = self.low[lanes], self.range[lanes]
+    def settle(self, lanes: np.ndarray | int) -> None:
+        """Shifts out what is certain; ``lanes`` are numbers of those that have changed, or how many of the first."""
+        own = slice(0, lanes) if isinstance(lanes, int) else lanes
+        low, size = self.low[own], self.range[own]
+        while True:
             same = (low ^ (low + size)) < _TOP
-            moves = same | (size < _BOTTOM)
-            if not moves.any():
+            moved = np.flatnonzero(same | (size < _BOTTOM))
+            if not len(moved):
                 return
-            lanes, low, size, same = lanes[moves], low[moves], size[moves], same[moves]
+            low, size, same = low[moved], size[moved], same[moved]
+            lanes = moved if isinstance(lanes, int) else lanes[moved]
             size = np.where(same, size, (U64(0) - low) & (_BOTTOM - U64(1)))
+            at = self.at[lanes]
             if self.reading:
-                self.code[lanes] = self.code[lanes] << _WORD | self.words[lanes, self.at[lanes]].astype(U64)
+                self.code[lanes] = self.code[lanes] << _WORD | self.words[lanes, at].astype(U64)
             else:
-                self.words[lanes, self.at[lanes]] = (low >> _SHIFT).astype(np.uint16)
-            self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << _WORD, size << _WORD
+                self.words[lanes, at] = (low >> _SHIFT).astype(np.uint16)
+            self.at[lanes] = at + 1
+            low, size = low << _WORD, size << _WORD
+            self.low[lanes], self.range[lanes] = low, size
 
     def finish(self) -> list[bytes]:
         for i in range(4):
@@ -60,18 +63,22 @@ class _Ranges:
 
 
 class _Model:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, kinds: int):
         self.lane = np.arange(lanes)
-        self.tables = [np.zeros(lanes, np.int64), np.zeros(lanes * SLOTS, np.int64), np.zeros(lanes * SLOTS, np.int64)]  # id * 8 + confidence
+        self.kind = np.int32 if kinds < 28 else np.int64
+        self.tables = [np.zeros(lanes * n, self.kind) for n in (1, SLOTS, SLOTS)]  # id * 8 + confidence
         self.chances = [np.tile(_START, lanes) for _ in range(3)]
-        self.weights = [np.full(lanes, 256, np.int64) for _ in range(3)]
-        self.classes = np.ones((lanes, _CLASSES), np.int64)
+        self.weights = [np.full(lanes, 256, np.int32) for _ in range(3)]
+        self.classes = np.ones((lanes, kinds), np.int32)
 
 
-def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
-    """Codes ``ids`` (lanes, steps), or decodes ``words``; lane sizes fall by one at most and don't rise."""
+def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None, kinds: int) -> tuple[np.ndarray, list[bytes]]:
+    """Codes ``ids`` (lanes, steps), or decodes ``words``; lane sizes fall by one at most and don't rise.
+
+    ``kinds``: ids have less than so many bits.
+    """
     lanes, steps = len(sizes), int(sizes[0])
-    coder, model = _Ranges(lanes, steps, words), _Model(lanes)
+    coder, model = _Ranges(lanes, steps, words), _Model(lanes, kinds)
     out = np.zeros((lanes, steps), np.int64) if ids is None else ids
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
@@ -85,7 +92,7 @@ def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None) ->
         chance = [c[m] for c, m in zip(model.chances, marks)]
         best = np.where(chance[2] >= chance[1], 2, 1)
         best = np.where(np.maximum(chance[1], chance[2]) >= chance[0], best, 0)
-        guess = np.choose(best, predicted)
+        guess = np.where(best == 2, predicted[2], np.where(best == 1, predicted[1], predicted[0]))
         agree = [p == guess for p in predicted]
         held = [np.where(a, w[:n], 0) for a, w in zip(agree, model.weights)]
         mixed = (held[0] * chance[0] + held[1] * chance[1] + held[2] * chance[2]) // np.maximum(held[0] + held[1] + held[2], 1)
@@ -96,30 +103,33 @@ def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None) ->
             hit = ids[:n, t] == guess
         coder.low[:n] += np.where(hit, U64(0), part)
         coder.range[:n] = np.where(hit, part, coder.range[:n] - part)
-        coder.settle(lane)
+        coder.settle(n)
         missed = np.flatnonzero(~hit)
         if ids is None:
             out[:n, t] = guess
         if len(missed):
             counts = model.classes[missed]
-            ends = np.cumsum(counts, axis=1)
+            ends = np.cumsum(counts, axis=1, dtype=np.int32)
             share = coder.range[missed] // ends[:, -1].astype(U64)
             if ids is None:
                 value = ((coder.code[missed] - coder.low[missed]) // share).astype(np.int64)
-                kind = np.minimum((ends <= value[:, None]).sum(1), _CLASSES - 1)
+                kind = np.minimum((ends <= value[:, None]).sum(1), kinds - 1)
             else:
                 kind = np.frexp(ids[missed, t].astype(np.float64))[1].astype(np.int64)
-            own, row = counts[np.arange(len(missed)), kind], np.arange(len(missed))
+            row = np.arange(len(missed))
+            own = counts[row, kind]
             coder.low[missed] += share * (ends[row, kind] - own).astype(U64)
             coder.range[missed] = share * own.astype(U64)
             coder.settle(missed)
             counts[row, kind] += 24
-            full = ends[:, -1] > 1 << 14
-            counts[full] = (counts[full] + 1) >> 1
+            full = np.flatnonzero(ends[:, -1] > 1 << 14)
+            if len(full):
+                counts[full] = (counts[full] + 1) >> 1
             model.classes[missed] = counts
             bits = np.maximum(kind - 1, 0)
             least = np.where(kind > 0, 1 << bits, 0)
-            for shift, width in ((16, np.maximum(bits - 16, 0)), (0, np.minimum(bits, 16))):  # the high bits of long ids first
+            long = [(16, np.maximum(bits - 16, 0))] if kinds > 18 else []
+            for shift, width in (*long, (0, np.minimum(bits, 16))):  # the high bits of long ids first
                 some = np.flatnonzero(width > 0)
                 if not len(some):
                     continue
@@ -136,13 +146,14 @@ def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None) ->
             if ids is None:
                 out[missed, t] = least
         now = out[:n, t]
+        fresh, goal = ((now << 3) + 1).astype(model.kind), np.where(hit, np.int32(1024), np.int32(0))
         for k in range(3):
-            right = predicted[k] == now
-            model.chances[k][marks[k]] += (np.where(right, 65535, 0) - chance[k]) >> 4
-            trust = entries[k] & 7
-            model.tables[k][spots[k]] = np.where(right, (now << 3) + np.minimum(trust + 1, 7), np.where(trust > 1, entries[k] - trust + (trust >> 1), (now << 3) + 1))
+            right, entry = predicted[k] == now, entries[k]
+            model.chances[k][marks[k]] = chance[k] + ((right * np.int32(65535) - chance[k]) >> 4)
+            trust = entry & 7
+            model.tables[k][spots[k]] = np.where(right, entry + (trust < 7), np.where(trust > 1, entry - trust + (trust >> 1), fresh))
             w = model.weights[k][:n]
-            w += np.where(agree[k], np.where(hit, (1024 - w) >> 5, -(w >> 5)), 0)
+            w += agree[k] * ((goal - w) >> 5)
         before[:n], last[:n] = one, now
     return out, [] if ids is None else coder.finish()
 
@@ -155,7 +166,7 @@ def _shape(tokens: int) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of ids (up to 32 bits), each with a checksum of its bytes in front."""
+    """Blocks of ids (up to 32 bits): a checksum of the rest, the number of kinds of length, the code."""
     if not len(ids):
         return []
     sizes = _shape(len(ids))
@@ -164,7 +175,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     inside = np.arange(sizes[0])[None, :] < sizes[:, None]
     table[inside] = ids
     assert starts[-1] + sizes[-1] == len(ids)
-    return [zlib.crc32(data).to_bytes(4, "little") + data for data in _run(table, sizes, None)[1]]
+    kinds = int(table.max()).bit_length() + 1
+    coded = (bytes([kinds, 0]) + data for data in _run(table, sizes, None, kinds)[1])
+    return [zlib.crc32(data).to_bytes(4, "little") + data for data in coded]
 
 
 def decode_blocks(blocks: list[bytes], tokens: int) -> np.ndarray:
@@ -176,5 +189,5 @@ def decode_blocks(blocks: list[bytes], tokens: int) -> np.ndarray:
         raise ValueError("a block is damaged or missing")
     words = np.zeros((len(blocks), max(map(len, blocks)) // 2 + 8), np.uint16)
     for row, data in zip(words, blocks):
-        row[: len(data) // 2 - 2] = np.frombuffer(data, np.uint16, offset=4)
-    return _run(None, sizes, words)[0][np.arange(sizes[0])[None, :] < sizes[:, None]].astype(np.uint32)
+        row[: len(data) // 2 - 3] = np.frombuffer(data, np.uint16, offset=6)
+    return _run(None, sizes, words, blocks[0][4])[0][np.arange(sizes[0])[None, :] < sizes[:, None]].astype(np.uint32)

@@ -2,8 +2,8 @@
 
 The format: a Parquet table with a row per chunk of whole documents: ``part`` and ``chunk`` (their
 order is that of the ids), ``doc_ids``, ``doc_tokens``, ``tokens`` and ``blocks``, the chunk's ids
-in blocks as ``rangecoder`` makes them: four bytes of CRC-32 of the rest, then 16-bit words of the
-range coder in little-endian order. Parquet gives atomic commits and reads on any file system.
+in blocks as ``rangecoder`` makes them: four bytes of CRC-32 of the rest, two with the number of
+kinds of length, then 16-bit words of the range coder, all in little-endian order. Parquet gives atomic commits and reads on any file system.
 """
 
 from __future__ import annotations
