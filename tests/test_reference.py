@@ -251,6 +251,19 @@ def test_city_tiles(spark):
     assert {(r.ke, r.kn) for r in terrain.city_tiles(outline).collect()} == {(2000, 300), (2001, 300)}
 
 
+def test_tiles_near_a_building(spark):
+    outline = spark.range(1).select(geometry.parse_wkt(F.lit("POLYGON ((1000100 240100, 1000110 240100, 1000110 240110, 1000100 240110, 1000100 240100))")).alias("rings"))
+    assert {(r.ke, r.kn) for r in terrain.tiles_near(outline, 250.0).collect()} == {(2000, 480), (1999, 480), (2000, 479), (1999, 479)}
+    assert {(r.ke, r.kn) for r in terrain.tiles_near(outline, 120.0).collect()} == {(2000, 480), (1999, 480), (2000, 479)}
+
+
+def test_footprint_cells_are_flat(spark):
+    outline, roof = flat_roof(spark)
+    ring = outline.select("bin", geometry.parse_wkt(F.lit("POLYGON ((4.5 4.5, 9.5 4.5, 9.5 9.5, 4.5 9.5, 4.5 4.5))")).alias("rings"))
+    cells = terrain.without_footprint(roof.select("bin", "e", "n", "h_in"), ring)
+    assert cells.where("h_in = 0").count() == 25 and cells.count() == 400
+
+
 def test_csv_tables(spark, tmp_path):
     (tmp_path / "f.csv").write_text('BIN,Base BBL,the_geom,Height Roof,Ground Elevation,Construction Year,Last Edited Date\n1000001,1,"POLYGON ((0 0, 1 0, 1 1, 0 0))","1,234.5",,2021,09/02/2025\n2,,,,x,,\n')
     rows = tables.building_footprints(tables.read_csv(spark, str(tmp_path / "f.csv"))).collect()

@@ -44,6 +44,31 @@ def polygon_tiles(polygons: DataFrame, *keep: str) -> DataFrame:
     return pairs.where(geometry.meets_box(F.col("rings"), west, south, west + tiles.SIDE, south + tiles.SIDE)).select(*keep, "ke", "kn")
 
 
+def tiles_near(polygons: DataFrame, feet: float, *keep: str) -> DataFrame:
+    """ke, kn of tiles at most ``feet`` from a polygon (column rings)."""
+    box = geometry.bounds(F.col("rings"))
+    span = lambda low, high: F.sequence(tiles.tile_key(F.col(low) - feet - 1), tiles.tile_key(F.col(high) + feet + 1))
+    tried = polygons.select(*keep, "rings", box.alias("b")).select(*keep, "rings", "b", F.explode(span("b.west", "b.east")).alias("ke"))
+    pairs = tried.select(*keep, "rings", "ke", F.explode(span("b.south", "b.north")).alias("kn"))
+    west, south = (F.col(k).cast("double") * tiles.SIDE for k in ("ke", "kn"))
+    east, north = west + tiles.SIDE, south + tiles.SIDE
+    corners = F.least(*(geometry.distance_to_edge(F.col("rings"), x, y) for x in (west, east) for y in (south, north)))
+
+    def to_box(p: Column) -> Column:
+        dx, dy = F.greatest(west - p["x"], p["x"] - east, F.lit(0.0)), F.greatest(south - p["y"], p["y"] - north, F.lit(0.0))
+        return F.sqrt(dx * dx + dy * dy)
+
+    points = F.array_min(F.transform(F.flatten(F.col("rings")), to_box))
+    return pairs.where(geometry.meets_box(F.col("rings"), west, south, east, north) | (F.least(corners, points) <= feet)).select(*keep, "ke", "kn")
+
+
+def without_footprint(cells: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Cells (bin, e, n, h_in) with height 0 where their south-west corner is in the building's own polygon (bin, rings)."""
+    own = cells.join(polygons.select("bin", "rings"), "bin", "left")
+    inside = F.col("rings").isNotNull() & geometry.contains(F.col("rings"), F.col("e").cast("double"), F.col("n").cast("double"))
+    return own.withColumn("h_in", F.when(inside, 0).otherwise(F.col("h_in"))).drop("rings")
+
+
 def obstruction_index(meta: DataFrame) -> DataFrame:
     """obstruction_type, tile_id and the sorted ids there of obstruction_id, obstruction_type, tile_ids."""
     pairs = meta.select("obstruction_type", "obstruction_id", F.explode("tile_ids").alias("tile_id")).distinct()
