@@ -176,6 +176,24 @@ def test_near_copies_go(spark):
     assert kept == {i * 10 for i in range(30)}
 
 
+@pytest.mark.parametrize(("shared", "left", "right", "pairs"), [(4, 0, 1, 300), (5, 0, 1, 300), (6, 0, 1, 300), (12, 1, 2, 300), (80, 0, 20, 200), (80, 10, 10, 200), (800, 100, 100, 30), (800, 200, 0, 30)])
+def test_lone_pairs_at_the_threshold_are_found(spark, shared, left, right, pairs):
+    rng = random.Random(shared + left)
+    rows, n = [], shared + 4
+    for i in range(pairs):
+        common = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows.append((2 * i, " ".join([f"a{rng.randrange(10**9)}" for _ in range(left)] + common)))
+        rows.append((2 * i + 1, " ".join(common + [f"b{rng.randrange(10**9)}" for _ in range(right)])))
+    for i in range(pairs, 2 * pairs):  # one shared shingle less, one own more: under the threshold where that holds
+        common = [f"w{rng.randrange(10**9)}" for _ in range(n - 1)]
+        own = -(-(shared - 1) // 4) + 1
+        rows.append((2 * i, " ".join(common)))
+        rows.append((2 * i + 1, " ".join(common + [f"b{rng.randrange(10**9)}" for _ in range(own)])))
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == {2 * i for i in range(pairs)} | set(range(2 * pairs, 4 * pairs))
+
+
 def test_tiling_finds_reordered_parts():
     item = [b"w%d" % i for i in range(20)]
     doc = [b"x"] * 3 + item[10:] + [b"y"] + item[:10] + [b"z"] * 2

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import U64, kept
+from vantage.llm.common import U64, kept, mixed
 from vantage.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -28,6 +28,9 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 BUCKET_ENTRIES, BLOCK = 2_000_000, 1024
 #: Least Jaccard similarity of sets of shingles that counts as a near copy.
 SIMILAR = 0.8
+#: Smallest shingle hashes that are cells, at most; those that the bit set of parities is of, its
+#: 64-bit words, and the bits that may differ.
+TOKENS, SKETCH, SKETCH_WORDS, SKETCH_RADIUS = 20, 64, 4, 56
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -52,26 +55,61 @@ def simhashes(lists: list[list[bytes]], seed: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, fp0 (and fp1, .. for more seeds, as signed longs) and n_shingles of every row.
-
-    ``distinct`` counts each shingle of a text once and adds ``shingle_key``, a hash of its set.
-    """
+def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, fp0 (and fp1, .. for more seeds, as signed longs) and n_shingles of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 lists = [shingles(t, words) for t in part.column(1).to_pylist()]
-                if distinct:
-                    lists = [sorted(set(x)) for x in lists]
                 columns = [part.column(0), *(pa.array(simhashes(lists, s).view(np.int64)) for s in seeds), pa.array([len(x) for x in lists], pa.int64())]
-                if distinct:
-                    columns.append(pa.array([hashlib.blake2b(b"\n".join(x), digest_size=16).digest() for x in lists], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["doc_id", *(f"fp{i}" for i in range(len(seeds))), "n_shingles"] + ["shingle_key"] * distinct
-    schema = ", ".join(["doc_id long", *(f"fp{i} long" for i in range(len(seeds))), "n_shingles long"] + ["shingle_key binary"] * distinct)
+    names = ["doc_id", *(f"fp{i}" for i in range(len(seeds))), "n_shingles"]
+    schema = ", ".join(["doc_id long", *(f"fp{i} long" for i in range(len(seeds))), "n_shingles long"])
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, increasing."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles(text, words)]), ">u8")).astype(U64)
+
+
+def sketch(hashes: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a set, and the parities (SKETCH_WORDS) of its smallest SKETCH hashes by their last bits.
+
+    Of two sets that are similar, the first size - ceil(least * size) + 1 hashes of each share one.
+    So do the first TOKENS of larger sets, except for a chance of (1 - least) ** TOKENS, 1e-14.
+    """
+    n = len(hashes)
+    cells = hashes[: min(TOKENS, n - int(np.ceil(least * n - 1e-9)) + 1)] if n else hashes
+    parity = np.bincount((hashes[:SKETCH] & U64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return cells, np.packbits(parity.astype(np.uint8), bitorder="little").view(U64)
+
+
+def sketches(docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
+    """Key, shingle_key (a hash of the set of shingles), n_shingles, cells and fp0, fp1, .. (see ``sketch``) of every row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
+                found = [sketch(x, least) for x in sets]
+                prints = np.stack([f for _, f in found]).view(np.int64)
+                columns = [
+                    part.column(0),
+                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([c.tobytes() for c, _ in found], pa.binary()),
+                    *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(SKETCH_WORDS)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    prints = [f"fp{i}" for i in range(SKETCH_WORDS)]
+    names = ["doc_id", "shingle_key", "n_shingles", "cells", *prints]
+    schema = "doc_id long, shingle_key binary, n_shingles long, cells binary, " + ", ".join(f"{c} long" for c in prints)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
 
 
@@ -165,18 +203,19 @@ def joined_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[parts[at]], pa.int64())})
 
 
-def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int = 2, reach: int = 2, sizes: bool = False) -> DataFrame:
+def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int = 2, reach: int = 2) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints are within ``radius`` bits and whose cells meet.
 
-    ``nodes``: node (long) and fp0, fp1, .. (long), one row each, and with ``sizes`` n_shingles:
-    then only nodes whose numbers of shingles have a ratio of 0.8 or more need to meet. With one
-    group and reach 2 every pair within two bits is found. The edges join all that is linked in a
-    cell, and are at most as many as its members; unions of them have the links' components.
-    Entries are packed by buckets of cells, as many as the nodes ask for.
+    ``nodes``: node (long) and fp0, fp1, .. (long), one row each. Nodes that bring their own cells
+    (binary, of 64 bits each) and n_shingles meet in these instead of the grid's, and only those
+    whose numbers of shingles have a ratio of 0.8 or more need to. With one group and reach 2 every
+    pair within two bits is found. The edges join all that is linked in a cell, and are at most as
+    many as its members; unions of them have the links' components. Entries are packed by buckets
+    of cells, as many as the nodes ask for.
     """
     names = [c for c in nodes.columns if c.startswith("fp")]
-    n, total = len(names), nodes.count()
-    each = groups * (1 + reach * (64 * n // groups // segment_bits)) * (2 if sizes else 1)
+    n, total, own = len(names), nodes.count(), "cells" in nodes.columns
+    each = 2 * TOKENS if own else groups * (1 + reach * (64 * n // groups // segment_bits))
     buckets = max(16, -(-total * each // BUCKET_ENTRIES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +224,20 @@ def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int
                 batch = whole.slice(start, 20_000)
                 node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 words = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for i in range(n)], axis=1)
-                rows, codes = map(np.concatenate, zip(*cell_codes(words, groups, segment_bits, reach)))
-                if sizes:  # a class of sizes goes up to twice its least; a size whose partners may be larger visits the next
+                if own:
+                    held = batch.column(2 + n).to_pylist()
+                    rows, codes = np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]), mixed(np.frombuffer(b"".join(held), U64))
+                else:
+                    rows, codes = map(np.concatenate, zip(*cell_codes(words, groups, segment_bits, reach)))
+                if own:  # a class of sizes goes up to twice its least; a size whose partners may be larger visits the next
                     size = np.maximum(batch.column(1 + n).to_numpy(zero_copy_only=False), 1).astype(np.float64)
                     kind = np.floor(np.log2(size) + 1e-12)
                     above = (np.floor(np.log2(size / SIMILAR) + 1e-9) > kind)[rows]
                     kind = kind.astype(np.int64).view(U64)[rows]
                     codes = np.concatenate([codes + kind * U64(0xD1342543DE82EF95), (codes + (kind + U64(1)) * U64(0xD1342543DE82EF95))[above]])
                     rows = np.concatenate([rows, rows[above]])
+                if not len(rows):
+                    continue
                 bucket = (codes >> U64(32)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 rows, codes, bucket = rows[order], codes[order], bucket[order]
@@ -209,7 +254,7 @@ def grid_links(nodes: DataFrame, radius: int, groups: int = 1, segment_bits: int
         ids = rows[:, 1].view(np.int64)
         return joined_table(ids[p], ids[q])
 
-    entries = nodes.select("node", *names, *(["n_shingles"] if sizes else [])).mapInArrow(spread, "bucket long, entries binary")
+    entries = nodes.select("node", *names, *(["n_shingles", "cells"] if own else [])).mapInArrow(spread, "bucket long, entries binary")
     return entries.groupBy("bucket").applyInArrow(linked, "a long, b long")
 
 
@@ -278,7 +323,7 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) ->
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles(t, words)]), ">u8")).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            packed = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "set"])
 
     wanted = rows.join(members.select(F.col("node").alias("_key")), "_key", "left_semi").select("_key", "_text").dropDuplicates(["_key"])
@@ -303,16 +348,18 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, ke
     """The rows of ``docs`` less near copies: of each group the one with the smallest id stays.
 
     Texts are near copies if their sets of five-word shingles have a Jaccard similarity of
-    ``least`` or more, and so are those linked through others. Candidates come from two SimHash
-    fingerprints of the set: of eight groups of 16 bits one has to meet in the popcount grid, and
-    28 of the 128 bits may differ (at a similarity of 0.8 about 19 do). Candidates are verified
-    on the whole sets. Equal sets (so equal texts, and all texts without words) are copies; rows
+    ``least`` or more, and so are those linked through others. Candidates share one of the smallest
+    hashes of their sets: as many as make it certain, or leave a chance of 1e-14 to miss (see
+    ``sketch``). Of the parities of their SKETCH smallest hashes SKETCH_RADIUS may differ: nothing
+    is missed by that among sets of up to SKETCH shingles; for larger ones at a similarity of 0.8
+    the bound lies 6 standard deviations above the mean. Candidates are verified on the whole sets. Equal sets (so equal texts, and all texts without words) are copies; rows
     without an id lose to those with one; of rows with one id one stays.
     """
     rows = docs.withColumns({"_text": F.col(text), "_key": F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))})
-    prints = kept(fingerprints(rows.select("_key", "_text"), words, (42, 43), distinct=True, key="_key", text="_text"))
-    nodes = kept(prints.groupBy("shingle_key").agg(F.min("doc_id").alias("node"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("n_shingles").alias("n_shingles")))
-    roots = connected_components(grid_links(nodes, 28, groups=8, reach=1, sizes=True))
+    prints = kept(sketches(rows.select("_key", "_text"), words, least, "_key", "_text"))
+    sketched = [c for c in prints.columns if c not in ("doc_id", "shingle_key")]
+    nodes = kept(prints.groupBy("shingle_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in sketched)))
+    roots = connected_components(grid_links(nodes, SKETCH_RADIUS))
     verified = connected_components(_verified(rows.select("_key", "_text"), kept(roots), words, least))
     losing = nodes.join(verified.where("node <> root").select("node"), "node", "left_semi").select("shingle_key")
     lost = prints.join(nodes.select("shingle_key", "node"), "shingle_key").where("doc_id <> node").select("doc_id").union(prints.join(losing, "shingle_key", "left_semi").select("doc_id"))
