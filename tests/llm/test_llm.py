@@ -211,6 +211,39 @@ def test_decontamination_matches_plain_containment(spark, texts):
                 assert (doc_id, number) in found
 
 
+def test_decontamination_in_any_script(spark):
+    items = [
+        (1, "Die Straße führt “über” den Fluss – und zurück"),
+        (2, "«L’été dernier» était très agréable à Évian"),
+        (3, "東京は日本の首都であり世界最大の都市です"),
+        (4, "Ответ найден"),
+        (5, "Żółw"),
+        (6, "हिन्दी में लिखा हुआ एक वाक्य"),
+        (7, "— …"),
+    ]
+    rows = [
+        (1, "Davor. DIE STRASSE FÜHRT ÜBER DEN FLUSS UND ZURÜCK! Danach."),
+        (2, "AVANT: \"L'E\u0301TE\u0301 DERNIER\" ÉTAIT TRÈS AGRÉABLE, À ÉVIAN..."),
+        (3, "その東京は日本の首都であり世界最大の都市ですよ"),
+        (4, "и «ОТВЕТ найден»!"),
+        (5, "to jest żółw."),
+        (6, "और हिन्दी में लिखा हुआ एक वाक्य है"),
+        (7, "nothing of it, Ответ не найден, 東京の都 — … żółwie"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, short=True).collect()} == {(n, n) for n in range(1, 7)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench, short=True).collect()] == [7]
+
+
+def test_capitals_hide_no_benchmark_item(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()
+    items = [(r.item_id, r.text) for r in bench if not r.text.isascii()]
+    docs = spark.createDataFrame([(n, f"xx {t.upper()} yy") for n, t in items], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(items) == 62 and {(n, n) for n, _ in items} <= found
+
+
 @given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("aB'st ÀéßÿÞ.,'123\n#<|>endoftxt", max_size=60))
 @settings(deadline=None, max_examples=300)
 def test_ids_are_the_library_s(text):

@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are words (letters and digits, lower case). Seeds are the hashes of ``least`` consecutive
-words of a benchmark item; documents that share a seed with an item are tiled against it: the
+Texts are words (letters and digits of any script, case folded; single characters in scripts without
+blanks). Seeds are the hashes of ``least`` consecutive words of a benchmark item, or of all words of
+a shorter one if these are asked for (``short``); documents that share a seed with an item are tiled against it: the
 longest matches of words not yet marked are found by extending seeds, whose Karp-Rabin hashes the
 windows roll through, marked without overlap, and so on with shorter ones down to ``least`` words.
 The item's covered share decides, so an item whose parts are in another order is found as well.
@@ -10,7 +11,10 @@ The item's covered share decides, so an item whose parts are in another order is
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,39 @@ _LETTER[:] = 32
 _LETTER[48:58] = np.arange(48, 58)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[97:123] = np.arange(97, 123)
-_LETTER[128:] = np.arange(128, 256)
 _WORD = re.compile(rb"[^ ]+")
+_BLANK, _PART, _NONE, _ALONE = range(4)
+#: Code points whose letters are words: scripts written without blanks (Thai, Lao, Myanmar, Khmer, kana, Han, Yi and others).
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is: a blank, a part of a word (letter, digit, mark), nothing (formatting), or a word alone."""
+    codes = {"L": _PART, "N": _PART, "M": _PART}
+    kinds = np.fromiter((_NONE if (c := unicodedata.category(chr(i))) == "Cf" else codes.get(c[0], _BLANK) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    for a, b in _UNSPACED:
+        kinds[a : b + 1][kinds[a : b + 1] == _PART] = _ALONE
+    return kinds
 
 
 def plain(text: str | None) -> bytes:
-    """ASCII letters lower-cased, other ASCII but digits as blanks; what isn't ASCII stays."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LETTER.tobytes())
+    """The text's words with blanks between: case folded, compatible forms made one, all but letters, digits and marks as blanks."""
+    text = text or ""
+    if text.isascii():
+        return text.encode().translate(_LETTER.tobytes())
+    # capitals are folded before and after, as some forms only have a compatible capital
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()).casefold())
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds()[points]
+    points = np.where(kinds == _BLANK, np.uint32(32), points)
+    if (kinds > _PART).any():
+        alone = kinds == _ALONE
+        spaced = np.full((len(points), 3), 32, np.uint32)
+        spaced[:, 1] = points
+        wanted = np.stack([alone, kinds != _NONE, alone], axis=1)
+        points = spaced[wanted]
+    return points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
 def tile(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int, int]]:
@@ -73,45 +103,49 @@ def tile(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int
 class Benchmark:
     """A block of items with the hashes of their seeds, sorted."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
+    def __init__(self, items: list[tuple[int, str]], least: int, short: bool = False):
         self.ids = [n for n, _ in items]
         self.words = [_WORD.findall(plain(t)) for _, t in items]
-        hashes, owners = [], []
-        for n, words in enumerate(self.words):
-            line = np.frombuffer(b" ".join(words), np.uint8)
-            own = window_hashes(word_hashes(line, np.array([0, len(line)]))[0], least)
-            hashes.append(own)
-            owners.append(np.full(len(own), n))
-        hashes, owners = np.concatenate([*hashes, np.zeros(0, U64)]), np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.seeds, self.owner = hashes[order], owners[order]
-        self.filter = np.zeros(1 << 22, bool)  # by the first bits; most windows of a corpus stop here
-        self.filter[(self.seeds >> U64(42)).astype(np.int64)] = True
-
-    def items_of(self, data: np.ndarray, bounds: np.ndarray, least: int) -> dict[int, set[int]]:
-        """Items that share a seed, by row."""
-        words, at = word_hashes(_LETTER[data], bounds)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by words of a seed: sorted hashes, their items, filter
+        for size in sorted({min(least, len(words)) for words in self.words if short or len(words) >= least} - {0}):
+            hashes, owners = [], []
+            for n, words in enumerate(self.words):
+                if min(least, len(words)) == size:
+                    line = np.frombuffer(b" ".join(words), np.uint8)
+                    own = window_hashes(word_hashes(line, np.array([0, len(line)]))[0], size)
+                    hashes.append(own)
+                    owners.append(np.full(len(own), n))
+            hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+            order = np.argsort(hashes, kind="stable")
+            first = np.zeros(1 << 22, bool)  # by the first bits; most windows of a corpus stop here
+            first[(hashes >> U64(42)).astype(np.int64)] = True
+            self.seeds[size] = hashes[order], owners[order], first
+
+    def items_of(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, set[int]]:
+        """Items that share a seed, by row of plain text."""
+        words, at = word_hashes(data, bounds)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
-        hashes = window_hashes(words, least)
-        starts = np.flatnonzero(self.filter[(hashes >> U64(42)).astype(np.int64)])
-        starts = starts[row[starts] == row[starts + least - 1]]
         found: dict[int, set[int]] = {}
-        if len(starts) and len(self.seeds):
-            a, b = np.searchsorted(self.seeds, hashes[starts], "left"), np.searchsorted(self.seeds, hashes[starts], "right")
+        for size, (seeds, owner, first) in self.seeds.items():
+            hashes = window_hashes(words, size)
+            starts = np.flatnonzero(first[(hashes >> U64(42)).astype(np.int64)])
+            starts = starts[row[starts] == row[starts + size - 1]]
+            a, b = np.searchsorted(seeds, hashes[starts], "left"), np.searchsorted(seeds, hashes[starts], "right")
             for i in np.flatnonzero(b > a):
-                found.setdefault(int(row[starts[i]]), set()).update(self.owner[a[i] : b[i]].tolist())
+                found.setdefault(int(row[starts[i]]), set()).update(owner[a[i] : b[i]].tolist())
         return found
 
 
 def matches(texts: pa.Array, bench: Benchmark, share: float, least: int) -> Iterator[tuple[int, int, int, int, list]]:
     """Row, item_id, the item's words, covered words and tiles, where the coverage reaches ``share``."""
-    data, bounds = text_bytes(texts)
-    for a, b in slices(bounds, SLICE_BYTES):
-        part = data[bounds[a] : bounds[b]]
-        for row, items in sorted(bench.items_of(part, bounds[a : b + 1] - bounds[a], least).items()):
-            words = _WORD.findall(_LETTER[data[bounds[a + row] : bounds[a + row + 1]]].tobytes())
+    _, sizes = text_bytes(texts)
+    for a, b in slices(sizes, SLICE_BYTES):
+        lines = [plain(t) for t in texts.slice(a, b - a).to_pylist()]
+        data, bounds = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)])
+        for row, items in sorted(bench.items_of(data, bounds).items()):
+            words = _WORD.findall(lines[row])
             for n in sorted(items):
-                tiles = tile(words, bench.words[n], least)
+                tiles = tile(words, bench.words[n], min(least, len(bench.words[n])))
                 covered = sum(t[2] for t in tiles)
                 if covered >= share * len(bench.words[n]):
                     yield a + row, bench.ids[n], len(bench.words[n]), covered, tiles
@@ -127,18 +161,19 @@ def _blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[list[tu
         yield sorted((r.item_id, r.text) for r in part.collect())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """doc_id, item_id, item_words, covered, coverage and tiles of each pair whose coverage reaches ``share``.
 
     A tile has its first word in the document and in the item and its length. Null texts and
-    items of fewer than ``least`` words match nothing. Documents aren't shuffled.
+    items without words match nothing, nor do those of fewer than ``least`` words, unless ``short``
+    lets these match as a whole. Documents aren't shuffled.
     """
     schema = "doc_id long, item_id long, item_words int, covered int, coverage double, tiles array<struct<doc_word:int,item_word:int,length:int>>"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))]
     out = None
     for items in _blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least))
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least, short))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -154,11 +189,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, leas
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, text: str = "text", item: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """The rows of ``docs`` that no item is covered in (see ``contaminated``), without a shuffle."""
     at = docs.columns.index(text)
     for items in _blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least))
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least, short))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
