@@ -289,6 +289,27 @@ def test_neighbours_reach_the_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_tasks_of_neighbours_are_bounded_on_both_sides(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    whole = sorted(map(tuple, ann.nearest(rows, F.col("vec_id") % 2 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 16)
+    sizes = []
+    tasks = ann._tasks
+
+    def seen(places, window, total):
+        reach, held = tasks(places, window, total)
+        for side, most in ((reach, 16), (held, 64)):
+            counts = [r["count"] for r in side.groupBy("curve", "part", "block").count().collect()]
+            assert max(counts) <= most
+            sizes.append(sum(counts))
+        return reach, held
+
+    monkeypatch.setattr(ann, "_tasks", seen)
+    assert [r[:3] for r in sorted(map(tuple, ann.nearest(rows, F.col("vec_id") % 2 == 0).collect()))] == [r[:3] for r in whole]
+    assert len(sizes) == 2 and min(sizes) > 0
+
+
 def test_hilbert_neighbours_touch():
     keys = ann.hilbert_keys(np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)]), 3)
     points = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])[np.argsort(keys)]

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from vantage.llm.common import kept
 
 DIMS, BITS = 4, 8
-#: Vectors of a curve that one task holds with the queries whose windows reach them.
-BLOCK_ROWS = 8192
+#: Vectors of a curve that one task holds, and queries, neighbours on the curve, that it compares with them.
+BLOCK_ROWS, QUERY_ROWS = 8192, 8192
 #: Queries compared with all vectors to choose the window.
 SAMPLE = 48
 
@@ -101,13 +101,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
     asked = rows.where("asks").select(F.col("id").alias("query_id"), "v").join(points.select("v", "vid"), "v").select("query_id", "vid")
     asked = kept(asked)
     total = points.count()
-    places = kept(_places(points, curves))
     asking = asked.select("vid").distinct()
+    places = kept(_places(points.join(asking.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), curves))
     window = _window(points, places, asking, k, curves, recall, total)
-    own = places.join(asking, "vid", "left_semi")
-    span = F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / BLOCK_ROWS), F.floor(F.least(F.col("place") + window, F.lit(max(0, total - 1))) / BLOCK_ROWS))
-    reach = own.select("curve", F.explode(span).alias("block"), "vid", "place", "v", F.lit(True).alias("asks"))
-    held = places.select("curve", F.floor(F.col("place") / BLOCK_ROWS).alias("block"), "vid", "place", "v", F.lit(False).alias("asks"))
+    reach, held = _tasks(places, window, total)
 
     def search(table: pa.Table) -> pa.Table:
         queries, block = table.filter(table.column("asks")), table.filter(pc.invert(table.column("asks")))
@@ -123,7 +120,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
         columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query": pa.array(columns[0], pa.int64()), "vid": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    hits = reach.unionByName(held).groupBy("curve", "block").applyInArrow(search, "query long, vid long, score double")
+    hits = reach.unionByName(held).groupBy("curve", "part", "block").applyInArrow(search, "query long, vid long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
     merged = hits.groupBy("query", "vid").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     named = merged.join(points.select("vid", "ids"), "vid").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -139,24 +136,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
     )
 
 
+def _tasks(places: DataFrame, window: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tasks (curve, part, block): queries, and vectors.
+
+    A part is QUERY_ROWS queries that follow each other on the curve; it meets the blocks of
+    BLOCK_ROWS vectors that the windows of its first and last query reach.
+    """
+    own = places.where("asks").withColumn("part", F.floor(F.col("turn") / QUERY_ROWS))
+    block = lambda x: F.floor(x / BLOCK_ROWS)
+    span = F.sequence(block(F.greatest(F.min("place") - window, F.lit(0))), block(F.least(F.max("place") + window, F.lit(max(0, total - 1)))))
+    meets = own.groupBy("curve", "part").agg(span.alias("blocks")).select("curve", "part", F.explode("blocks").alias("block"))
+    queries = own.join(meets, ["curve", "part"])
+    vectors = places.withColumn("block", block(F.col("place"))).join(meets, ["curve", "block"])
+    columns = ["curve", "part", "block", "vid", "place", "v"]
+    return queries.select(*columns, F.lit(True).alias("asks")), vectors.select(*columns, F.lit(False).alias("asks"))
+
+
 def _places(points: DataFrame, curves: int) -> DataFrame:
-    """curve, place (rank from 0 along it), vid, v: by counts of ranges of keys and ranks within them."""
+    """curve, place (rank from 0 along it), turn (rank among those that ask), vid, v, asks: by counts of ranges of keys and ranks within them."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1))
                 for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(x, c)), batch.column(0), batch.column(1)], names=["curve", "key", "vid", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(x, c)), *batch.columns], names=["curve", "key", "vid", "v", "asks"])
 
     kind = points.schema["v"].dataType.simpleString()
-    keys = points.select("vid", "v").mapInArrow(keyed, f"curve int, key long, vid long, v {kind}")
+    keys = points.select("vid", "v", "asks").mapInArrow(keyed, f"curve int, key long, vid long, v {kind}, asks boolean")
     cells = keys.withColumn("cell", F.shiftright("key", DIMS * BITS - 12))
     before = Window.partitionBy("curve").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.groupBy("curve", "cell").agg(F.count(F.lit(1)).alias("n")).select("curve", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    counts = cells.groupBy("curve", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"))
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in (("n", "first"), ("asked", "first_turn"))]
+    starts = counts.select("curve", "cell", *sums)
     own = Window.partitionBy("curve", "cell").orderBy("key", "vid")
-    ranked = cells.withColumn("n", F.row_number().over(own))
-    return ranked.join(starts, ["curve", "cell"]).select("curve", (F.col("first") + F.col("n") - 1).alias("place"), "vid", "v")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumns({"n": F.row_number().over(own), "asked": F.sum(F.col("asks").cast("long")).over(upto)})
+    return ranked.join(starts, ["curve", "cell"]).select("curve", (F.col("first") + F.col("n") - 1).alias("place"), (F.col("first_turn") + F.col("asked") - 1).alias("turn"), "vid", "v", "asks")
 
 
 def _window(points: DataFrame, places: DataFrame, asking: DataFrame, k: int, curves: int, recall: float, total: int) -> int:
