@@ -95,6 +95,26 @@ def test_substring_matches_brute_force(spark, texts):
         assert got[doc_id] == (len(words), sum(gone), hashlib.sha256(left).hexdigest())
 
 
+def test_groups_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    rng = random.Random(5)
+    same = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 400, 3000]))) + (f" {same} end{i}" if i % 2 else "")) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect()}
+    monkeypatch.setattr(substring, "GROUP_BYTES", 10_000)
+    texts = dict(rows)
+    placed = docs.withColumns({"_row": F.monotonically_increasing_id(), "_bytes": F.octet_length("text").cast("long")})
+    groups: dict = {}
+    for r in substring.grouped(placed).collect():
+        groups.setdefault(r["_group"], []).append(len(texts[r.doc_id].encode()))
+    assert sum(map(len, groups.values())) == 60 and len(groups) > 20
+    assert all(len(g) == 1 or sum(g) <= 10_000 for g in groups.values())
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect()} == whole
+    assert sum(n for n, _ in whole.values()) == 29 * 30
+
+
 @given(st.lists(st.integers(0, 2**52), min_size=1, max_size=50, unique=True))
 def test_packed_numbers_come_back(values):
     values = np.array(sorted(values), np.uint64)

@@ -6,7 +6,7 @@ so two documents that share 13 words meet at an anchor, whatever their alignment
 anchor that other documents have too are extended: the 13-word windows over them are compared, and
 windows that a smaller doc_id has as well merge to maximal repeats.
 
-Documents stay in groups (of neighbouring rows of the input); a group sends the hashes of its
+Documents stay in groups (of neighbouring rows of the input, bounded in rows and in bytes); a group sends the hashes of its
 windows once each, sorted and as differences, so that common passages arrive once from a group
 however many of its documents have them. Answers are one bit for each hash sent. No pair of
 documents is ever listed.
@@ -28,6 +28,8 @@ from vantage.llm.common import U64, string_size, text_bytes, window_hashes, word
 WINDOW, BLOCK = 13, 7
 #: Rows of a group are 2 ** GROUP_BITS at most; their numbers are packed beside the hashes.
 GROUP_BITS = 11
+#: Bytes of a group's rows, unless a single row has more.
+GROUP_BYTES = 16 << 20
 #: Hashes that one task compares, about.
 BUCKET_HASHES = 2_000_000
 LAST = np.iinfo(np.int64).max
@@ -132,6 +134,26 @@ def _sorted_ids(table: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
     return table, texts, ids
 
 
+def with_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches with _group instead of _bytes: the _row that begins a run of at most 2 ** GROUP_BITS rows and, if it has two or more, ``most`` bytes."""
+    first, count, held = 0, 0, 0
+    for batch in batches:
+        groups = np.empty(batch.num_rows, np.int64)
+        for i, (row, size) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("_bytes").to_pylist())):
+            if not count or count >= 1 << GROUP_BITS or held + size > most:
+                first, count, held = row, 0, 0
+            count, held = count + 1, held + size
+            groups[i] = first
+        left = batch.drop_columns(["_bytes"])
+        yield pa.RecordBatch.from_arrays([*left.columns, pa.array(groups)], names=[*left.schema.names, "_group"])
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows``, which has _row and _bytes, by ``with_groups``; groups end with the input's partitions."""
+    most = GROUP_BYTES
+    return rows.mapInArrow(lambda batches: with_groups(batches, most), rows.drop("_bytes").schema.add("_group", "long"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed and kept_text (kept words, one space between).
 
@@ -147,7 +169,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bucket_bits = max(4, (words // BUCKET_HASHES).bit_length())
     row = F.monotonically_increasing_id()
     rows = docs.withColumns({"_row": row, "_id": F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))), "_text": F.col(text)})
-    rows = (rows.drop(text) if text != key else rows).withColumn("_group", F.shiftright("_row", GROUP_BITS))
+    rows = rows.drop(text) if text != key else rows
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0)).cast("long")
+    rows = rows.withColumn("_bytes", size)
+
+    most = GROUP_BYTES
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -160,7 +186,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             packed = [pack_sorted(hashes[a:b]) + bits_of(np.r_[block[a:b], several[a:b]]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), whole.column("_group")[0].as_py())), pa.array(packed, pa.binary())], names=["bucket", "_group", "packed"])
 
-        for batch in batches:
+        for batch in with_groups(batches, most):  # here, as a step of its own is one more worker for each task
             groups = batch.column("_group").to_numpy()
             cut = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
             for a, b in zip(cut, [*cut[1:], len(groups)]):
@@ -228,7 +254,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         hit[order] = least[order] > np.repeat(smallest, np.diff(np.r_[first, len(values)]))
         return answers(table, hit, [len(x) for x, _ in sources], 1)
 
-    shape = rows.drop("_row", "_id", "_text", "_group").schema
+    shape = rows.drop("_row", "_id", "_text", "_bytes").schema
     if text != key:
         shape = shape.add(text, "string")
     shape = shape.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
@@ -253,8 +279,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         columns |= {text: texts, "n_words": pa.array(total), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())}
         return pa.table({c: columns[c] for c in shape.names})
 
-    own = rows.groupBy("_group")
-    hits = rows.select("_group", "_id", "_text").mapInArrow(probe, "bucket long, _group long, packed binary").groupBy("bucket").applyInArrow(anchors, "_group long, bucket long, step int, bits binary")
+    own = grouped(rows).groupBy("_group")
+    hits = rows.select("_row", "_bytes", "_id", "_text").mapInArrow(probe, "bucket long, _group long, packed binary").groupBy("bucket").applyInArrow(anchors, "_group long, bucket long, step int, bits binary")
     wide = own.cogroup(hits.groupBy("_group")).applyInArrow(extend, "bucket long, _group long, packed binary")
     gone = wide.groupBy("bucket").applyInArrow(earlier, "_group long, bucket long, step int, bits binary")
     return own.cogroup(hits.unionByName(gone).groupBy("_group")).applyInArrow(cut_out, shape)
