@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 END = 2
 #: Texts of these characters need no Unicode rules: printable ASCII, white space, Latin-1 letters.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Words that a worker remembers, about 250 bytes each.
+#: Runs between blanks that a worker remembers, about 220 bytes each.
 MAX_WORDS = 500_000
+#: Characters of the longest of them.
+MAX_LENGTH = 64
 
 
 class WordIds(dict):
-    """A word's ids as little-endian unsigned 32-bit integers."""
+    """The ids of a run between blanks, in lower case and of plain characters, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.whole(word)
+        self.merge = self.tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = (*range(0x21, 0x7F), *range(0xDF, 0x100))
+        self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in letters if c != 0xF7}
+
+    def __missing__(self, run: str) -> bytes:
+        if run.isascii():
+            pieces = (run,) if run.isalpha() else _PIECES.findall(run)
+        else:
+            pieces = [p.translate(self.alphabet) for p in _PIECES.findall(run)]
+        ids = array("I", [t.id for p in pieces for t in self.merge(p)]).tobytes()
+        if len(run) <= MAX_LENGTH:
+            self[run] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -42,9 +55,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def encode(text: str | None, path: str) -> bytes:
     """The text's ids as the library gives them (null: none), little-endian unsigned 32-bit.
 
-    This tokenizer cuts texts into words, numbers and marks before it merges, so a text's ids are
-    those of its pieces in order. Where plain characters make the cut certain, pieces are cut
-    here and each different one is encoded by the library once; other texts go there whole.
+    This tokenizer cuts texts into words, numbers and marks, none of them with a blank, before it
+    merges, so a text's ids are those of its runs between blanks in order. Where plain characters
+    make the cut certain, each different run is merged by the library's model once; other texts go
+    to the library whole.
     """
     words = _known.get(path)
     if words is None:
@@ -55,4 +69,4 @@ def encode(text: str | None, path: str) -> bytes:
         return words.whole(text)
     if len(words) > MAX_WORDS:
         words.clear()
-    return b"".join(map(words.__getitem__, _PIECES.findall(text.lower())))
+    return b"".join(map(words.__getitem__, text.lower().split()))
