@@ -340,16 +340,34 @@ def test_hilbert_neighbours_touch():
 @settings(deadline=None, max_examples=40)
 def test_coded_ids_come_back(ids):
     data = np.array(ids, np.uint32)
-    blocks = rangecoder.encode_blocks(data)
-    assert (rangecoder.decode_blocks(blocks, len(data)) == data).all()
+    head, blocks = rangecoder.encode_blocks(data)
+    assert (rangecoder.decode_blocks(head, blocks, len(data)) == data).all()
 
 
 def test_damage_is_noticed():
     data = np.arange(5000, dtype=np.uint32)
-    blocks = rangecoder.encode_blocks(data)
-    blocks[1] = blocks[1][:9] + bytes([blocks[1][9] ^ 1]) + blocks[1][10:]
-    with pytest.raises(ValueError, match="damaged"):
-        rangecoder.decode_blocks(blocks, len(data))
+    head, blocks = rangecoder.encode_blocks(data)
+    for damaged in ((head[:9] + bytes([head[9] ^ 1]) + head[10:], blocks), (head, [blocks[0], blocks[1][:9] + bytes([blocks[1][9] ^ 1]) + blocks[1][10:], *blocks[2:]]), (head, blocks[1:])):
+        with pytest.raises(ValueError, match="damaged"):
+            rangecoder.decode_blocks(*damaged, len(data))
+
+
+def test_coder_beats_zlib_and_order_0(texts):
+    line = np.frombuffer(b"".join(tokens.encode(t, tokens.tokenizer_path()) + tokens.END.to_bytes(4, "little") for _, t in texts), "<u4")
+    head, blocks = rangecoder.encode_blocks(line)
+    bits = 8 * (len(head) + sum(map(len, blocks))) / len(line)
+    parts = [line[i : i + rangecoder.BLOCK] for i in range(0, len(line), rangecoder.BLOCK)]
+    deflated = 8 * sum(len(zlib.compress(p.astype("<u2").tobytes(), 9)) for p in parts) / len(line)
+    shares = np.unique(line, return_counts=True)[1] / len(line)
+    assert bits < 0.75 * deflated and bits < -(shares * np.log2(shares)).sum()
+
+
+def test_blocks_stand_alone(texts):
+    """Any block decodes to the same ids with the head and itself alone, as far as its size can be had alone."""
+    line = np.frombuffer(tokens.encode(" ".join(t or "" for _, t in texts[:60]), tokens.tokenizer_path()), "<u4")[: 4 * rangecoder.BLOCK]
+    head, blocks = rangecoder.encode_blocks(line)
+    for i in (0, 3):
+        assert (rangecoder.decode_blocks(head, [blocks[i]], rangecoder.BLOCK) == line[i * rangecoder.BLOCK : (i + 1) * rangecoder.BLOCK]).all()
 
 
 def test_token_files_come_back(spark, texts, tokenizer):

@@ -1,193 +1,353 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-A block starts from an empty model. Orders 0, 1 and 2 each predict an id (from nothing, the last id,
-the last two ids) with a confidence; the chance that a prediction of that confidence is right is
-learned, and the chances of the orders that agree on the likeliest id are mixed by learned weights.
-One binary decision says whether that id comes; if not, the id follows as its number of bits, by
-adaptive frequencies, and those bits. Blocks don't depend on each other, so they are coded side by
-side: each numpy operation takes one step in all of them. All arithmetic is on integers.
+An id is coded as one of sixteen events and, where that leaves it open, a place inside a class. The
+events are: the id that the last two ids predict (order 2), the id that the last one predicts
+(order 1), or one of fourteen classes, into which a chunk's ids fall by their neighbours. Three
+distributions over the events, learned in three contexts, are mixed by learned weights: how sure the
+two predictions have been (order 0 but for that), the last id's class (order 1) and the last two
+ids' classes (order 2). Inside a class ids have the chunk's frequencies; the last class is for ids
+too rare for that, whose bits are sent.
+
+The ids, classes and frequencies are in the chunk's head, with the first state of the distributions;
+each block starts from that state and learns for itself, so it needs the head and no other block.
+Blocks are coded side by side: a numpy operation takes one step in all of them. The model computes
+with integers, the coder with whole numbers below 2^53, so results are the same everywhere.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
-U64 = np.uint64
-#: Ids of a block, about; slots of a context table.
+#: Ids of a block, about; slots of the tables that predict ids.
 BLOCK, SLOTS = 2048, 256
-_TOP, _BOTTOM, _WORD, _SHIFT = U64(1 << 48), U64(1 << 32), U64(16), U64(48)
-_START = np.array([1000, 8000, 20000, 32000, 42000, 50000, 56000, 60000], np.int32)
-
-
-class _Ranges:
-    """Subbotin's carryless coder, vectors of 64-bit registers; ``words``: input to decode or None."""
-
-    def __init__(self, lanes: int, steps: int, words: np.ndarray | None):
-        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
-        self.reading = words is not None
-        self.words = words if self.reading else np.zeros((lanes, 5 * steps + 8), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
-        if self.reading:
-            self.code = np.zeros(lanes, U64)
-            for i in range(4):
-                self.code = self.code << _WORD | words[:, i].astype(U64)
-            self.at += 4
-
-    def settle(self, lanes: np.ndarray | int) -> None:
-        """Shifts out what is certain; ``lanes`` are numbers of those that have changed, or how many of the first."""
-        own = slice(0, lanes) if isinstance(lanes, int) else lanes
-        low, size = self.low[own], self.range[own]
-        while True:
-            same = (low ^ (low + size)) < _TOP
-            moved = np.flatnonzero(same | (size < _BOTTOM))
-            if not len(moved):
-                return
-            low, size, same = low[moved], size[moved], same[moved]
-            lanes = moved if isinstance(lanes, int) else lanes[moved]
-            size = np.where(same, size, (U64(0) - low) & (_BOTTOM - U64(1)))
-            at = self.at[lanes]
-            if self.reading:
-                self.code[lanes] = self.code[lanes] << _WORD | self.words[lanes, at].astype(U64)
-            else:
-                self.words[lanes, at] = (low >> _SHIFT).astype(np.uint16)
-            self.at[lanes] = at + 1
-            low, size = low << _WORD, size << _WORD
-            self.low[lanes], self.range[lanes] = low, size
+#: Events: classes (the last for rare ids), the order-1 id, the order-2 id.
+EVENTS, CLASSES, RARE, FIRST, SECOND = 16, 14, 13, 14, 15
+#: Ids with a frequency of their own; bits of shares of events and of ids inside a class.
+KNOWN, EVENT_BITS, INSIDE_BITS = 1 << 14, 15, 15
+#: How fast distributions and weights learn, and every how many steps weights do.
+RATE, WEIGHT_RATE, EVERY = 6, 4, 8
+_WHOLE = 1 << EVENT_BITS
+_LEAST, _WORD = 2.0**32, 2.0**16
+#: Share (of 256) that the events of predicted ids have at first, by how sure they have been.
+_SURE = np.array([4, 40, 110, 180])
+
+
+def _rough(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, on a scale of logarithms."""
+    return np.minimum(255, np.round(8 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
+
+
+#: What a byte of ``_rough`` stands for, 1 at least; a table of rounded numbers, so that all machines agree.
+_SMOOTH = np.array([max(1, round(2 ** (i / 8) * 4) - 4) for i in range(256)], np.int64)
+
+
+def _shares(counts: np.ndarray, whole: int) -> np.ndarray:
+    """Whole numbers from 1, in proportion to ``counts`` and ``whole`` together, along the last axis."""
+    n = counts.shape[-1]
+    own = 1 + counts * (whole - n) // counts.sum(-1, keepdims=True)
+    top = counts.argmax(-1)[..., None]
+    np.put_along_axis(own, top, np.take_along_axis(own, top, -1) + whole - own.sum(-1, keepdims=True), -1)
+    return own
+
+
+@dataclass
+class Head:
+    """What all blocks of a chunk start from."""
+
+    ids: np.ndarray  # known ids by number
+    kinds: np.ndarray  # their classes
+    rough: np.ndarray  # their counts, as ``_rough`` gives them
+    follow: np.ndarray  # how often a class follows two classes, as ``_rough`` gives it
+    bits: int  # of the largest id
+    rare: bool  # whether there are ids without a number
+
+    def __post_init__(self) -> None:
+        known, whole = len(self.ids), 1 << INSIDE_BITS
+        self.all_kinds = np.append(self.kinds, np.uint8(RARE)).astype(np.int64)
+        # Number ``known`` is any rare id; the one after it stands for events that leave nothing open.
+        self.begin, self.share = np.zeros(known + 2), np.full(known + 2, float(whole))
+        self.slots = np.full(EVENTS << INSIDE_BITS, known + 1, np.uint16)
+        self.slots[RARE << INSIDE_BITS : FIRST << INSIDE_BITS] = known
+        for kind in range(RARE):
+            own = np.flatnonzero(self.kinds == kind)
+            if len(own):
+                share = _shares(_SMOOTH[self.rough[own]], whole)
+                self.share[own], self.begin[own] = share, np.cumsum(share) - share
+                self.slots[kind << INSIDE_BITS : kind + 1 << INSIDE_BITS] = np.repeat(own, share)
+
+    def packed(self) -> bytes:
+        data = zlib.compress(b"".join(x.tobytes() for x in (self.follow, self.ids.astype("<u4"), self.kinds, self.rough)))
+        data = bytes([self.bits, self.rare]) + len(self.ids).to_bytes(4, "little") + data
+        return zlib.crc32(data).to_bytes(4, "little") + data
+
+    @staticmethod
+    def unpacked(data: bytes) -> Head:
+        if len(data) < 10 or zlib.crc32(data[4:]) != int.from_bytes(data[:4], "little"):
+            raise ValueError("the head of a chunk is damaged")
+        n, raw = int.from_bytes(data[6:10], "little"), zlib.decompress(data[10:])
+        at = np.cumsum([CLASSES**3, 4 * n, n])
+        follow, ids, kinds, rough = (np.frombuffer(x, d) for x, d in zip((raw[: at[0]], raw[at[0] : at[1]], raw[at[1] : at[2]], raw[at[2] :]), ("u1", "<u4", "u1", "u1")))
+        return Head(ids.astype(np.int64), kinds, rough, follow, data[4], bool(data[5]))
+
+
+def _classes(line: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A class for each known number: k-means over which numbers come before and after it."""
+    known, buckets, direct = len(counts), 64, 40
+    numbers = np.arange(known + 1)
+    where = np.where(numbers < direct, numbers, direct + numbers % (buckets - direct))
+    near = where.take(line)
+    line = line << 6
+    sides = [np.bincount(a + b, minlength=(known + 1) * buckets).reshape(-1, buckets)[:known] for a, b in ((line[:-1], near[1:]), (line[1:], near[:-1]))]
+    shape = np.sqrt(np.hstack(sides) / counts[:, None])
+    mean = shape[np.linspace(0, min(known, 200) - 1, RARE).astype(int)]
+    kind = np.zeros(known, np.int64)
+    for _ in range(10):
+        kind = np.argmax(shape @ mean.T - (mean**2).sum(1) / 2, axis=1)
+        weight = np.zeros((RARE, known))
+        weight[kind, np.arange(known)] = counts
+        sums = weight.sum(1, keepdims=True)
+        mean = np.where(sums > 0, weight @ shape / np.maximum(sums, 1), mean)
+    return kind
+
 
-    def finish(self) -> list[bytes]:
-        for i in range(4):
-            self.words[np.arange(len(self.at)), self.at + i] = (self.low >> U64(48 - 16 * i)).astype(np.uint16)
-        return [w[: n + 4].tobytes() for w, n in zip(self.words, self.at)]
+def numbered(ids: np.ndarray) -> tuple[Head, np.ndarray]:
+    """The head of a chunk and its ids as numbers, most frequent first; all rare ids have the last number."""
+    top = int(ids.max())
+    if top < 1 << 20:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        place, counts = ids, counts[values]
+    else:
+        values, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((values, -counts))[:KNOWN]
+    order = order[counts[order] > 1]
+    known = len(order)
+    number = np.full(top + 1 if place is ids else len(values), known, np.int64)
+    number[values[order] if place is ids else order] = np.arange(known)
+    line = number.take(place)
+    kinds = (_classes(line, counts[order]) if known else np.zeros(0)).astype(np.uint8)
+    own = np.append(kinds, np.uint8(RARE)).astype(np.int16).take(line)
+    follow = np.bincount((own[:-2] * np.int16(CLASSES) + own[1:-1]) * np.int16(CLASSES) + own[2:], minlength=CLASSES**3)
+    return Head(values[order].astype(np.int64), kinds, _rough(counts[order]), _rough(follow), top.bit_length(), known < len(values)), line
 
 
-class _Model:
-    def __init__(self, lanes: int, kinds: int):
-        self.lane = np.arange(lanes)
-        self.kind = np.int32 if kinds < 28 else np.int64
-        self.tables = [np.zeros(lanes * n, self.kind) for n in (1, SLOTS, SLOTS)]  # id * 8 + confidence
-        self.chances = [np.tile(_START, lanes) for _ in range(3)]
-        self.weights = [np.full(lanes, 256, np.int32) for _ in range(3)]
-        self.classes = np.ones((lanes, kinds), np.int32)
+def _cumulated(shares: np.ndarray) -> np.ndarray:
+    return np.cumsum(shares, -1) - shares
 
 
-def _run(ids: np.ndarray | None, sizes: np.ndarray, words: np.ndarray | None, kinds: int) -> tuple[np.ndarray, list[bytes]]:
-    """Codes ``ids`` (lanes, steps), or decodes ``words``; lane sizes fall by one at most and don't rise.
+def _first_states(head: Head) -> list[np.ndarray]:
+    """Cumulated shares of the events in each context of the three orders, as every block starts."""
+    counts = _SMOOTH[head.follow].reshape((CLASSES,) * 3)
 
-    ``kinds``: ids have less than so many bits.
+    def events(classes: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """``sure``: shares of 256 for the predicted ids."""
+        classes = _shares(classes, _WHOLE >> 1) * (256 - sure.sum(-1, keepdims=True)) >> 8
+        return _cumulated(_shares(np.concatenate([classes + 1, np.broadcast_to(sure * (_WHOLE >> 9), (*classes.shape[:-1], 2))], -1), _WHOLE))
+
+    both = np.stack(np.broadcast_arrays(_SURE[None, :], _SURE[:, None]), -1).reshape(16, 2) * 2 // 3
+    some = np.array([16, 16])
+    order0 = events(np.broadcast_to(counts.sum((0, 1)), (16, CLASSES)), both)
+    order1 = events(counts.sum(0), some)
+    order2 = events(counts * 8 + counts.sum(0) * 8 // counts.sum((0, 2))[:, None] + 1, some).reshape(-1, EVENTS)
+    return [order0, order1, order2]
+
+
+_TOP = _WHOLE - 1
+_NEXT = np.where(np.arange(EVENTS)[None, :] > np.arange(EVENTS)[:, None], _TOP, 0).astype(np.int16)
+#: Mixing: shares in 10 bits times weights that add up to 31; what is left to 2^15 is dealt out evenly.
+_CUT, _WEIGHTS = 5, 31
+_FLOOR = (np.arange(EVENTS) * ((_WHOLE - _WEIGHTS * (_TOP >> _CUT)) // EVENTS)).astype(np.int16)
+#: A prediction's sureness after a miss (first four) or a hit, as a step.
+_STEP = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int32)
+_ROW = np.dtype((np.void, 2 * EVENTS))
+
+
+def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
+    """Codes ``line`` (numbers, a row for each step; ``raw``: their ids), or decodes ``words``, to ids.
+
+    A column is a block; sizes differ by one at most and don't rise.
     """
     lanes, steps = len(sizes), int(sizes[0])
-    coder, model = _Ranges(lanes, steps, words), _Model(lanes, kinds)
-    out = np.zeros((lanes, steps), np.int64) if ids is None else ids
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    coding, known = line is not None, len(head.ids)
+    states = [t.astype(np.int16) for t in _first_states(head)]
+    tables = [np.tile(t, (lanes, 1)).view(_ROW).reshape(-1) for t in states]
+    bases = [np.arange(lanes) * len(t) for t in states]
+    guesses = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # number * 4 + how sure
+    wide_weights = [np.repeat(np.array([w], np.int16), lanes * EVENTS).reshape(lanes, EVENTS) for w in (10, 10, 11)]
+    weights = [np.full(lanes, _WEIGHTS * 256 // 3, np.int32) for _ in range(2)]
+    floor = np.tile(_FLOOR, (lanes, 1))
+    room = np.zeros(lanes * EVENTS + 1, np.int16)
+    low, span = np.zeros(lanes), np.full(lanes, _LEAST * _WORD)
+    at = np.arange(lanes)  # the next word of each block, in rows of words of all blocks
+    if coding:
+        stream = np.zeros((4 * steps + 8) * lanes, np.int32)
+        found = stream[:0]
+    else:
+        stream, found = words.reshape(-1), np.zeros((steps, lanes), np.uint32)
+        code = words[0] * _LEAST + words[1] * _WORD + words[2]
+        at += 3 * lanes
+    kinds, ids = head.all_kinds, np.append(head.ids, 0).astype(np.uint32)
+
+    def settle(moved: np.ndarray) -> None:
+        """Shifts words out of or into these lanes until their spans are large again."""
+        while len(moved):
+            where = at[moved]
+            if coding:
+                high = np.floor(low[moved] * (1.0 / _LEAST))
+                stream[where] = high
+                low[moved] = (low[moved] - high * _LEAST) * _WORD
+            else:
+                code[moved] = code[moved] * _WORD + stream[where]
+            at[moved] = where + lanes
+            grown = span[moved] * _WORD
+            span[moved] = grown
+            moved = moved[grown < _LEAST]
+
+    def rare_ids(t: int, rare: np.ndarray) -> None:
+        """The bits of ids without a number, 16 at a time."""
+        for shift in range(16 * ((head.bits - 1) // 16), -1, -16) if head.bits else ():
+            wide = min(16, head.bits - shift)
+            inner = np.floor(span[rare] * 2.0**-wide)
+            if coding:
+                low[rare] += inner * ((raw[t, rare].astype(np.int64) >> shift) & ((1 << wide) - 1))
+            else:
+                value = np.minimum((code[rare] / inner).astype(np.int64), (1 << wide) - 1)
+                code[rare] -= inner * value
+                found[t, rare] += (value << shift).astype(np.uint32)
+            span[rare] = inner
+            settle(rare[inner < _LEAST])
+
+    n = lanes
+    lane, places = np.arange(lanes) * SLOTS, np.arange(lanes) * EVENTS
+    one = two = kind_one = kind_two = np.zeros(lanes, np.int64)
     for t in range(steps):
-        n = lanes if t < sizes[-1] else int((sizes > t).sum())
-        lane = model.lane[:n]
-        one, two = last[:n], before[:n]
-        spots = [lane, lane * SLOTS + (one * 40503 >> 4 & SLOTS - 1), lane * SLOTS + ((one * 40503 + two * 30011) >> 3 & SLOTS - 1)]
-        entries = [table[spot] for table, spot in zip(model.tables, spots)]
-        predicted = [e >> 3 for e in entries]
-        marks = [lane * 8 + (e & 7) for e in entries]
-        chance = [c[m] for c, m in zip(model.chances, marks)]
-        best = np.where(chance[2] >= chance[1], 2, 1)
-        best = np.where(np.maximum(chance[1], chance[2]) >= chance[0], best, 0)
-        guess = np.where(best == 2, predicted[2], np.where(best == 1, predicted[1], predicted[0]))
-        agree = [p == guess for p in predicted]
-        held = [np.where(a, w[:n], 0) for a, w in zip(agree, model.weights)]
-        mixed = (held[0] * chance[0] + held[1] * chance[1] + held[2] * chance[2]) // np.maximum(held[0] + held[1] + held[2], 1)
-        part = (coder.range[:n] >> _WORD) * np.clip(mixed, 64, 65472).astype(U64)
-        if ids is None:
-            hit = coder.code[:n] - coder.low[:n] < part
+        if t >= sizes[-1] and n == lanes:  # the last step of the longer blocks
+            n = int((sizes > t).sum())
+            one, two, kind_one, kind_two, lane, places, floor = (x[:n] for x in (one, two, kind_one, kind_two, lane, places, floor))
+            bases, wide_weights = [b[:n] for b in bases], [w[:n] for w in wide_weights]
+        hashed = one * 40503
+        spots = [lane + (hashed >> 4 & SLOTS - 1), lane + (hashed + two * 30011 >> 3 & SLOTS - 1)]
+        entries = [table.take(spot) for table, spot in zip(guesses, spots)]
+        sure = [e & 3 for e in entries]
+        guess1, guess2 = entries[0] >> 2, entries[1] >> 2
+        rows = [bases[0] + (sure[1] << 2 | sure[0]), bases[1] + kind_one, bases[2] + (kind_two * CLASSES + kind_one)]
+        own = [table.take(row).view(np.int16).reshape(n, EVENTS) for table, row in zip(tables, rows)]
+        mixed = np.multiply(own[0] >> _CUT, wide_weights[0], out=room[: n * EVENTS].reshape(n, EVENTS))
+        for k in (1, 2):
+            part = own[k] >> _CUT
+            part *= wide_weights[k]
+            mixed += part
+        mixed += floor
+        unit = np.floor(span[:n] * (1.0 / _WHOLE))
+        if coding:
+            now = line[t, :n].astype(np.int64)
+            event = kinds.take(now)
+            plain = event != RARE
+            event[(guess1 == now) & plain] = FIRST
+            event[(guess2 == now) & plain] = SECOND
         else:
-            hit = ids[:n, t] == guess
-        coder.low[:n] += np.where(hit, U64(0), part)
-        coder.range[:n] = np.where(hit, part, coder.range[:n] - part)
-        coder.settle(n)
-        missed = np.flatnonzero(~hit)
-        if ids is None:
-            out[:n, t] = guess
-        if len(missed):
-            counts = model.classes[missed]
-            ends = np.cumsum(counts, axis=1, dtype=np.int32)
-            share = coder.range[missed] // ends[:, -1].astype(U64)
-            if ids is None:
-                value = ((coder.code[missed] - coder.low[missed]) // share).astype(np.int64)
-                kind = np.minimum((ends <= value[:, None]).sum(1), kinds - 1)
-            else:
-                kind = np.frexp(ids[missed, t].astype(np.float64))[1].astype(np.int64)
-            row = np.arange(len(missed))
-            own = counts[row, kind]
-            coder.low[missed] += share * (ends[row, kind] - own).astype(U64)
-            coder.range[missed] = share * own.astype(U64)
-            coder.settle(missed)
-            counts[row, kind] += 24
-            full = np.flatnonzero(ends[:, -1] > 1 << 14)
-            if len(full):
-                counts[full] = (counts[full] + 1) >> 1
-            model.classes[missed] = counts
-            bits = np.maximum(kind - 1, 0)
-            least = np.where(kind > 0, 1 << bits, 0)
-            long = [(16, np.maximum(bits - 16, 0))] if kinds > 18 else []
-            for shift, width in (*long, (0, np.minimum(bits, 16))):  # the high bits of long ids first
-                some = np.flatnonzero(width > 0)
-                if not len(some):
-                    continue
-                at, width = missed[some], width[some].astype(U64)
-                share = coder.range[at] >> width
-                if ids is None:
-                    value = np.minimum((coder.code[at] - coder.low[at]) // share, (U64(1) << width) - U64(1))
-                    least[some] += value.astype(np.int64) << shift
-                else:
-                    value = ((ids[at, t] - least[some]) >> shift).astype(U64) & ((U64(1) << width) - U64(1))
-                coder.low[at] += share * value
-                coder.range[at] = share
-                coder.settle(at)
-            if ids is None:
-                out[missed, t] = least
-        now = out[:n, t]
-        fresh, goal = ((now << 3) + 1).astype(model.kind), np.where(hit, np.int32(1024), np.int32(0))
-        for k in range(3):
-            right, entry = predicted[k] == now, entries[k]
-            model.chances[k][marks[k]] = chance[k] + ((right * np.int32(65535) - chance[k]) >> 4)
-            trust = entry & 7
-            model.tables[k][spots[k]] = np.where(right, entry + (trust < 7), np.where(trust > 1, entry - trust + (trust >> 1), fresh))
-            w = model.weights[k][:n]
-            w += agree[k] * ((goal - w) >> 5)
-        before[:n], last[:n] = one, now
-    return out, [] if ids is None else coder.finish()
-
-
-def _shape(tokens: int) -> np.ndarray:
+            value = np.minimum(code[:n] / unit, _TOP).astype(np.int16)
+            under = (mixed <= value[:, None]).view(np.uint64)
+            event = (np.bitwise_count(under[:, 0]) + np.bitwise_count(under[:, 1])).astype(np.int64)
+            event -= 1
+        place = places + event
+        after = place + 1
+        start = room.take(place)
+        share = (room.take(after) - start) & _TOP
+        first, size = unit * start, unit * share
+        inner = np.floor(size * (1.0 / (1 << INSIDE_BITS)))
+        if coding:
+            number = np.where(event >= RARE, known + 1, now)
+            first += inner * head.begin.take(number)
+            low[:n] += first
+        else:
+            rest = code[:n] - first
+            slot = np.minimum(rest / inner, (1 << INSIDE_BITS) - 1).astype(np.int64)
+            number = head.slots.take((event << INSIDE_BITS) + slot).astype(np.int64)
+            now = number.copy()
+            for which, guess in ((FIRST, guess1), (SECOND, guess2)):
+                np.copyto(now, guess, where=event == which)
+            code[:n] = rest - inner * head.begin.take(number)
+            found[t, :n] = ids.take(now)
+        size = inner * head.share.take(number)
+        span[:n] = size
+        settle(np.flatnonzero(size < _LEAST))
+        if head.rare:
+            rare = np.flatnonzero(event == RARE)
+            if len(rare):
+                rare_ids(t, rare)
+        if t % EVERY == 0:
+            chances = []
+            for part in own:
+                cut = np.append(part.reshape(-1), np.int16(0))
+                chances.append(((cut.take(after) - cut.take(place)) & _TOP).astype(np.int32) + 8)
+            total = chances[0] + chances[1] + chances[2]
+            for weight, chance in zip(weights, chances):
+                weight[:n] += ((chance * (_WEIGHTS << 8) // total) - weight[:n]) >> WEIGHT_RATE
+            whole = [weight[:n] >> 8 for weight in weights]
+            for wide, weight in zip(wide_weights, (*whole, _WEIGHTS - whole[0] - whole[1])):
+                wide[:] = weight[:, None]
+        goal = _NEXT.take(event, axis=0)
+        for table, row, part in zip(tables, rows, own):
+            change = goal - part
+            change >>= RATE
+            part += change
+            table[row] = part.view(_ROW).reshape(-1)
+        for table, spot, entry, was, guess in zip(guesses, spots, entries, sure, (guess1, guess2)):
+            was += (guess == now) * np.int32(4)
+            entry += _STEP.take(was)
+            np.copyto(entry, now << 2, where=was == 0, casting="unsafe")
+            table[spot] = entry
+        kind_two, kind_one, two, one = kind_one, kinds.take(now), one, now
+    if not coding:
+        return found, []
+    for _ in range(3):
+        high = np.floor(low * (1.0 / _LEAST))
+        stream[at] = high
+        low = (low - high * _LEAST) * _WORD
+        at += lanes
+    used = at // lanes
+    stream = stream.reshape(-1, lanes)[: used.max()]
+    for i in range(len(stream) - 1, 0, -1):  # carries go to the left
+        stream[i - 1] += stream[i] >> 16
+    return found, [row[:end].tobytes() for row, end in zip((stream & 0xFFFF).astype("<u2").T.copy(), used)]
+
+
+def _sizes(tokens: int) -> np.ndarray:
     lanes = max(1, -(-tokens // BLOCK))
     sizes = np.full(lanes, tokens // lanes, np.int64)
     sizes[: tokens % lanes] += 1
     return sizes
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of ids (up to 32 bits): a checksum of the rest, the number of kinds of length, the code."""
+def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The head of a chunk and its blocks of ids (up to 32 bits); each begins with a checksum of the rest."""
     if not len(ids):
-        return []
-    sizes = _shape(len(ids))
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    table = np.zeros((len(sizes), sizes[0]), np.int64)
+        return b"", []
+    head, line = numbered(ids)
+    sizes = _sizes(len(ids))
     inside = np.arange(sizes[0])[None, :] < sizes[:, None]
-    table[inside] = ids
-    assert starts[-1] + sizes[-1] == len(ids)
-    kinds = int(table.max()).bit_length() + 1
-    coded = (bytes([kinds, 0]) + data for data in _run(table, sizes, None, kinds)[1])
-    return [zlib.crc32(data).to_bytes(4, "little") + data for data in coded]
+
+    def by_step(values: np.ndarray, kind: type) -> np.ndarray:
+        table = np.zeros(inside.shape, kind)
+        table[inside] = values
+        return np.ascontiguousarray(table.T)
+
+    coded = _run(head, sizes, by_step(line, np.uint16), by_step(ids, np.uint32) if head.rare else None, None)[1]
+    return head.packed(), [zlib.crc32(data).to_bytes(4, "little") + data for data in coded]
 
 
-def decode_blocks(blocks: list[bytes], tokens: int) -> np.ndarray:
-    """The ids; raises if a block isn't what was written."""
+def decode_blocks(head: bytes, blocks: list[bytes], tokens: int) -> np.ndarray:
+    """The ids; raises if the head or a block isn't what was written."""
     if not tokens:
         return np.zeros(0, np.uint32)
-    sizes = _shape(tokens)
+    sizes = _sizes(tokens)
     if len(sizes) != len(blocks) or any(zlib.crc32(b[4:]) != int.from_bytes(b[:4], "little") for b in blocks):
         raise ValueError("a block is damaged or missing")
     words = np.zeros((len(blocks), max(map(len, blocks)) // 2 + 8), np.uint16)
     for row, data in zip(words, blocks):
-        row[: len(data) // 2 - 3] = np.frombuffer(data, np.uint16, offset=6)
-    return _run(None, sizes, words, blocks[0][4])[0][np.arange(sizes[0])[None, :] < sizes[:, None]].astype(np.uint32)
+        row[: len(data) // 2 - 2] = np.frombuffer(data, "<u2", offset=4)
+    return _run(Head.unpacked(head), sizes, None, None, words.T.astype(np.float64, order="C"))[0].T[np.arange(sizes[0])[None, :] < sizes[:, None]]

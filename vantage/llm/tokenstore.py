@@ -1,9 +1,10 @@
 """Token-id files: ids in ascending document order, coded in independent, checksummed blocks.
 
 The format: a Parquet table with a row per chunk of whole documents: ``part`` and ``chunk`` (their
-order is that of the ids), ``doc_ids``, ``doc_tokens``, ``tokens`` and ``blocks``, the chunk's ids
-in blocks as ``rangecoder`` makes them: four bytes of CRC-32 of the rest, two with the number of
-kinds of length, then 16-bit words of the range coder, all in little-endian order. Parquet gives atomic commits and reads on any file system.
+order is that of the ids), ``doc_ids``, ``doc_tokens``, ``tokens``, ``head`` and ``blocks``, the
+chunk's ids in blocks as ``rangecoder`` makes them. Head and blocks begin with four bytes of CRC-32
+of the rest; blocks go on with 16-bit words of the range coder, all in little-endian order. Parquet
+gives atomic commits and reads on any file system.
 """
 
 from __future__ import annotations
@@ -22,14 +23,19 @@ from vantage.llm.tokens import END, encode, tokenizer_path
 
 #: Ids of a chunk, about; a longer document has one of its own.
 CHUNK = 4 << 20
-SCHEMA = "part int, chunk int, doc_ids array<long>, doc_tokens array<long>, tokens long, blocks array<binary>"
+SCHEMA = "part int, chunk int, doc_ids array<long>, doc_tokens array<long>, tokens long, head binary, blocks array<binary>"
 _ARROW = pa.schema(
-    [("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("tokens", pa.int64()), ("blocks", pa.list_(pa.binary()))]
+    [("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("tokens", pa.int64()), ("head", pa.binary()), ("blocks", pa.list_(pa.binary()))]
 )
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes every text (null: empty) and the end id after it, and writes them by ascending key (nulls first)."""
+    """Encodes every text (null: empty) and the end id after it, and writes them by ascending key (nulls first).
+
+    Rows with one key go by their texts (null first), so that each attempt writes the same; rows
+    that are equal in both can't be told apart. No other column is read. A table without rows
+    gives files without rows. A text is never cut: a longer one than ``CHUNK`` has a chunk of its own.
+    """
     tokenizer = tokenizer or tokenizer_path()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,8 +43,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key:
 
         def coded() -> pa.RecordBatch:
             line = np.frombuffer(b"".join(waiting), "<u4")
+            head, blocks = encode_blocks(line)
             return pa.RecordBatch.from_pylist(
-                [{"part": part, "chunk": number, "doc_ids": ids, "doc_tokens": [len(x) // 4 for x in waiting], "tokens": len(line), "blocks": encode_blocks(line)}], schema=_ARROW
+                [{"part": part, "chunk": number, "doc_ids": ids, "doc_tokens": [len(x) // 4 for x in waiting], "tokens": len(line), "head": head, "blocks": blocks}], schema=_ARROW
             )
 
         end = END.to_bytes(4, "little")
@@ -55,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key:
             yield coded()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(chunks, SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(chunks, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -66,8 +73,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, chunk, doc_ids, sizes, tokens, blocks = (batch.column(i)[row].as_py() for i in range(6))
-                line = decode_blocks(blocks, tokens)
+                part, chunk, doc_ids, sizes, tokens, head, blocks = (batch.column(i)[row].as_py() for i in range(7))
+                line = decode_blocks(head, blocks, tokens)
                 ends = np.cumsum(sizes)
                 docs = [line[e - n : e] for e, n in zip(ends, sizes)]
                 columns = [np.full(len(docs), part, np.int32), np.full(len(docs), chunk, np.int32), doc_ids, ends - np.array(sizes), sizes, [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]]
@@ -75,7 +82,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     columns.append([d.astype(np.int64) for d in docs])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-    docs = stored.select("part", "chunk", "doc_ids", "doc_tokens", "tokens", "blocks").mapInArrow(
+    docs = stored.select("part", "chunk", "doc_ids", "doc_tokens", "tokens", "head", "blocks").mapInArrow(
         decode, "part int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     )
     sizes = stored.select("part", "chunk", "tokens")
