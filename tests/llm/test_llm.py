@@ -272,7 +272,7 @@ def test_ids_are_the_library_s(text):
     assert np.frombuffer(tokens.encode(text, tokens.tokenizer_path()), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
-def test_packing_has_each_id_once_and_no_padding(spark, texts, tokenizer):
+def test_packing_has_each_id_once_and_little_padding(spark, texts, tokenizer):
     by: dict = {}
     sequences: dict = {}
     for r in queries.op6_packing(spark, SF).collect():
@@ -283,14 +283,39 @@ def test_packing_has_each_id_once_and_no_padding(spark, texts, tokenizer):
         at = 0
         for r in sorted(by[doc_id], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+            assert r.length > 1 or len(ids) == 1  # no piece is an end alone
             at += r.length
         assert at == len(ids)
+    tokens = 0
     for parts in sequences.values():
         end = 0
         for offset, length in sorted(parts):
             assert offset == end
             end += length
-        assert end <= 4096 and end & (end - 1) == 0
+        assert end <= 4096
+        tokens += end
+    assert tokens > 0.96 * 4096 * len(sequences) and sum(map(len, by.values())) < 2.5 * len(by)
+
+
+@given(st.lists(st.integers(1, 9000), max_size=300), st.sampled_from([1, 7, 64, 1000, 4096]))
+@settings(deadline=None, max_examples=60)
+def test_pieces_fill_classes_with_fixed_counts(lengths, capacity):
+    bins, placed = packing.HarmonicBins(capacity, 3), []
+    for n in lengths:
+        for start, length in packing.pieces(n, capacity):
+            assert 0 < length <= capacity
+            placed.extend(bins.add((n, start, length), length))
+    full = len(placed)
+    placed.extend(bins.rest())
+    assert sum(p[0][2] for p in placed) == sum(lengths)
+    held: dict = {}
+    for i, ((_, _, length), sequence, offset) in enumerate(placed):
+        assert offset == sum(x for x, _ in held.get(sequence, []))
+        held.setdefault(sequence, []).append((length, i < full))
+    for members in held.values():
+        assert sum(x for x, _ in members) <= capacity
+        kinds = {min(capacity // x, packing.CLASSES) for x, by_class in members if by_class}
+        assert not kinds or (len(kinds) == 1 and (kinds == {packing.CLASSES} or len(members) in kinds))
 
 
 def test_neighbours_reach_the_recall(spark):

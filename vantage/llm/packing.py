@@ -1,10 +1,12 @@
 """Harmonic packing of token sequences.
 
-Classes are the reciprocals of the capacity, C/1, C/2, C/4 .. C/C. A document is cut into pieces
-whose lengths are exactly those of classes (whole sequences first, then the binary digits of what
-is left), and a class's sequence takes a fixed count of its pieces: k of C/k. So full sequences
-have no padding. Every worker fills the classes of its own documents; what is left in a class at
-its end, less than k pieces, makes sequences of a power of two tokens, which need none either.
+Classes are the reciprocals of the capacity: a piece of class k has at most C/k tokens, and a
+class's sequence takes a fixed count of pieces, k. A document, or what is left of it, stays whole in
+the class of its length if k such pieces leave at most a small share of a sequence empty; all pieces
+of up to C/16 tokens do. Otherwise a piece of exactly C/k tokens is cut off its front, for the
+smallest k that leaves no scrap, and so on with the rest. The last class takes all short pieces, as
+many as fit. Every worker fills the classes of its own documents; what is left in them at its end
+shares sequences, the longest pieces first.
 """
 
 from __future__ import annotations
@@ -21,43 +23,70 @@ from pyspark.sql import functions as F
 from vantage.llm.tokens import END, encode, tokenizer_path
 
 
+#: Share of a sequence that whole pieces of a class may leave empty.
+SLACK = 1 / 32
+#: Pieces of up to C/WHOLE tokens are never cut; those of up to C/CLASSES are the last class.
+WHOLE, CLASSES = 16, 64
+#: No cut leaves fewer tokens than this, or than C/64.
+SCRAP = 16
+
+
 class HarmonicBins:
     """Places pieces of one worker; each sequence number has the worker's number above bit 40."""
 
     def __init__(self, capacity: int, worker: int):
-        if capacity & (capacity - 1):
-            raise ValueError("the capacity is a power of two")
         self.capacity, self.next = capacity, worker << 40
-        self.open: dict[int, list] = {}
-
-    def _place(self, pieces: list, length: int) -> Iterator[tuple]:
-        yield from ((piece, self.next, i * length) for i, piece in enumerate(pieces))
+        self.open: dict[int, list[tuple[object, int]]] = {}
+        self.filled = 0  # tokens waiting in the last class
+
+    def _place(self, pieces: list[tuple[object, int]]) -> Iterator[tuple]:
+        offset = 0
+        for piece, length in pieces:
+            yield piece, self.next, offset
+            offset += length
         self.next += 1
 
     def add(self, piece: object, length: int) -> Iterator[tuple]:
-        """Pieces (piece, sequence, offset) of the class's sequence once it is full."""
-        if length == self.capacity:
-            yield piece, self.next, 0
-            self.next += 1
-            return
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) * length == self.capacity:
-            yield from self._place(self.open.pop(length), length)
+        """Pieces (piece, sequence, offset) of the class's sequence once it has all it takes."""
+        kind = min(self.capacity // length, CLASSES)
+        waiting = self.open.setdefault(kind, [])
+        if kind == CLASSES:
+            if self.filled + length > self.capacity:
+                yield from self._place(self.open.pop(kind))
+                waiting, self.filled = self.open.setdefault(kind, []), 0
+            self.filled += length
+        waiting.append((piece, length))
+        if kind < CLASSES and len(waiting) == kind:
+            yield from self._place(self.open.pop(kind))
 
     def rest(self) -> Iterator[tuple]:
-        for length, waiting in sorted(self.open.items()):
-            while waiting:
-                n = 1 << (len(waiting).bit_length() - 1)
-                yield from self._place(waiting[:n], length)
-                waiting = waiting[n:]
+        """What waits, fewer than CLASSES ** 2 pieces and a sequence of short ones: each in the first sequence with room."""
+        shared: list[tuple[list, int]] = []
+        for piece, length in sorted((x for kind in sorted(self.open) for x in self.open[kind]), key=lambda x: -x[1]):
+            at = next((n for n, (_, room) in enumerate(shared) if room >= length), len(shared))
+            if at == len(shared):
+                shared.append(([], self.capacity))
+            held, room = shared[at]
+            held.append((piece, length))
+            shared[at] = held, room - length
+        for held, _ in shared:
+            yield from self._place(held)
+        self.open, self.filled = {}, 0
 
 
 def pieces(tokens: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """Starts and lengths: whole sequences, then powers of two from large to small."""
-    start = 0
+    """Starts and lengths of the pieces that a document of so many tokens is cut into."""
+    start, scrap = 0, min(SCRAP, capacity // 64)
     while start < tokens:
-        length = min(capacity, 1 << ((tokens - start).bit_length() - 1))
+        left = tokens - start
+        kind = max(1, -(-capacity // left))
+        fits = capacity // left
+        if left * WHOLE <= capacity or (fits and capacity - fits * left <= SLACK * capacity):
+            length = left
+        else:
+            while 0 < left - capacity // kind < scrap:
+                kind += 1
+            length = capacity // kind
         yield start, length
         start += length
 
@@ -69,7 +98,9 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, with_ids: bool = True,
     """One row per piece: where it is in its document, its checksum, and its place in a sequence.
 
     A document is its ids and the end id, so a null or empty text is one token. ``with_ids`` adds
-    the piece's ids. Nothing is shuffled: sequences hold pieces of one input partition, so the
+    the piece's ids. Sequences have up to ``capacity`` tokens, and are to be padded to that. Rows
+    with one key, or with none, are packed each for itself; other columns are not read, and a table
+    without rows gives none. Nothing is shuffled: sequences hold pieces of one input partition, so the
     input has to be a table that is read, whose partitions are the same in each attempt.
     """
     path = path or tokenizer_path()
