@@ -22,13 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Ids of a block, about; slots of the tables that predict ids.
-BLOCK, SLOTS = 2048, 256
+BLOCK, SLOTS = 2048, 128
 #: Events: classes (the last for rare ids), the order-1 id, the order-2 id.
 EVENTS, CLASSES, RARE, FIRST, SECOND = 16, 14, 13, 14, 15
 #: Ids with a frequency of their own; bits of shares of events and of ids inside a class.
 KNOWN, EVENT_BITS, INSIDE_BITS = 1 << 14, 15, 15
 #: How fast distributions and weights learn, and every how many steps weights do.
-RATE, WEIGHT_RATE, EVERY = 6, 4, 8
+RATE, WEIGHT_RATE, EVERY = 6, 3, 16
 _WHOLE = 1 << EVENT_BITS
 _LEAST, _WORD = 2.0**32, 2.0**16
 #: Share (of 256) that the events of predicted ids have at first, by how sure they have been.
@@ -244,10 +244,13 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
         unit = np.floor(span[:n] * (1.0 / _WHOLE))
         if coding:
             now = line[t, :n].astype(np.int64)
-            event = kinds.take(now)
-            plain = event != RARE
-            event[(guess1 == now) & plain] = FIRST
-            event[(guess2 == now) & plain] = SECOND
+            kind = kinds.take(now)
+            event = kind.copy()
+            for which, guess in ((FIRST, guess1), (SECOND, guess2)):
+                hit = guess == now
+                if head.rare:
+                    hit &= now != known
+                np.copyto(event, which, where=hit)
         else:
             value = np.minimum(code[:n] / unit, _TOP).astype(np.int16)
             under = (mixed <= value[:, None]).view(np.uint64)
@@ -260,7 +263,8 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
         first, size = unit * start, unit * share
         inner = np.floor(size * (1.0 / (1 << INSIDE_BITS)))
         if coding:
-            number = np.where(event >= RARE, known + 1, now)
+            number = now.copy()
+            np.copyto(number, known + 1, where=event >= RARE)
             first += inner * head.begin.take(number)
             low[:n] += first
         else:
@@ -272,6 +276,7 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
                 np.copyto(now, guess, where=event == which)
             code[:n] = rest - inner * head.begin.take(number)
             found[t, :n] = ids.take(now)
+            kind = kinds.take(now)
         size = inner * head.share.take(number)
         span[:n] = size
         settle(np.flatnonzero(size < _LEAST))
@@ -301,7 +306,7 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
             entry += _STEP.take(was)
             np.copyto(entry, now << 2, where=was == 0, casting="unsafe")
             table[spot] = entry
-        kind_two, kind_one, two, one = kind_one, kinds.take(now), one, now
+        kind_two, kind_one, two, one = kind_one, kind, one, now
     if not coding:
         return found, []
     for _ in range(3):
