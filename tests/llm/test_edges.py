@@ -149,3 +149,20 @@ def test_nearest(spark):
     assert [v for _, v, _ in sorted(got[220])] == [200 + i for i in range(20)]
     assert all([n for n, _, _ in sorted(v)] == list(range(1, 21)) for v in got.values())
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_neighbours_of_repeated_ids_and_a_hot_vector(spark):
+    """Rows with one id are one vector, the smallest; a third of all rows have one vector."""
+    rows = [(i, [float(i % 7), 1.0, float(i % 11)]) for i in range(300)] + [(i, [2.0, 2.0, 2.0]) for i in range(300, 450)]
+    repeated = [rows[0], rows[20], rows[20], (40, [9.0, 1.0, 9.0]), rows[301], (320, [2.0, 2.0, 3.0])]
+    table = spark.createDataFrame(rows + repeated, "vec_id long, embedding array<double>")
+    held = {}
+    for i, v in rows + repeated:
+        held[i] = min(held.get(i, v), v)
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in held if i % 20 == 0}
+    for i, found in got.items():
+        best = sorted((-sum(x * y for x, y in zip(held[i], v)), j) for j, v in held.items() if j != i)[:20]
+        assert [(j, -s) for s, j in best] == [(j, s) for _, j, s in sorted(found)]

@@ -355,6 +355,24 @@ def test_tasks_of_neighbours_are_bounded_on_both_sides(spark, monkeypatch):
     assert len(sizes) == 2 and min(sizes) > 0
 
 
+def test_clustered_vectors_are_found_in_narrow_windows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 12)) * 4
+    x = centres[np.arange(6000) % 60] + rng.standard_normal((6000, 12)) * 0.05
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    windows, tasks = [], ann._tasks
+    monkeypatch.setattr(ann, "_tasks", lambda places, window, total: (windows.append(window), tasks(places, window, total))[1])
+    got: dict = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for i in range(0, 6000, 20):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        recall.append(len(set(np.lexsort((np.arange(6000), -scores))[:20].tolist()) & got[i]) / 20)
+    assert windows[0] * 8 < 6000 and np.mean(recall) >= 0.9
+
+
 def test_hilbert_neighbours_touch():
     keys = ann.hilbert_keys(np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)]), 3)
     points = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])[np.argsort(keys)]

@@ -3,8 +3,9 @@
 Vectors are projected to a few dimensions, several times, shifted, and ordered along a Hilbert
 curve each time. Spark ranges the vectors by their place on each curve; a query looks at the
 places around its own on all curves, and the best of all windows are merged. The window is as wide
-as a sample of queries with known neighbours needs: on clustered vectors a small part, on vectors
-without structure (whose neighbours lie in no direction together) most of the curve.
+as a sample of queries with known neighbours needs. On vectors without structure, whose neighbours
+lie together in no direction, the windows of all curves would hold more than the table; then one
+curve is searched whole, which is exact and compares less.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from vantage.llm.common import kept
 
 DIMS, BITS = 4, 8
 #: Vectors of a curve that one task holds, and queries, neighbours on the curve, that it compares with them.
-BLOCK_ROWS, QUERY_ROWS = 8192, 8192
+BLOCK_ROWS, QUERY_ROWS = 8192, 16384
 #: Queries compared with all vectors to choose the window.
 SAMPLE = 48
 
@@ -80,7 +82,10 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
-    """Rows with a vector that isn't null or zero, has no null or non-finite component, and the most usual length."""
+    """Rows with a vector that isn't null or zero, has no null or non-finite component, and the most usual length (of several the smallest).
+
+    Inner products need equal lengths, so vectors of other lengths have neither neighbours nor a place.
+    """
     v = F.col(vector)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.where(v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
@@ -91,19 +96,25 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best by inner product, ties to the smaller id.
 
-    Equal vectors are searched once: each stands for its k + 1 smallest ids. ``recall`` is what
-    the sample of queries must reach. An empty or unusable table gives no rows.
+    An id is one vector: of rows with one id the smallest usable vector (as arrays are ordered)
+    counts, and it asks if any of them does. Rows with a null id, or with a vector that is not
+    usable (see there), neither ask nor answer. Equal vectors of several ids are searched once: each
+    stands for its k + 1 smallest ids. ``recall`` is what the sample of queries must reach. Other
+    columns are not read. An empty or unusable table gives no rows.
     """
-    rows = kept(usable(vectors.select(F.col(key).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).alias("v")).where("id IS NOT NULL"), "v"))
+    rows = usable(vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).alias("v")).where("id IS NOT NULL"), "v")
+    rows = kept(rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")))
     by_vector = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     points = kept(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vid", F.element_at("ids", 1)))
-    asked = rows.where("asks").select(F.col("id").alias("query_id"), "v").join(points.select("v", "vid"), "v").select("query_id", "vid")
-    asked = kept(asked)
+    # a vector that many ask for is split by Spark: nothing follows the join in its stage
+    asked = kept(rows.where("asks").select(F.col("id").alias("query_id"), "v").join(points.select("v", "vid"), "v").select("query_id", "vid"))
     total = points.count()
     asking = asked.select("vid").distinct()
-    places = kept(_places(points.join(asking.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), curves))
+    places = _places(points.join(asking.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), curves)
     window = _window(points, places, asking, k, curves, recall, total)
+    if 2 * window * curves >= total:
+        window, places = total, places.where("curve = 0")
     reach, held = _tasks(places, window, total)
 
     def search(table: pa.Table) -> pa.Table:
@@ -124,16 +135,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
     merged = hits.groupBy("query", "vid").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     named = merged.join(points.select("vid", "ids"), "vid").select("query", "score", F.explode("ids").alias("vec_id"))
-    top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    named = named.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)  # one may be the query itself
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        asked.join(named, asked.vid == named["query"])
-        .where("vec_id <> query_id")
-        .withColumn("rank", F.row_number().over(final))
-        .where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    listed = named.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("found"))
+    listed = kept(listed.select("query", F.slice("found", 1, k + 1).alias("found")))  # one may be the query itself
+    others = F.slice(F.filter("found", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    ranked = asked.join(listed, asked.vid == listed["query"]).select("query_id", F.posexplode(others).alias("at", "one"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "one.vec_id", (-F.col("one.far")).alias("score"))
 
 
 def _tasks(places: DataFrame, window: int, total: int) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +159,11 @@ def _tasks(places: DataFrame, window: int, total: int) -> tuple[DataFrame, DataF
 
 
 def _places(points: DataFrame, curves: int) -> DataFrame:
-    """curve, place (rank from 0 along it), turn (rank among those that ask), vid, v, asks: by counts of ranges of keys and ranks within them."""
+    """curve, place (rank from 0 along it), turn (rank among those that ask), vid, v, asks: by counts of sorted ranges and ranks within them.
+
+    Ranges hold about as many rows each, whatever the keys; what comes to the driver has a row for
+    each range.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +174,28 @@ def _places(points: DataFrame, curves: int) -> DataFrame:
 
     kind = points.schema["v"].dataType.simpleString()
     keys = points.select("vid", "v", "asks").mapInArrow(keyed, f"curve int, key long, vid long, v {kind}, asks boolean")
-    cells = keys.withColumn("cell", F.shiftright("key", DIMS * BITS - 12))
-    before = Window.partitionBy("curve").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cells.groupBy("curve", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"))
-    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in (("n", "first"), ("asked", "first_turn"))]
-    starts = counts.select("curve", "cell", *sums)
-    own = Window.partitionBy("curve", "cell").orderBy("key", "vid")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumns({"n": F.row_number().over(own), "asked": F.sum(F.col("asks").cast("long")).over(upto)})
-    return ranked.join(starts, ["curve", "cell"]).select("curve", (F.col("first") + F.col("n") - 1).alias("place"), (F.col("first_turn") + F.col("asked") - 1).alias("turn"), "vid", "v", "asks")
+    line = kept(keys.repartitionByRange("curve", "key", "vid").sortWithinPartitions("curve", "key", "vid"))
+    counts = line.groupBy("curve", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"))
+    firsts: dict[tuple[int, int], tuple[int, int]] = {}
+    sums: dict[int, tuple[int, int]] = {}
+    for r in sorted(counts.collect()):  # a row for each curve in a partition
+        firsts[r.curve, r.part] = sums.get(r.curve, (0, 0))
+        sums[r.curve] = firsts[r.curve, r.part][0] + r.n, firsts[r.curve, r.part][1] + r.asked
+    shared = points.sparkSession.sparkContext.broadcast(firsts)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            curve, asks = batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, curve[1:] != curve[:-1]]) if len(curve) else []
+            for a, b in zip(cut, [*cut[1:], len(curve)]):
+                place, turn = at.get(curve[a]) or shared.value[int(curve[a]), part]
+                turns = turn + np.cumsum(asks[a:b])
+                at[curve[a]] = place + b - a, int(turns[-1])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.arange(place, place + b - a)), pa.array(turns - 1), own.column(2), own.column(3), own.column(4)], names=["curve", "place", "turn", "vid", "v", "asks"])
+
+    return kept(line.mapInArrow(ranked, f"curve int, place long, turn long, vid long, v {kind}, asks boolean"))
 
 
 def _window(points: DataFrame, places: DataFrame, asking: DataFrame, k: int, curves: int, recall: float, total: int) -> int:
