@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -63,10 +64,10 @@ def test_language_spans(spark):
 
 
 def test_best_path_is_the_best():
-    model = langid.Model(["a", "b", "c"], np.random.default_rng(1).normal(size=(langid.FEATURES, 3)).astype(np.float32), np.ones((len(langid._NAMES), 3), bool))
+    model = langid.Model(["a", "b", "c"], np.random.default_rng(1).normal(size=(langid.FEATURES, 3)).astype(np.float32), np.ones((len(langid._NAMES), 3), bool), np.ones(len(langid._NAMES), bool))
     labeller = langid.Labeller(model, 3.0)
     words = [["".join(random.Random(i * 31 + j).choices("abcdefg", k=4)) for j in range(n)] for i, n in enumerate((7, 1, 0, 5))]
-    labels, bounds = labeller.label(words)
+    labels, bounds, _ = labeller.label(words)
     scores = labeller.scores[labeller._numbers(words)]
     for i, own in enumerate(words):
         s = scores[bounds[i] : bounds[i + 1]]
@@ -115,6 +116,27 @@ def test_groups_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
     assert sum(n for n, _ in whole.values()) == 29 * 30
 
 
+def test_letters_are_those_of_unicode():
+    for i in [*range(0x3000), 0x4E00, 0x1D7D8, 0x24B6, 0x2460, 0xBD, 0x2167]:
+        c = chr(i)
+        assert bool(langid.words_of(c)) == any(unicodedata.category(x)[0] == "L" for x in c.lower()), hex(i)
+    assert langid.words_of("हिन्दी में, ½ ² ① a1b") == ["हिन्दी", "में", "a", "b"]
+
+
+def test_strict_identification_rejects_what_nothing_learned_explains(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    odd = {1: "Приветствие мир", 2: "漢字", 3: "½ ② ³", 4: None, 5: "the of and that with", 6: "de la que", 7: "the of and that with Приветствие мир и ещё много таких слов"}
+    rows = spark.createDataFrame([(k, v, "x") for k, v in odd.items()], "doc_id long, text string, score string")
+    strict = {r.doc_id: r.lang_pred for r in langid.identify(rows, model, strict=True, spans=False).collect()}
+    plain = {r.doc_id: r.lang_pred for r in langid.identify(rows, model, spans=False).collect()}
+    assert [k for k, v in strict.items() if v == "und"] == [1, 2, 3, 4, 7] and [k for k, v in plain.items() if v == "und"] == [3, 4]
+    left = langid.drop_unidentified(rows, model)
+    assert sorted(map(tuple, left.collect())) == [(5, odd[5], "x"), (6, odd[6], "x")] and left.columns == rows.columns
+    named = docs.where("lang is not null and text rlike '\\\\p{L}'")
+    assert langid.drop_unidentified(named, model).count() >= 0.99 * named.count()
+
+
 @given(st.lists(st.integers(0, 2**52), min_size=1, max_size=50, unique=True))
 def test_packed_numbers_come_back(values):
     values = np.array(sorted(values), np.uint64)

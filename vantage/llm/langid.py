@@ -9,8 +9,11 @@ language is the one with the most letters.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,6 @@ SCRIPTS = [
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({s for _, s in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: n-grams are hashed to so many features.
 FEATURES = 1 << 16
@@ -42,6 +44,22 @@ MAX_WORDS = 150_000
 SLICE_BYTES = 2 << 20
 
 
+@cache
+def _word() -> re.Pattern:
+    """A letter and the letters and marks after it, by Unicode category (vowel signs are marks)."""
+
+    def ranges(kinds: str) -> str:
+        own = np.fromiter((unicodedata.category(chr(i))[0] in kinds for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    return _word().findall(text.lower()) if text else []
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.maximum(np.searchsorted(_FIRST, points, "right") - 1, 0)]
 
@@ -49,7 +67,8 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of all words in a row, each word's bounds in them, and each word's script.
 
-    A word with marks at both ends gives its n-grams of two to four letters and itself.
+    A word with marks at both ends gives its n-grams of two to four letters and itself. Its script
+    is the one that most of its letters have, of several the first by name.
     """
     text = "".join(f"\x02{w}\x03" for w in words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
@@ -68,7 +87,21 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     owner.append(np.arange(len(words)))
     owner, features = np.concatenate(owner), (mixed(np.concatenate(hashes)) % U64(FEATURES)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    return features[order], np.searchsorted(owner[order], np.arange(len(words) + 1)), scripts_of(points[begins + 1].astype(np.int64))
+    return features[order], np.searchsorted(owner[order], np.arange(len(words) + 1)), _main_scripts(points.astype(np.int64), word, begins)
+
+
+def _main_scripts(points: np.ndarray, word: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    inner = points > 3
+    scripts, word = scripts_of(points[inner]), word[inner]
+    main = scripts[np.r_[0, np.cumsum(np.bincount(word))[:-1]]]
+    mixed_words = np.unique(word[scripts != main[word]])
+    if len(mixed_words):
+        own = np.isin(word, mixed_words)
+        counts = np.zeros((len(mixed_words), len(_NAMES)), np.int64)
+        np.add.at(counts, (np.searchsorted(mixed_words, word[own]), scripts[own]), 1)
+        counts[:, _NAMES.index("")] = np.minimum(counts[:, _NAMES.index("")], counts.sum(1) == counts[:, _NAMES.index("")])
+        main[mixed_words] = counts.argmax(1)
+    return main
 
 
 @dataclass
@@ -76,6 +109,7 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # (features, languages): log-odds against the mean language
     allowed: np.ndarray  # (scripts, languages)
+    used: np.ndarray  # (scripts,): some language uses it
 
 
 def fit(docs: DataFrame, use: Column | None = None, max_docs: int = 20_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -94,7 +128,7 @@ def fit(docs: DataFrame, use: Column | None = None, max_docs: int = 20_000, key:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for value, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _WORD.findall(value.lower())
+                words = words_of(value)
                 if not words:
                     continue
                 features, _, scripts = word_features(words)
@@ -116,8 +150,9 @@ def fit(docs: DataFrame, use: Column | None = None, max_docs: int = 20_000, key:
     seen_at_all = grams.sum(1, keepdims=True) > 0
     weights = np.where(seen_at_all, rates - rates.mean(1, keepdims=True) if languages else 0.0, 0.0)
     allowed = scripts > 0.01 * scripts.sum(0)
-    allowed[~allowed.any(1)] = True  # no language uses the script: it narrows nothing
-    return Model(languages, weights.astype(np.float32), allowed)
+    used = allowed.any(1)
+    allowed[~used] = True  # no language uses the script: it narrows nothing
+    return Model(languages, weights.astype(np.float32), allowed, used)
 
 
 class Labeller:
@@ -127,27 +162,32 @@ class Labeller:
         self.model, self.penalty = model, penalty
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
+        self.strange = np.zeros(1024, bool)
 
     def _numbers(self, texts: list[list[str]]) -> np.ndarray:
         """The row in ``scores`` of each word."""
         if len(self.known) > MAX_WORDS:
-            self.known, self.scores = {}, self.scores[:1024]
+            self.known, self.scores, self.strange = {}, self.scores[:1024], self.strange[:1024]
         known = self.known
         new = list({w for words in texts for w in words if w not in known})
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             features, bounds, scripts = word_features(part)
             sums = np.add.reduceat(self.model.weights[features], bounds[:-1]) / np.sqrt(np.diff(bounds))[:, None]
+            strange = ~self.model.used[scripts] | ~sums.any(1)
             sums = np.where(self.model.allowed[scripts], np.clip(sums, -20, 20), -40.0).astype(np.float32)
             at = len(known)
             while len(self.scores) < at + len(part):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at : at + len(part)] = sums
+                self.strange = np.concatenate([self.strange, np.zeros_like(self.strange)])
+            self.scores[at : at + len(part)], self.strange[at : at + len(part)] = sums, strange
             known.update(zip(part, range(at, at + len(part))))
         return np.fromiter((known[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
 
-    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """A language number for each word, and the texts' bounds in the words.
+    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A language number for each word, the texts' bounds in the words, and which words nothing learned explains.
+
+        Those are in a script that no language uses, or have no n-gram that a language has.
 
         All texts go one word forward at a time, the longest first, so that those still running
         are the first ones.
@@ -155,9 +195,12 @@ class Labeller:
         sizes = np.array([len(x) for x in texts], np.int64)
         bounds = np.r_[0, np.cumsum(sizes)]
         labels = np.zeros(bounds[-1], np.int64)
-        if not bounds[-1] or len(self.model.languages) < 2:
-            return labels, bounds
+        if not bounds[-1] or not self.model.languages:
+            return labels, bounds, np.ones(bounds[-1], bool)
         numbers = self._numbers(texts)
+        strange = self.strange[numbers]
+        if len(self.model.languages) < 2:
+            return labels, bounds, strange
         scores = self.scores[numbers]
         order = np.argsort(-sizes, kind="stable")
         first, length = bounds[:-1][order], sizes[order]
@@ -186,16 +229,19 @@ class Labeller:
             own = now[:n]
             labels[at] = own
             now[:n] = np.where(changed[at, own], best[at], own)
-        return labels, bounds
+        return labels, bounds, strange
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True, text: str = "text", strict: bool = False) -> DataFrame:
     """The rows of ``docs`` with lang_pred, score and, if asked for, spans.
 
     ``score`` is the share of the text's letters in words of that language. A span has its first
-    and last word (runs of letters, from 0) and its language. Null texts and texts without a
-    letter are ``und`` with score 0. Ties go to the first language by name. Columns of ``docs``
-    with the result's names are replaced.
+    and last word (runs of letters and their marks, from 0) and its language. Null texts and texts
+    without a letter are ``und`` with score 0. Ties go to the first language by name. ``strict``
+    counts words that nothing learned explains (see ``Labeller.label``) for no language; a text with
+    more letters in these than in any language is ``und`` too, with score 0. Rows are labelled each
+    for itself, repeats alike. Columns of ``docs`` with the result's names are replaced; a table
+    without rows gives none.
     """
     added = ["lang_pred", "score"] + ["spans"] * spans
     base = docs.drop(*[c for c in added if c != text])
@@ -206,21 +252,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, penalty)
-        languages = shared.value.languages
+        labeller, languages = Labeller(shared.value, penalty), shared.value.languages
         for batch in batches:
-            values = batch.column(names.index(text)).to_pylist()
-            lengths = np.r_[0, np.cumsum([len(v or "") for v in values])]
-            for a, b in slices(lengths, SLICE_BYTES):
-                words = [_WORD.findall(v.lower()) if v else [] for v in values[a:b]]
-                labels, bounds = labeller.label(words)
-                weight = np.fromiter((len(w) for x in words for w in x), np.float64, bounds[-1])
-                letters = np.zeros((b - a, max(1, len(languages))))
-                np.add.at(letters, (np.repeat(np.arange(b - a), np.diff(bounds)), labels), weight)
-                total, top = letters.sum(1), letters.argmax(1)
-                some = (total > 0) & (len(languages) > 0)
-                columns = [pa.array([languages[t] if s else UNKNOWN for t, s in zip(top, some)], pa.string())]
-                columns.append(pa.array(np.where(some, letters.max(1) / np.maximum(total, 1), 0.0)))
+            for a, b, top, score, labels, bounds in _judged(labeller, batch.column(names.index(text)).to_pylist(), strict):
+                columns = [pa.array([languages[t] if t >= 0 else UNKNOWN for t in top], pa.string()), pa.array(score)]
                 if spans:
                     columns.append(pa.array([_spans(labels[x:y], languages) for x, y in zip(bounds, bounds[1:])], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(names))), *columns], names=[*names, *added])
@@ -228,6 +263,40 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     return base.mapInArrow(run, schema)
 
 
+def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = 12.0, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in a learned language by ``identify(strict=True)`` with a score of ``least``.
+
+    So null and empty texts go, texts without a letter, those mostly in words that nothing learned
+    explains, and mixtures in which no language has that share of the letters. All columns are
+    kept as they are, whatever their names; repeated rows are judged alike.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value, penalty)
+        for batch in batches:
+            for a, b, top, score, _, _ in _judged(labeller, batch.column(at).to_pylist(), True):
+                yield batch.slice(a, b - a).filter(pa.array((top >= 0) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judged(labeller: Labeller, values: list[str | None], strict: bool) -> Iterator[tuple]:
+    """For slices of the texts: their bounds, languages (-1 for none), scores, and the words' labels with the texts' bounds in them."""
+    n = len(labeller.model.languages)
+    lengths = np.r_[0, np.cumsum([len(v or "") for v in values])]
+    for a, b in slices(lengths, SLICE_BYTES):
+        words = [words_of(v) for v in values[a:b]]
+        labels, bounds, strange = labeller.label(words)
+        weight = np.fromiter((len(w) for x in words for w in x), np.float64, bounds[-1])
+        letters = np.zeros((b - a, n + 1))  # the last column: no language
+        np.add.at(letters, (np.repeat(np.arange(b - a), np.diff(bounds)), np.where(strange & strict, n, labels)), weight)
+        total, top = letters.sum(1), letters.argmax(1)
+        some = (total > 0) & (top < n)
+        yield a, b, np.where(some, top, -1), np.where(some, letters.max(1) / np.maximum(total, 1), 0.0), labels, bounds
+
+
 def _spans(labels: np.ndarray, languages: list[str]) -> list[dict]:
     if not len(labels) or not languages:
         return []
