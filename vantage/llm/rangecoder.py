@@ -2,10 +2,9 @@
 
 An id is coded as one of sixteen events and, where that leaves it open, a place inside a class. The
 events are: the id that the last two ids predict (order 2), the id that the last one predicts
-(order 1), or one of fourteen classes, into which a chunk's ids fall by their neighbours. Three
-distributions over the events, learned in three contexts, are mixed by learned weights: how sure the
-two predictions have been (order 0 but for that), the last id's class (order 1) and the last two
-ids' classes (order 2). Inside a class ids have the chunk's frequencies; the last class is for ids
+(order 1), or one of fourteen classes, into which a chunk's ids fall by their neighbours. Two
+distributions over the events are mixed by learned weights: one learned by how sure the two
+predictions have been (order 0 but for that), one by the last two ids' classes (order 2). Inside a class ids have the chunk's frequencies; the last class is for ids
 too rare for that, whose bits are sent.
 
 The ids, classes and frequencies are in the chunk's head, with the first state of the distributions;
@@ -139,7 +138,7 @@ def _cumulated(shares: np.ndarray) -> np.ndarray:
 
 
 def _first_states(head: Head) -> list[np.ndarray]:
-    """Cumulated shares of the events in each context of the three orders, as every block starts."""
+    """Cumulated shares of the events in each context of both distributions, as every block starts."""
     counts = _SMOOTH[head.follow].reshape((CLASSES,) * 3)
 
     def events(classes: np.ndarray, sure: np.ndarray) -> np.ndarray:
@@ -150,9 +149,8 @@ def _first_states(head: Head) -> list[np.ndarray]:
     both = np.stack(np.broadcast_arrays(_SURE[None, :], _SURE[:, None]), -1).reshape(16, 2) * 2 // 3
     some = np.array([16, 16])
     order0 = events(np.broadcast_to(counts.sum((0, 1)), (16, CLASSES)), both)
-    order1 = events(counts.sum(0), some)
     order2 = events(counts * 8 + counts.sum(0) * 8 // counts.sum((0, 2))[:, None] + 1, some).reshape(-1, EVENTS)
-    return [order0, order1, order2]
+    return [order0, order2]
 
 
 _TOP = _WHOLE - 1
@@ -176,8 +174,8 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
     tables = [np.tile(t, (lanes, 1)).view(_ROW).reshape(-1) for t in states]
     bases = [np.arange(lanes) * len(t) for t in states]
     guesses = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # number * 4 + how sure
-    wide_weights = [np.repeat(np.array([w], np.int16), lanes * EVENTS).reshape(lanes, EVENTS) for w in (10, 10, 11)]
-    weights = [np.full(lanes, _WEIGHTS * 256 // 3, np.int32) for _ in range(2)]
+    wide_weights = [np.repeat(np.array([w], np.int16), lanes * EVENTS).reshape(lanes, EVENTS) for w in (15, 16)]
+    weight = np.full(lanes, _WEIGHTS * 128, np.int32)  # of the first; the other has the rest
     floor = np.tile(_FLOOR, (lanes, 1))
     room = np.zeros(lanes * EVENTS + 1, np.int16)
     low, span = np.zeros(lanes), np.full(lanes, _LEAST * _WORD)
@@ -233,13 +231,12 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
         entries = [table.take(spot) for table, spot in zip(guesses, spots)]
         sure = [e & 3 for e in entries]
         guess1, guess2 = entries[0] >> 2, entries[1] >> 2
-        rows = [bases[0] + (sure[1] << 2 | sure[0]), bases[1] + kind_one, bases[2] + (kind_two * CLASSES + kind_one)]
+        rows = [bases[0] + (sure[1] << 2 | sure[0]), bases[1] + (kind_two * CLASSES + kind_one)]
         own = [table.take(row).view(np.int16).reshape(n, EVENTS) for table, row in zip(tables, rows)]
         mixed = np.multiply(own[0] >> _CUT, wide_weights[0], out=room[: n * EVENTS].reshape(n, EVENTS))
-        for k in (1, 2):
-            part = own[k] >> _CUT
-            part *= wide_weights[k]
-            mixed += part
+        part = own[1] >> _CUT
+        part *= wide_weights[1]
+        mixed += part
         mixed += floor
         unit = np.floor(span[:n] * (1.0 / _WHOLE))
         if coding:
@@ -289,12 +286,10 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
             for part in own:
                 cut = np.append(part.reshape(-1), np.int16(0))
                 chances.append(((cut.take(after) - cut.take(place)) & _TOP).astype(np.int32) + 8)
-            total = chances[0] + chances[1] + chances[2]
-            for weight, chance in zip(weights, chances):
-                weight[:n] += ((chance * (_WEIGHTS << 8) // total) - weight[:n]) >> WEIGHT_RATE
-            whole = [weight[:n] >> 8 for weight in weights]
-            for wide, weight in zip(wide_weights, (*whole, _WEIGHTS - whole[0] - whole[1])):
-                wide[:] = weight[:, None]
+            weight[:n] += ((chances[0] * (_WEIGHTS << 8) // (chances[0] + chances[1])) - weight[:n]) >> WEIGHT_RATE
+            whole = (weight[:n] >> 8).astype(np.int16)
+            for wide, one_weight in zip(wide_weights, (whole, _WEIGHTS - whole)):
+                wide[:] = one_weight[:, None]
         goal = _NEXT.take(event, axis=0)
         for table, row, part in zip(tables, rows, own):
             change = goal - part
