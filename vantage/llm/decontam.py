@@ -2,10 +2,10 @@
 
 Texts are words (letters and digits of any script, case folded; single characters in scripts without
 blanks). Seeds are the hashes of ``least`` consecutive words of a benchmark item, or of all words of
-a shorter one if these are asked for (``short``); documents that share a seed with an item are tiled against it: the
-longest matches of words not yet marked are found by extending seeds, whose Karp-Rabin hashes the
-windows roll through, marked without overlap, and so on with shorter ones down to ``least`` words.
-The item's covered share decides, so an item whose parts are in another order is found as well.
+a shorter one if these are asked for (``short``); documents that share a seed with an item are tiled against it by
+running Karp-Rabin: rolling hashes find matches of words not yet marked of a search length, which
+starts at the item's and is halved down to ``least``; of those found the longest are marked without
+overlap, and the search goes on. The item's covered share decides, so an item whose parts are in another order is found as well.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import U64, slices, text_bytes, window_hashes, word_hashes
+from vantage.llm.common import U64, mixed, slices, text_bytes, window_hashes, word_hashes
 
 #: Words of benchmark items that one broadcast holds; larger benchmarks go in blocks, one pass each.
 BLOCK_WORDS = 2_000_000
@@ -66,40 +66,78 @@ def plain(text: str | None) -> bytes:
     return points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
+#: Candidate places that are looked at together.
+PLACES = 1 << 20
+
+
 def tile(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int, int]]:
     """Tiles (document word, item word, length) by greedy string tiling, longest first.
 
-    Ties go to the first place in the item, then in the document.
+    Ties go to the first place in the item, then in the document. A word of the document that the
+    item doesn't have counts as marked. Memory grows with the texts and PLACES.
     """
-    seeds: dict[tuple, list[int]] = {}
-    for j in range(len(item) - least + 1):
-        seeds.setdefault(tuple(item[j : j + least]), []).append(j)
-    starts = [(j, i) for i in range(len(doc) - least + 1) for j in seeds.get(tuple(doc[i : i + least]), ())]
-    starts.sort()
-    in_doc, in_item, tiles = bytearray(len(doc)), bytearray(len(item)), []
-    while starts:
-        longest, found, alive = least, [], []
-        for j, i in starts:
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not in_doc[i + n] and not in_item[j + n]:
-                n += 1
-            if n < least:
-                continue  # marks never go away
-            alive.append((j, i))
-            if n > longest:
-                longest, found = n, []
-            if n == longest:
-                found.append((j, i))
-        if not found:
+    numbers: dict[bytes, int] = {}
+    b = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in item), np.int64, len(item))
+    a = np.fromiter((numbers.get(w, 0) for w in doc), np.int64, len(doc))
+    in_doc, in_item, tiles = a == 0, np.zeros(len(b), bool), []
+    hashes = [mixed(x.astype(U64)) for x in (a, b)]
+    size = min(len(a), len(b))
+    while size >= least:
+        rolled = [window_hashes(h, size) for h in hashes]
+        while True:
+            places = _free(in_doc, size), _free(in_item, size)
+            longest = max((int(n.max()) for _, _, n in _matches(a, b, in_doc, in_item, rolled, places, size) if len(n)), default=0)
+            if longest < size:
+                break
+            for at, to, n in _matches(a, b, in_doc, in_item, rolled, places, size):
+                for i, j in zip(at[n == longest].tolist(), to[n == longest].tolist()):
+                    if not in_item[j : j + longest].any() and not in_doc[i : i + longest].any():
+                        in_doc[i : i + longest] = in_item[j : j + longest] = True
+                        tiles.append((i, j, longest))
+        if size == least:
             break
-        for j, i in found:
-            if not any(in_doc[i : i + longest]) and not any(in_item[j : j + longest]):
-                in_doc[i : i + longest] = in_item[j : j + longest] = b"\1" * longest
-                tiles.append((i, j, longest))
-        starts = alive
+        size = max(least, size // 2)
     return tiles
 
 
+def _free(marked: np.ndarray, size: int) -> np.ndarray:
+    """Where windows of ``size`` words without a marked one start."""
+    before = np.r_[0, np.cumsum(marked)]
+    return np.flatnonzero(before[size:] == before[: len(before) - size])
+
+
+def _matches(a: np.ndarray, b: np.ndarray, in_doc: np.ndarray, in_item: np.ndarray, rolled: list[np.ndarray], places: tuple[np.ndarray, np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document and item words where matches of ``size`` or more start, with lengths, by item word, in parts.
+
+    Only starts that can't be extended to the left are given: a longer match has one.
+    """
+    own, other = places
+    own = own[np.isin(rolled[0][own], rolled[1][other])]
+    own = own[np.argsort(rolled[0][own], kind="stable")]
+    keys = rolled[0][own]
+    first, last = np.searchsorted(keys, rolled[1][other], "left"), np.searchsorted(keys, rolled[1][other], "right")
+    begin, total = 0, np.cumsum(last - first)
+    old_doc, old_item = in_doc.copy(), in_item.copy()  # what is marked meanwhile doesn't change the matches
+    while begin < len(other):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PLACES, "right")))
+        counts = (last - first)[begin:end]
+        j = np.repeat(other[begin:end], counts)
+        i = own[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[begin:end], counts)]
+        begin = end
+        inner = (i > 0) & (j > 0)
+        x, y = i[inner] - 1, j[inner] - 1
+        inner[inner] = (a[x] == b[y]) & ~old_doc[x] & ~old_item[y]
+        i, j = i[~inner], j[~inner]
+        n, alive = np.zeros(len(i), np.int64), np.arange(len(i))
+        while len(alive):
+            x, y = i[alive] + n[alive], j[alive] + n[alive]
+            inside = (x < len(a)) & (y < len(b))
+            alive, x, y = alive[inside], x[inside], y[inside]
+            alive = alive[(a[x] == b[y]) & ~old_doc[x] & ~old_item[y]]
+            n[alive] += 1
+        yield i, j, np.where(n >= size, n, 0)
+
+
 class Benchmark:
     """A block of items with the hashes of their seeds, sorted."""
 
@@ -166,7 +204,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, leas
 
     A tile has its first word in the document and in the item and its length. Null texts and
     items without words match nothing, nor do those of fewer than ``least`` words, unless ``short``
-    lets these match as a whole. Documents aren't shuffled.
+    lets these match as a whole. Repeated rows give repeated pairs; rows with a null doc_id do so
+    with a null, items with a null id are left out. Ties of tiles go to the first in the item, then in
+    the document. Other columns are not read, so none can clash; empty tables give no rows.
+    Documents aren't shuffled.
     """
     schema = "doc_id long, item_id long, item_words int, covered int, coverage double, tiles array<struct<doc_word:int,item_word:int,length:int>>"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -190,7 +231,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, leas
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, text: str = "text", item: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
-    """The rows of ``docs`` that no item is covered in (see ``contaminated``), without a shuffle."""
+    """The rows of ``docs`` that no item is covered in (see ``contaminated``), without a shuffle.
+
+    Columns stay as they are, whatever their names; repeated rows are judged alike.
+    """
     at = docs.columns.index(text)
     for items in _blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least, short))
