@@ -22,7 +22,7 @@ ROWS = [
     (8, "Приветствие \U0001f600 e\u0301 \u3000x", None, "c", 5),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["n_words", "n_removed", "kept_text", "score", "lang_pred", "fingerprint", "bucket", "spans", "rule", "verdict", "host", "path", "shard", "slot", "ids", "node", "root", "a", "b"]
+CLASH = ["n_words", "n_removed", "kept_text", "score", "lang_pred", "fingerprint", "bucket", "spans", "rule", "verdict", "host", "path", "shard", "slot", "ids", "node", "root", "a", "b", "_row", "_id", "_text", "_group", "_bytes", "_key", "row", "key", "twin", "marks", "capitals", "repeated", "features", "probability", "part", "raw", "which", "start", "length", "head", "best", "winner"]
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,10 @@ def test_language_of_nothing_learned(tables):
 def test_toxicity(spark, tables, kind):
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, None), (6, 0)], "doc_id long, toxic int")
     model = toxicity.fit(tables[kind].join(labels, "doc_id"))
-    rows = toxicity.score(tables[kind], model).collect()
+    scored = toxicity.score(tables[kind], model)
+    rows = scored.collect()
+    assert scored.columns == [c for c in tables[kind].columns if c not in ("text", "score")] + ["score"]
+    assert kind != "clash" or all(r.marks == r.features == r.row == "x" for r in rows)
     assert len(rows) == (0 if kind == "empty" else len(ROWS)) and all(0 <= r.score <= 1 for r in rows)
 
 
@@ -166,3 +169,30 @@ def test_neighbours_of_repeated_ids_and_a_hot_vector(spark):
     for i, found in got.items():
         best = sorted((-sum(x * y for x, y in zip(held[i], v)), j) for j, v in held.items() if j != i)[:20]
         assert [(j, -s) for s, j in best] == [(j, s) for _, j, s in sorted(found)]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_stages(spark, tables, kind, tmp_path):
+    """Every stage of the pipeline on its own: columns and other values stay."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "seven eight nine ten eleven twelve"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = [c for c in CLASH if kind == "clash"]
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, tables[kind], str(tmp_path))
+        rows = left.collect()
+        if name == "packing":
+            assert len([r for r in rows if r.start == 0]) == tables[kind].count()
+            continue
+        assert left.columns == tables[kind].columns and all(r[c] == "x" for r in rows for c in own)
+        texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows)
+        if kind == "empty":
+            assert not rows
+        elif name == "language_id":
+            assert {r.doc_id for r in rows} >= {1, 2, 6} and all(any(c.isalpha() for c in r.text) for r in rows)
+        elif name == "near_dedup":
+            assert len(rows) == 6 and {r.doc_id for r in rows} == {1, 3, 6, 7, 8, None}
+        elif name == "substring_dedup":
+            assert len(rows) == len(ROWS) - 2 and [t for t in texts if t[1] in (1, 2)] == [(False, 1, ROWS[0][1])]
+        else:
+            assert len(rows) == len(ROWS) - 3 and {r.doc_id for r in rows} == {3, 4, 5, 6, 7, 8, None}

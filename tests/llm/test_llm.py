@@ -200,7 +200,8 @@ def test_similar_pairs():
     sets = [np.array(sorted(set(rng.sample(b.tolist(), 60 - n)) | {1000 + n * 7 + i for i in range(n)}), np.uint64) for b in base for n in range(12)]
     p, q = simhash.similar_pairs(sets, 0.8)
     jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
-    assert set(zip(p.tolist(), q.tolist())) == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i].tolist(), sets[j].tolist()) >= 0.8}
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i].tolist(), sets[j].tolist()) >= 0.8}
+    assert set(zip(p.tolist(), q.tolist())) <= linked and _roots(len(sets), zip(p.tolist(), q.tolist())) == _roots(len(sets), linked)
 
 
 def test_near_copies_go(spark):
@@ -482,8 +483,104 @@ def test_pipeline_runs_and_keeps_columns(spark, docs):
     assert packed.where("start = 0").count() == counts[-1]
 
 
+def _tiles(doc, item, least):
+    """Greedy string tiling by trying all pairs of places."""
+    in_doc, in_item, tiles = [False] * len(doc), [False] * len(item), []
+    while True:
+        found = {}
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not in_doc[i + n] and not in_item[j + n]:
+                    n += 1
+                found.setdefault(n, []).append((j, i))
+        longest = max(found, default=0)
+        if longest < least:
+            return tiles
+        for j, i in found[longest]:
+            if not any(in_doc[i : i + longest]) and not any(in_item[j : j + longest]):
+                in_doc[i : i + longest] = in_item[j : j + longest] = [True] * longest
+                tiles.append((i, j, longest))
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=24), st.integers(1, 5), st.sampled_from([1, 7, 1 << 20]))
+@settings(deadline=None, max_examples=150)
+def test_tiling_is_that_of_all_pairs(doc, item, least, places):
+    doc, item, held = [b"%d" % x for x in doc], [b"%d" % x for x in item], decontam.PLACES
+    decontam.PLACES = places
+    try:
+        assert decontam.tile(doc, item, least) == _tiles(doc, item, least)
+    finally:
+        decontam.PLACES = held
+
+
+def test_tiling_of_a_repeated_word_is_quick():
+    assert decontam.tile([b"a"] * 50_000, [b"a"] * 60, 4) == [(0, 0, 60)]
+    assert decontam.tile([b"a"] * 50_000, ([b"a"] * 30 + [b"b"]) * 4, 4) == [(30 * k, 31 * k, 30) for k in range(4)]
+
+
+def test_contaminated_documents_are_those_of_all_pairs(spark, docs):
+    """Whole query against tiling of every document with every item."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, decontam.plain(r.text).split()) for r in bench.collect()]
+    expected = {}
+    for r in docs.collect():
+        words = decontam.plain(r.text).split()
+        have = set(words)
+        for n, item in items:
+            if item and sum(w in have for w in item) >= 0.5 * len(item):  # what isn't there can't be covered
+                short = [words[k : k + len(item)] for k in range(len(words))] if len(item) < 4 else []
+                covered = (len(item) if item in short else 0) if len(item) < 4 else sum(t[2] for t in _tiles_of_runs(words, item))
+                if covered >= 0.5 * len(item):
+                    expected[r.doc_id, n] = covered
+    assert {(r.doc_id, r.item_id): r.covered for r in queries.op5_decontamination(spark, SF).collect()} == expected and expected
+
+
+def _tiles_of_runs(words, item):
+    """As ``_tiles`` with 4 words at least, over the document's runs of the item's words only."""
+    runs, own = [], set(item)
+    for w in words:
+        if w in own:
+            runs.append(w)
+        elif runs and runs[-1] is not None:
+            runs.append(None)
+    return _tiles(runs, item, 4)
+
+
+@given(st.lists(st.integers(0, 60), max_size=20, unique=True), st.lists(st.integers(0, 60), min_size=1, max_size=20, unique=True))
+def test_near_places(places, others):
+    places, others = sorted(places), sorted(others)
+    assert toxicity._near(np.array(places, np.int64), np.array(others)) == sum(any(abs(p - o) <= 5 for o in others) for p in places)
+
+
+def test_features_of_a_long_text_take_linear_room():
+    values = dict(zip(toxicity.FEATURES, toxicity.features_of("idiot you " * 100_000, {"idiot": 1.0})))
+    assert values["lexicon_hits"] == 100_000 and values["near_you"] == 0.5
+
+
+def test_near_copies_of_the_corpus_go(spark, docs):
+    """Recall and precision of the near-copy stage against all pairs of shingle sets, on real documents."""
+    rows = {r.doc_id: frozenset(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
+    by_set: dict = {}
+    for i in sorted(rows):
+        by_set.setdefault(rows[i], []).append(i)
+    sets = list(by_set)
+    edges = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = _roots(len(sets), edges)
+    expected = {min(min(by_set[sets[k]]) for k in range(len(sets)) if roots[k] == root) for root in set(roots)}
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == expected
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "z"), (None, "h i j k l m n", "u"), (None, "o p q r s t u", "v")]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in left) == [(-1, "o p q r s t u"), (1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
 def test_lexicon_is_of_toxic_words(spark):
     rows = [(i, ("you are a moronic fool " if i % 4 == 0 else "a pleasant day ") + f"w{i} today", int(i % 4 == 0)) for i in range(80)]
-    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    lexicons = toxicity.learn_lexicons(spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("part", F.col("doc_id") % 3 + 1))
+    assert set(lexicons) == {0, 1, 2, 3}
+    lexicon = lexicons[0]
     assert {"moronic", "fool"} <= set(lexicon) and "today" not in lexicon
     assert packing.HarmonicBins(64, 0).next == 0

@@ -88,18 +88,19 @@ def sketch(hashes: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.n
     return cells, np.packbits(parity.astype(np.uint8), bitorder="little").view(U64)
 
 
-def sketches(docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
-    """Key, shingle_key (a hash of the set of shingles), n_shingles, cells and fp0, fp1, .. (see ``sketch``) of every row."""
+def sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """key, twin, shingle_key (a hash of the set of shingles), n_shingles, cells and fp0, fp1, .. (see ``sketch``) of every row (key, twin, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_hashes(t, words) for t in part.column(2).to_pylist()]
                 found = [sketch(x, least) for x in sets]
                 prints = np.stack([f for _, f in found]).view(np.int64)
                 columns = [
                     part.column(0),
+                    part.column(1),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([c.tobytes() for c, _ in found], pa.binary()),
@@ -108,9 +109,9 @@ def sketches(docs: DataFrame, words: int, least: float, key: str, text: str) ->
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     prints = [f"fp{i}" for i in range(SKETCH_WORDS)]
-    names = ["doc_id", "shingle_key", "n_shingles", "cells", *prints]
-    schema = "doc_id long, shingle_key binary, n_shingles long, cells binary, " + ", ".join(f"{c} long" for c in prints)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
+    names = ["key", "twin", "shingle_key", "n_shingles", "cells", *prints]
+    schema = "key long, twin long, shingle_key binary, n_shingles long, cells binary, " + ", ".join(f"{c} long" for c in prints)
+    return docs.select("key", "twin", "text").mapInArrow(of, schema)
 
 
 def cell_codes(words: np.ndarray, groups: int, segment_bits: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,15 +168,24 @@ def linked_in_cells(cells: np.ndarray, words: np.ndarray, radius: int) -> tuple[
         found.append((left[near], left[near] + step))
         step += 1
     for a, n in zip(bounds[:-1][sizes > 32], sizes[sizes > 32]):
-        edges = []
+        parts = np.arange(n)
         for i in range(0, n, BLOCK):
+            edges = []
             for j in range(i, n, BLOCK):
-                x, y = words[a + i : a + min(i + BLOCK, n)], words[a + j : a + min(j + BLOCK, n)]
+                own, other = slice(i, min(i + BLOCK, n)), slice(j, min(j + BLOCK, n))
+                if (parts[own] == parts[i]).all() and (parts[other] == parts[i]).all():
+                    continue  # all are joined
+                x, y = words[a + i : a + own.stop], words[a + j : a + other.stop]
                 apart = sum(np.bitwise_count(x[:, None, w] ^ y[None, :, w]).astype(np.int16) for w in range(words.shape[1]))
                 p, q = np.nonzero(apart <= radius)
-                parts = joined(n, *(np.concatenate(e) for e in zip(*edges, (p + i, q + j))))
-                edges = [(np.flatnonzero(parts != np.arange(n)), parts[parts != np.arange(n)])]
-        found.extend((a + p, a + q) for p, q in edges)
+                edges.append((p + i, q + j))
+                if j == i or len(p) > 4 * BLOCK:
+                    parts = joined(n, *(np.concatenate(e) for e in zip((np.arange(n), parts), *edges)))
+                    edges = []
+            if edges:
+                parts = joined(n, *(np.concatenate(e) for e in zip((np.arange(n), parts), *edges)))
+        at = np.flatnonzero(parts != np.arange(n))
+        found.append((a + at, a + parts[at]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -280,9 +290,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
 
 
 def similar_pairs(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted sets of numbers whose Jaccard similarity is ``least`` or more.
+    """Edges that join what is linked by pairs of sorted sets of numbers with a Jaccard similarity of ``least`` or more.
 
     Only numbers of two sets or more can be shared; those make a matrix of bits, row against rows.
+    Rows that are joined already are not compared again.
     """
     sizes = np.array([len(x) for x in sets])
     values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -292,13 +303,20 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
     shared = counts[which] > 1
     bits = np.zeros((len(sets), -(-max(1, width) // 64)), U64)
     np.bitwise_or.at(bits, (row[shared], place[which[shared]] >> 6), U64(1) << (place[which[shared]] & 63).astype(U64))
-    p, q = [], []
+    part = np.arange(len(sets))
+    p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(sets) - 1):
-        both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int64)
-        near = np.flatnonzero(both >= least * (sizes[i] + sizes[i + 1 :] - both) - 1e-9)
-        p.append(np.full(len(near), i))
-        q.append(i + 1 + near)
-    return np.concatenate([*p, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*q, np.zeros(0, np.int64)]).astype(np.int64)
+        open_rows = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        if not len(open_rows):
+            continue
+        both = np.bitwise_count(bits[i] & bits[open_rows]).sum(1, dtype=np.int64)
+        near = open_rows[both >= least * (sizes[i] + sizes[open_rows] - both) - 1e-9]
+        if len(near):
+            p.append(np.full(len(near), i))
+            q.append(near)
+            merged = np.unique(part[near])
+            part[np.isin(part, merged)] = part[i]
+    return np.concatenate(p), np.concatenate(q)
 
 
 #: Members of a candidate group that one task compares with as many others.
@@ -308,7 +326,7 @@ GROUP = 1024
 def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) -> DataFrame:
     """Edges (a, b) of nodes of one candidate group whose shingle sets are similar.
 
-    ``members``: node, root. Groups of up to GROUP members are compared whole, several in a task;
+    ``rows``: key, twin, text. ``members``: node, root, and the key and twin of its text. Groups of up to GROUP members are compared whole, several in a task;
     a larger one is cut into parts, and each two parts are compared in a task of their own.
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -326,7 +344,7 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) ->
             packed = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "set"])
 
-    wanted = rows.join(members.select(F.col("node").alias("_key")), "_key", "left_semi").select("_key", "_text").dropDuplicates(["_key"])
+    wanted = rows.join(members.select("node", "key", "twin"), ["key", "twin"]).select("node", "text").dropDuplicates(["node"])
     sets = wanted.mapInArrow(sets_of, "node long, set binary")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -352,18 +370,27 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, ke
     hashes of their sets: as many as make it certain, or leave a chance of 1e-14 to miss (see
     ``sketch``). Of the parities of their SKETCH smallest hashes SKETCH_RADIUS may differ: nothing
     is missed by that among sets of up to SKETCH shingles; for larger ones at a similarity of 0.8
-    the bound lies 6 standard deviations above the mean. Candidates are verified on the whole sets. Equal sets (so equal texts, and all texts without words) are copies; rows
-    without an id lose to those with one; of rows with one id one stays.
+    the bound lies 6 standard deviations above the mean. Candidates are verified on the whole sets.
+    Equal sets (so equal texts, and all texts without words, null ones too) are copies; rows without
+    an id lose to those with one. Different texts under one id are judged like any others; of rows
+    equal in id and text one stays, chosen by a hash of all its columns. Columns stay as they are,
+    whatever their names; a table without rows gives none.
     """
-    rows = docs.withColumns({"_text": F.col(text), "_key": F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))})
-    prints = kept(sketches(rows.select("_key", "_text"), words, least, "_key", "_text"))
-    sketched = [c for c in prints.columns if c not in ("doc_id", "shingle_key")]
-    nodes = kept(prints.groupBy("shingle_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in sketched)))
+    keyed = F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)), F.xxhash64(text)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), keyed[0].alias("key"), keyed[1].alias("twin"))
+    texts = docs.select(keyed[0].alias("key"), keyed[1].alias("twin"), F.col(text).alias("text"))
+    prints = kept(sketches(texts, words, least))
+    sketched = [c for c in prints.columns if c not in ("key", "twin", "shingle_key")]
+    nodes = prints.groupBy("shingle_key").agg(F.min(F.struct("key", "twin")).alias("best"), *(F.first(c).alias(c) for c in sketched))
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = connected_components(grid_links(nodes, SKETCH_RADIUS))
-    verified = connected_components(_verified(rows.select("_key", "_text"), kept(roots), words, least))
-    losing = nodes.join(verified.where("node <> root").select("node"), "node", "left_semi").select("shingle_key")
-    lost = prints.join(nodes.select("shingle_key", "node"), "shingle_key").where("doc_id <> node").select("doc_id").union(prints.join(losing, "shingle_key", "left_semi").select("doc_id"))
-    left = rows.join(lost.distinct().withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
-    if prints.count() > prints.select("doc_id").distinct().count():
-        left = left.dropDuplicates(["_key"])
-    return left.select(*docs.columns)
+    members = kept(roots.join(nodes.select("node", "best.key", "best.twin"), "node"))
+    verified = connected_components(_verified(texts, members, words, least))
+    named = nodes.join(verified, "node", "left").select("shingle_key", "best", F.coalesce("root", "node").alias("root"))
+    winners = named.groupBy("root").agg(F.min("best").alias("winner"))
+    losing = named.join(winners, "root").select("shingle_key", "winner")
+    lost = prints.join(losing, "shingle_key").where("struct(key, twin) <> winner").select("key", "twin").distinct()
+    left = rows.join(lost, ["key", "twin"], "left_anti")
+    if prints.count() > prints.select("key", "twin").distinct().count():
+        left = left.groupBy("key", "twin").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return left.select("row.*")

@@ -1,4 +1,4 @@
-"""Removal of repeated passages, exact to the word.
+"""Removal of repeated passages, to the word; passages are compared by 64-bit hashes of their 13-word windows.
 
 Each document is cut into non-overlapping reference blocks of 7 words, the anchors; every window of
 7 words, at any place of any document, probes them. Any 13 consecutive words hold one whole block,
@@ -19,7 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import U64, string_size, text_bytes, window_hashes, word_hashes
@@ -154,24 +154,49 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: with_groups(batches, most), rows.drop("_bytes").schema.add("_group", "long"))
 
 
+ADDED = ("n_words", "n_removed", "kept_text")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed and kept_text (kept words, one space between).
 
     A word goes if one of the 13-word windows over it also starts in a document of a smaller id.
     Null texts have no words; a null id is larger than any other; rows with one id don't repeat
     each other. The input has to be a table that is read, whose partitions are the same in each
-    attempt. Columns of ``docs`` with the result's names are replaced.
+    attempt. Columns of ``docs`` with the result's names are replaced, all others stay as they are.
+    """
+    own = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED or c in (key, text)]
+    return _cut(docs, key, text).select(*own, *ADDED)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sized: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with what ``remove_repeats`` keeps of each text; rows of which nothing is left go.
+
+    A text without repeats stays as it is, its blanks too; so do null and empty texts. ``sized``
+    names a column that gets the number of characters where a text was cut. All other columns stay.
     """
-    added = ("n_words", "n_removed", "kept_text")
-    docs = docs.drop(*[c for c in added if c not in (key, text)])
+    cut = _cut(docs, key, text).where("n_removed = 0 or n_removed < n_words")
+    shorter = F.col("n_removed") > 0
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.when(shorter, F.col("kept_text")).otherwise(F.col("text")).alias(c)
+        own = F.col("row").getField(c)
+        return (F.when(shorter, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(own) if c == sized else own).alias(c)
+
+    return cut.select(*map(column, docs.columns))
+
+
+def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row (a struct of all columns but the text, so that no name can clash), text, n_words, n_removed and kept_text."""
     words = max(1000, string_size(docs, text) // 5)
     hash_bits = min(63 - GROUP_BITS, words.bit_length() + 12)
     bucket_bits = max(4, (words // BUCKET_HASHES).bit_length())
-    row = F.monotonically_increasing_id()
-    rows = docs.withColumns({"_row": row, "_id": F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))), "_text": F.col(text)})
-    rows = rows.drop(text) if text != key else rows
-    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0)).cast("long")
-    rows = rows.withColumn("_bytes", size)
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in docs.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0)).cast("long")
+    kept = [c for c in docs.columns if c != text or text == key]
+    rows = docs.select(
+        F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))).alias("_id"), F.col(text).alias("_text"), size.alias("_bytes")
+    )
 
     most = GROUP_BYTES
 
@@ -254,10 +279,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         hit[order] = least[order] > np.repeat(smallest, np.diff(np.r_[first, len(values)]))
         return answers(table, hit, [len(x) for x, _ in sources], 1)
 
-    shape = rows.drop("_row", "_id", "_text", "_bytes").schema
-    if text != key:
-        shape = shape.add(text, "string")
-    shape = shape.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    shape = rows.select("row", F.col("_text").cast("string").alias("text")).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         left, texts, ids = _sorted_ids(left)
@@ -275,9 +297,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 if removed[i]:
                     own = compress(own, ~gone[group.bounds[i] : group.bounds[i + 1]])
                 kept.append(b" ".join(own).decode())
-        columns = {c: left.column(c) for c in shape.names if c not in (text, *added)}
-        columns |= {text: texts, "n_words": pa.array(total), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.string())}
-        return pa.table({c: columns[c] for c in shape.names})
+        columns = [left.column("row"), texts, pa.array(total), pa.array(removed), pa.array(kept, pa.string())]
+        return pa.table(dict(zip(shape.names, columns)))
 
     own = grouped(rows).groupBy("_group")
     hits = rows.select("_row", "_bytes", "_id", "_text").mapInArrow(probe, "bucket long, _group long, packed binary").groupBy("bucket").applyInArrow(anchors, "_group long, bucket long, step int, bits binary")
