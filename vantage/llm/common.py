@@ -15,9 +15,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set once."""
+    """The folder of spark.checkpoint.dir; where it is unset on a single machine (tests), a temporary one is set once.
+
+    On a cluster it has to be set: no executor could read another's temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_checkpoints", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark._own_checkpoints = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
