@@ -316,25 +316,103 @@ def test_sinks(spark, tmp_path):
     assert list(value(spark, sinks.colour(F.lit(0.5)))) == [232, 61, 14]
 
 
-def test_streamed_tiles_equal_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("late", [0, 600])
+def test_streamed_tiles_equal_the_batch(spark, tmp_path, late):
     rows = spark.createDataFrame([(r, c, float((r // 40 * 7 + c // 100) % 5)) for r in range(0, 1200, 40) for c in range(0, 1000, 100)], "row long, col long, feet double")
-    for first in range(0, 1200, 200):  # files are read in the order of their times
+    order = [0, 200, 400, 600, 800, 1000] if not late else [200, 0, 600, 400, 1000, 800]
+    for first in order:  # files are read in the order of their times
         rows.where(F.col("row").between(first, first + 199)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = refresh.stream_tiles(refresh.read_strips(spark, str(tmp_path / "in"), 1))
+    refresh.end_strips(spark, str(tmp_path / "in"), 1200, late)
+    out = refresh.stream_tiles(refresh.read_strips(spark, str(tmp_path / "in"), 1), late=late)
     done = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
     batch = raster.retile_elevation(rows).collect()
     streamed = [(r.ke, r.kn, c.e, c.n, c.h_in) for r in spark.read.parquet(str(tmp_path / "out")).collect() for c in r.cells]
-    own = {(r.ke, r.kn, r.e, r.n, r.h_in) for r in batch}
-    assert streamed and set(streamed) <= own and len(set(streamed)) == len(streamed)
+    assert sorted(streamed) == sorted((r.ke, r.kn, r.e, r.n, r.h_in) for r in batch) and streamed
 
 
 def test_refresh_keeps_the_newest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for i, text in enumerate(('{"k":1,"at":1,"v":"a"}\n{"k":2,"at":1,"v":"b"}', '{"k":1,"at":2,"v":"c"}')):
+    for i, text in enumerate(('{"k":1,"at":1,"v":"a"}\n{"k":2,"at":1,"v":"b"}', '{"k":1,"at":2,"v":"c"}', '{"k":3,"at":1,"v":"d"}')):
         (tmp_path / "in" / f"{i}.json").write_text(text)
         refresh.refresh(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "k int, at int, v string", "k", "at")
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "current")).collect()} == {(1, "c"), (2, "b")}
+    assert {(r.k, r.v) for r in refresh.current(spark, str(tmp_path / "out")).collect()} == {(1, "c"), (2, "b"), (3, "d")}
+    (tmp_path / "out" / "version=9").mkdir()  # a batch that was cut off
+    assert refresh.current(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_nearest_status_ends_without_places(spark):
+    cells = spark.createDataFrame([("a", 0, 0), ("a", 700, 3), ("b", 1, 1)], "bin string, e int, n int")
+    samples = spark.createDataFrame([("a", None, 1.0, 1, 7), ("a", 5.5, 0.5, 2, 8), ("a", 5.5, 0.5, 1, 9), ("b", None, None, 1, 7)], "bin string, x double, y double, sample_id int, status int")
+    assert sorted(map(tuple, rooftop.nearest_status(cells, samples, 4).collect())) == [("a", 0, 0, 9), ("a", 700, 3, 9)]
+    with pytest.raises(ValueError):
+        rooftop.nearest_status(cells, samples, 0)
+
+
+def _mask(polygon, x, y):
+    """Even-odd containment and distance to the edges."""
+    inside, far = False, math.inf
+    for (ax, ay), (bx, by) in zip(polygon, polygon[1:]):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+        size = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size)) if size else 0.0
+        far = min(far, math.hypot(ax + t * (bx - ax) - x, ay + t * (by - ay) - y))
+    return inside, far
+
+
+def _shapes(spark, polygons):
+    ring = lambda points: [[{"x": float(x), "y": float(y)} for x, y in points]]
+    return spark.createDataFrame([(name, ring(points)) for name, points in polygons.items()], "bin string, rings array<array<struct<x:double,y:double>>>")
+
+
+def test_heightmap_of_a_slanted_roof(spark):
+    roof = [(10.2, 20.3), (19.7, 22.1), (17.4, 31.6), (12.1, 29.9), (10.2, 20.3)]
+    cells = spark.createDataFrame([(e, n, 100 + e + n) for e in range(8, 25) for n in range(18, 30)], "e int, n int, h_in int")
+    got = {(r.e, r.n): (r.mask, r.h_in) for r in rooftop.heightmap(_shapes(spark, {"x": roof}), cells, limit=1e9).collect()}
+    expected = {}
+    for e in range(10, 20):
+        for n in range(20, 32):
+            inside, far = _mask(roof, e, n)
+            mask = inside or far < 0.5
+            expected[e, n] = (mask, 100 + e + n if mask and n < 30 else 0)
+    assert got == expected
+
+
+def test_heightmap_replaces_outliers(spark):
+    roof = [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0), (0.0, 0.0)]
+    cells = spark.createDataFrame([(e, n, 1000 if (e, n) == (2, 2) else 120) for e in range(5) for n in range(5)], "e int, n int, h_in int")
+    assert {r.h_in for r in rooftop.heightmap(_shapes(spark, {"x": roof}), cells).collect()} == {120}
+
+
+def test_classes_from_polygons(spark):
+    shapes = {"building": [(3, 3), (9, 4), (7, 11), (3, 3)], "structure": [(20, 3), (26, 5), (22, 9), (20, 3)], "hydro": [(3, 20), (9, 21), (6, 27), (3, 20)], "land": [(-1, -1), (31, -1), (31, 19), (-1, 17), (-1, -1)]}
+    grid = [(e, n, float((e * 7 + n * 3) % 11), float((e * 5 + n) % 13)) for e in range(30) for n in range(30)]
+    table = spark.createDataFrame(grid, "e int, n int, height double, veg double")
+    one = {k: _shapes(spark, {k: v}) for k, v in shapes.items()}
+    got = {(r.e, r.n): r["class"] for r in raster.class_grid(table, one["building"], one["structure"], one["hydro"], one["land"]).collect()}
+    first = {}
+    for e, n, height, veg in grid:
+        at = {k: _mask(v, e + 0.5, n + 0.5) for k, v in shapes.items()}
+        near = any(at[k][0] or at[k][1] <= 5 for k in ("building", "structure", "hydro"))
+        first[e, n] = 2 if at["building"][0] else 3 if not at["land"][0] and not at["hydro"][0] else 1 if veg > 0 and veg >= height - 5 and not near else 0
+    expected = dict(first)
+    for (e, n), kind in first.items():
+        if kind == 0:
+            around = [first[e + i, n + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (e + i, n + j) in first]
+            if sum(x == 1 for x in around) > len(around) // 2:
+                expected[e, n] = 1
+    assert got == expected and set(got.values()) == {0, 1, 2, 3}
+
+
+def test_tiles_are_split_and_read_dense(spark):
+    cells = spark.createDataFrame([(1000000, 240000, 5, 0), (1000499, 240499, 0, 2), (1000500, 240000, 0, 3), (1001000, 240001, 65535, 3)], "e int, n int, h_in int, class int")
+    held = raster.split_tiles(cells)
+    assert sorted((r.ke, r.kn) for r in held.select("ke", "kn").collect()) == [(2000, 480), (2002, 480)]
+    wanted = spark.createDataFrame([(2000, 480), (2001, 480), (2002, 480)], "ke int, kn int")
+    dense = raster.tile_cells(wanted, held)
+    assert dense.count() == 3 * 250_000
+    assert sorted(map(tuple, dense.where("h_in > 0 OR class <> 3").select("e", "n", "h_in", "class").collect())) == [(1000000, 240000, 5, 0), (1000499, 240499, 0, 2), (1001000, 240001, 65535, 3)]
 
 
 def test_lifetimes(spark):

@@ -6,6 +6,11 @@ side (gaps, unclassified cells) to its neighbours and join, instead of nine copi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +106,89 @@ def rasterize(polygons: DataFrame, *keep: str) -> DataFrame:
     return cells.select(*keep, F.col("e").cast("int").alias("e"), F.col("n").cast("int").alias("n"))
 
 
+def near_edges(polygons: DataFrame, feet: float, *keep: str, touching: bool = True) -> DataFrame:
+    """e, n of cells whose centre is at most ``feet`` (not ``touching``: less) from an edge of a polygon (column rings), with ``keep``.
+
+    Edges are cut into pieces of 64 feet, so a piece looks at few cells and no ring travels with them.
+    """
+    c = F.col
+    cut = polygons.select(*keep, F.explode(geometry.edges(F.col("rings"))).alias("s")).select(*keep, "s.*")
+    parts = F.greatest(F.ceil(F.sqrt((c("x2") - c("x1")) ** 2 + (c("y2") - c("y1")) ** 2) / 64), F.lit(1))
+    cut = cut.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)))
+    place = lambda a, b, k: c(a) + (c(b) - c(a)) * (k / c("parts"))
+    piece = cut.select(*keep, *(place(f"{x}1", f"{x}2", c("i") + k).alias(f"{x}{k + 1}") for k in (0, 1) for x in "xy"))
+    over = lambda x: F.explode(F.sequence(F.floor(F.least(f"{x}1", f"{x}2") - feet - 0.5), F.ceil(F.greatest(f"{x}1", f"{x}2") + feet - 0.5)))
+    tried = piece.select("*", over("x").alias("e")).select("*", over("y").alias("n"))
+    dx, dy, px, py = c("x2") - c("x1"), c("y2") - c("y1"), c("e") + 0.5 - c("x1"), c("n") + 0.5 - c("y1")
+    along = F.least(F.greatest(F.coalesce((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    far = (px - along * dx) * (px - along * dx) + (py - along * dy) * (py - along * dy)
+    return tried.where(far <= feet * feet if touching else far < feet * feet).select(*keep, c("e").cast("int").alias("e"), c("n").cast("int").alias("n")).distinct()
+
+
+def class_grid(grid: DataFrame, buildings: DataFrame, structures: DataFrame, hydro: DataFrame, land: DataFrame, buffer: float = 5.0, water_first: bool = True, tolerance: float = 5.0) -> DataFrame:
+    """e, n, class of a grid's cells (e, n, height, veg) by polygons (column rings) of buildings, other structures, hydro structures and land.
+
+    A cell is in a polygon by its centre; near an obstruction is inside, or at most ``buffer`` from
+    an edge, of all but land. Masks and grid meet in one grouping by cell; holes in plants are
+    filled afterwards.
+    """
+    inside = {1: buildings, 2: land, 4: hydro}
+    marks = [rasterize(shape.select("rings")).withColumn("bit", F.lit(bit)) for bit, shape in inside.items()]
+    marks += [near_edges(shape.select("rings"), buffer).withColumn("bit", F.lit(8)) for shape in (buildings, structures, hydro)]
+    marks.append(rasterize(structures.select("rings")).withColumn("bit", F.lit(8)))
+    rows = [m.select("e", "n", F.lit(None).cast("double").alias("height"), F.lit(None).cast("double").alias("veg"), "bit") for m in marks]
+    rows.append(grid.select("e", "n", F.col("height").cast("double").alias("height"), F.col("veg").cast("double").alias("veg"), F.lit(16).alias("bit")))
+    cells = reduce(lambda a, b: a.unionByName(b), rows).groupBy("e", "n").agg(F.max("height").alias("height"), F.max("veg").alias("veg"), F.bit_or("bit").alias("bits")).where("bits >= 16")
+    has = lambda bit: F.col("bits").bitwiseAND(bit) > 0
+    masked = cells.withColumns({"building": has(1), "land": has(2), "hydro": has(4), "near": has(1 | 4 | 8)})
+    return fill_vegetation(classify(masked, water_first, tolerance).select("e", "n", "class"))
+
+
+TILE_SCHEMA = "ke int, kn int, heights binary, classes binary"
+
+
+def split_tiles(cells: DataFrame) -> DataFrame:
+    """ke, kn, heights and classes of the tiles that ``kept_tiles`` keeps, dense: cells (e, n, h_in, class) not there are 0 and water.
+
+    heights are 16-bit, classes 8-bit numbers, cell by cell from west to east, in each column from
+    south to north. A tile has 250,000 cells at most, so a group is small.
+    """
+    keyed = cells.select("e", "n", "h_in", "class", tiles.tile_key(F.col("e")).cast("int").alias("ke"), tiles.tile_key(F.col("n")).cast("int").alias("kn"))
+
+    def dense(table: pa.Table) -> pa.Table:
+        ke, kn = table.column("ke")[0].as_py(), table.column("kn")[0].as_py()
+        at = (table.column("e").to_numpy() - ke * tiles.SIDE) * tiles.SIDE + table.column("n").to_numpy() - kn * tiles.SIDE
+        heights, classes = np.zeros(tiles.SIDE**2, "<u2"), np.full(tiles.SIDE**2, WATER, np.uint8)
+        heights[at], classes[at] = table.column("h_in").to_numpy(), table.column("class").to_numpy()
+        keep = heights.any() or (classes != WATER).any()
+        out = pa.table({"ke": pa.array([ke], pa.int32()), "kn": pa.array([kn], pa.int32()), "heights": pa.array([heights.tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary())})
+        return out if keep else out.slice(0, 0)
+
+    return keyed.groupBy("ke", "kn").applyInArrow(dense, TILE_SCHEMA)
+
+
+def tile_cells(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """ke, kn, e, n, h_in, class of all cells of the wanted tiles (ke, kn); tiles that ``held`` doesn't have are 0 and water."""
+    rows = wanted.select("ke", "kn").distinct().join(held.select("ke", "kn", "heights", "classes"), ["ke", "kn"], "left")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(tiles.SIDE**2)
+        for batch in batches:
+            for ke, kn, heights, classes in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                h = np.frombuffer(heights, "<u2") if heights is not None else np.zeros(len(place), "<u2")
+                k = np.frombuffer(classes, np.uint8) if classes is not None else np.full(len(place), WATER, np.uint8)
+                columns = [np.full(len(place), ke), np.full(len(place), kn), ke * tiles.SIDE + place // tiles.SIDE, kn * tiles.SIDE + place % tiles.SIDE, h, k]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], names=["ke", "kn", "e", "n", "h_in", "class"])
+
+    return rows.mapInArrow(unpack, "ke int, kn int, e int, n int, h_in int, class int")
+
+
+def tile_range(cells: DataFrame) -> DataFrame:
+    """ke, kn, lowest, highest: the least and the largest height of a tile's cells (e, n, h_in)."""
+    keys = (tiles.tile_key(F.col("e")).alias("ke"), tiles.tile_key(F.col("n")).alias("kn"))
+    return cells.groupBy(*keys).agg(F.min("h_in").alias("lowest"), F.max("h_in").alias("highest"))
+
+
 def classify(cells: DataFrame, water_first: bool = True, tolerance: float = 5.0) -> DataFrame:
     """class of cells with the masks building, land, hydro, near (within the buffer of an obstruction) and heights height, veg.
 

@@ -1,10 +1,38 @@
-"""Places on roofs to measure from: grid, cliffs, edges, masts."""
+"""Roofs and the places on them to measure from: heights, grid, cliffs, edges, masts."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.functions import geometry
+from vantage.operators.raster import near_edges, rasterize, replace_outliers
+
+#: Cells of a roof that are compared with samples at once.
+CELLS = 1 << 16
+
+
+def heightmap(polygons: DataFrame, elevation: DataFrame, buffer: float = 0.5, limit: float = 180.0) -> DataFrame:
+    """bin, e, n, h_in, mask, sw_e, sw_n of every cell in the box around a roof (bin, rings).
+
+    A cell is masked if its south-west corner is inside the outline or nearer than ``buffer`` to it.
+    Masked cells have the height of ``elevation`` (e, n, h_in; none: 0) with outliers replaced, others 0.
+    """
+    box = polygons.select("bin", geometry.bounds(F.col("rings")).alias("b")).select("bin", *(F.floor(f"b.{low}").cast("int").alias(low) for low in ("west", "south")), *(F.ceil(f"b.{high}").cast("int").alias(high) for high in ("east", "north")))
+    over = lambda low, high: F.explode(F.when(F.col(high) > F.col(low), F.sequence(F.col(low), F.col(high) - 1)))
+    cells = box.withColumn("e", over("west", "east")).withColumn("n", over("south", "north")).select("bin", "e", "n", F.lit(False).alias("mask"), F.col("west").alias("sw_e"), F.col("south").alias("sw_n"))
+    corner = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"))))
+    moved = polygons.select("bin", corner.alias("rings"))  # a cell's corner is where its middle was
+    inside = rasterize(moved, "bin").unionByName(near_edges(moved, buffer, "bin", touching=False))
+    marks = inside.select("bin", "e", "n", F.lit(True).alias("mask"), F.lit(None).cast("int").alias("sw_e"), F.lit(None).cast("int").alias("sw_n"))
+    held = cells.unionByName(marks).groupBy("bin", "e", "n").agg(F.bool_or("mask").alias("mask"), F.max("sw_e").alias("sw_e"), F.max("sw_n").alias("sw_n")).where("sw_e IS NOT NULL")
+    tall = held.join(elevation.select("e", "n", F.col("h_in").alias("_h")), ["e", "n"], "left").withColumn("h_in", F.when(F.col("mask"), F.coalesce("_h", F.lit(0))).otherwise(0).cast("int")).drop("_h")
+    smooth = replace_outliers(tall.where("mask"), limit).join(polygons.select("bin", F.floor(geometry.bounds(F.col("rings"))["west"]).cast("int").alias("sw_e"), F.floor(geometry.bounds(F.col("rings"))["south"]).cast("int").alias("sw_n")), "bin")
+    columns = ["bin", "e", "n", "h_in", "mask", "sw_e", "sw_n"]
+    return smooth.withColumn("mask", F.lit(True)).select(*columns).unionByName(tall.where("NOT mask").select(*columns))
+
 
 def grid_samples(cells: DataFrame, spacing: int) -> DataFrame:
     """bin, e, n, h_in and the cliff height (highest neighbour a spacing away) of masked roof cells on the sampling grid.
@@ -89,21 +117,53 @@ def rooftop_samples(polygons: DataFrame, cells: DataFrame, spacing: float, mast:
 def nearest_status(cells: DataFrame, samples: DataFrame, reach: int) -> DataFrame:
     """bin, e, n and status of the nearest sample (bin, x, y, sample_id, status) of each cell; ties to the smaller id.
 
-    Cells meet the samples of their square of ``reach`` feet and of those around it; a sample
-    within ``reach`` is then the nearest. Cells without one go on with twice the reach. Cells of
-    roofs without samples are left out.
+    A roof's cells and samples come together in one task. There a cell looks at the samples of its
+    square of ``reach`` feet and of those around it; a sample within ``reach`` is then the nearest,
+    and cells without one go on with twice the reach. Samples without a place are left out, and so
+    are cells of roofs without samples.
     """
-    dist = (F.col("x") - F.col("e") - 0.5) * (F.col("x") - F.col("e") - 0.5) + (F.col("y") - F.col("n") - 0.5) * (F.col("y") - F.col("n") - 0.5)
-    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    rest, found = cells.select("bin", "e", "n").join(samples.select("bin").distinct(), "bin", "left_semi"), None
-    while True:
-        square = lambda c, size=reach: F.floor(F.col(c) / size)
-        spread = samples.select("bin", "x", "y", "sample_id", "status", square("x").alias("sx"), square("y").alias("sy"), step.alias("s"))
-        spread = spread.select("bin", "x", "y", "sample_id", "status", (F.col("sx") + F.col("s.i")).alias("cx"), (F.col("sy") + F.col("s.j")).alias("cy"))
-        keyed = rest.withColumns({"cx": F.floor((F.col("e") + 0.5) / reach), "cy": F.floor((F.col("n") + 0.5) / reach)})
-        near = keyed.join(spread, ["bin", "cx", "cy"]).where(dist <= reach * reach).groupBy("bin", "e", "n").agg(F.min_by("status", F.struct(dist.alias("d"), "sample_id")).alias("status"))
-        found = near if found is None else found.unionByName(near)
-        rest = rest.join(near, ["bin", "e", "n"], "left_anti")
-        if rest.isEmpty():
-            return found
-        reach *= 2
+    if reach <= 0:
+        raise ValueError("the reach is more than nothing")
+    usable = samples.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select(F.col("bin").alias("roof"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "sample_id", "status")
+    wanted = cells.select("bin", "e", "n")
+    schema = wanted.limit(0).crossJoin(usable.select("status").limit(0)).schema
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0).append_column("status", right.column("status").slice(0, 0))
+        ids = right.column("sample_id").to_pylist()
+        right = right.take(pa.array(sorted(range(len(ids)), key=lambda i: tuple(ids[i].values()) if isinstance(ids[i], dict) else ids[i])))
+        x, y = (right.column(c).to_numpy() for c in "xy")
+        e, n = (left.column(c).to_numpy() + 0.5 for c in "en")
+        found = np.concatenate([_nearest(e[a : a + CELLS], n[a : a + CELLS], x, y, float(reach)) for a in range(0, len(e), CELLS)])
+        return left.append_column("status", right.column("status").take(pa.array(found)))
+
+    return wanted.groupBy("bin").cogroup(usable.groupBy("roof")).applyInArrow(nearest, schema)
+
+
+def _nearest(e: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """The number of the nearest sample of each place, of several the first."""
+    out, rest = np.full(len(e), -1, np.int64), np.arange(len(e))
+    while len(rest):
+        column = np.floor(x / reach).astype(np.int64)
+        row = np.floor(y / reach).astype(np.int64)
+        base, width = row.min() - 1, row.max() - row.min() + 3
+        key = column * width + row - base
+        order = np.argsort(key, kind="stable")
+        keys = key[order]
+        at_e, at_n = np.floor(e[rest] / reach).astype(np.int64), np.floor(n[rest] / reach).astype(np.int64)
+        best, which = np.full(len(rest), np.inf), np.full(len(rest), len(x), np.int64)
+        for i in (-1, 0, 1):  # the three rows of a column's squares follow each other
+            low, high = np.clip(at_n - 1 - base, 0, width), np.clip(at_n + 1 - base, -1, width - 1)
+            first, last = np.searchsorted(keys, (at_e + i) * width + low, "left"), np.searchsorted(keys, (at_e + i) * width + high, "right")
+            size = np.maximum(last - first, 0)
+            for k in range(int(size.max(initial=0))):
+                some = np.flatnonzero(size > k)
+                sample = order[first[some] + k]
+                far = (x[sample] - e[rest[some]]) ** 2 + (y[sample] - n[rest[some]]) ** 2
+                nearer = (far < best[some]) | (far == best[some]) & (sample < which[some])
+                best[some[nearer]], which[some[nearer]] = far[nearer], sample[nearer]
+        done = best <= reach * reach
+        out[rest[done]] = which[done]
+        rest, reach = rest[~done], reach * 2
+    return out

@@ -109,16 +109,30 @@ def statuses(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataF
 
 
 def tile_overview(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
-    """link_id, tile_id, bounds and detected: whether a link that isn't clear is touched there."""
+    """link_id, tile_id, bounds and detected: whether a link that isn't clear is touched there.
+
+    A link that isn't clear is one whose full zone is touched anywhere, so one pass over it says both.
+    """
     cells = intersect(zone_cells(links, FULL), terrain, by_row)
     keyed = cells.groupBy("link_id", tiles.tile_key(F.col("e")).alias("ke"), tiles.tile_key(F.col("n")).alias("kn")).agg(F.max("fraction").alias("most"))
-    named = keyed.join(statuses(links, terrain, by_row), "link_id")
-    return named.select(
+    return keyed.select(
         "link_id", tiles.tile_id(F.col("ke"), F.col("kn")).alias("tile_id"), (F.col("ke") * 500).alias("west"), (F.col("kn") * 500).alias("south"),
-        ((F.col("result") != "Unobstructed") & (F.col("most") > 0)).alias("detected"),
+        (F.col("most") > 0).alias("detected"),
     )
 
 
+def zone_in_tile(links: DataFrame, ke: int, kn: int, alpha: float = FULL) -> DataFrame:
+    """link_id, n, e, bottom, top of a zone's cells in one tile; rows beside the tile make no cells."""
+    south, west = kn * tiles.SIDE, ke * tiles.SIDE
+    cells = zone_cells(links, alpha)
+    return cells.where(F.col("n").between(south, south + tiles.SIDE - 1) & F.col("e").between(west, west + tiles.SIDE - 1)).select("link_id", "n", "e", "bottom", "top")
+
+
+def result_bytes(sizes: DataFrame, cell_bytes: int = 5) -> DataFrame:
+    """link_id and bytes of a stored result of ``cells`` cells (see ``costs``)."""
+    return sizes.select("link_id", (F.col("cells") * cell_bytes).alias("bytes"))
+
+
 def ellipse(links: DataFrame, points: int = 90) -> DataFrame:
     """The zone's outline on the ground: link_id, step, e, n of ``points`` + 1 points."""
     shape = link_shapes(links)
