@@ -75,21 +75,28 @@ def within(rings: Column, x: Column, y: Column, feet: float) -> Column:
     return contains(rings, x, y) | (distance_to_edge(rings, x, y) <= feet)
 
 
+def _passes(s: Column, box: tuple[Column, Column, Column, Column], inside: bool = False) -> Column:
+    """Whether an edge shares a point with a box, or (``inside``) with its interior; after Liang and Barsky."""
+    west, south, east, north = box
+    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    low, high, out = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for p, q in ((-dx, s["x1"] - west), (dx, east - s["x1"]), (-dy, s["y1"] - south), (dy, north - s["y1"])):
+        r = q / F.nullif(p, F.lit(0.0))
+        out = out & ((p != 0) | ((q > 0) if inside else (q >= 0)))
+        low = F.when(p < 0, F.greatest(low, r)).otherwise(low)
+        high = F.when(p > 0, F.least(high, r)).otherwise(high)
+    return out & ((low < high) if inside else (low <= high))
+
+
 def meets_box(rings: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """Whether a polygon and a box share a point: an edge passes the box, or one holds the other."""
+    return F.exists(edges(rings), lambda s: _passes(s, (west, south, east, north))) | contains(rings, west, south)
 
-    def passes(s: Column) -> Column:  # Liang-Barsky
-        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        low, high = F.lit(0.0), F.lit(1.0)
-        out = F.lit(True)
-        for p, q in ((-dx, s["x1"] - west), (dx, east - s["x1"]), (-dy, s["y1"] - south), (dy, north - s["y1"])):
-            r = q / F.nullif(p, F.lit(0.0))
-            out = out & ((p != 0) | (q >= 0))
-            low = F.when(p < 0, F.greatest(low, r)).otherwise(low)
-            high = F.when(p > 0, F.least(high, r)).otherwise(high)
-        return out & (low <= high)
-
-    return F.exists(edges(rings), passes) | contains(rings, west, south)
+
+def holds_box(rings: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether a box is wholly in a polygon, whose edges it may touch: its middle is, and no edge passes its interior."""
+    crossed = F.exists(edges(rings), lambda s: _passes(s, (west, south, east, north), inside=True))
+    return contains(rings, (west + east) / 2, (south + north) / 2) & ~crossed
 
 
 def boxes_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -127,12 +127,24 @@ def obstructions_from(rows: DataFrame, elevation: DataFrame) -> DataFrame:
 
 
 def city_tiles(outline: DataFrame) -> DataFrame:
-    """ke, kn, tile_id of tiles wholly inside the outline (column rings): a corner inside and no edge across."""
+    """ke, kn, tile_id of tiles wholly inside an outline (column rings)."""
     box = geometry.bounds(F.col("rings"))
     spans = outline.select("rings", box.alias("b")).select("rings", "b", F.explode(F.sequence(tiles.tile_key(F.col("b.west")), tiles.tile_key(F.col("b.east")))).alias("ke"))
     pairs = spans.select("rings", "ke", F.explode(F.sequence(tiles.tile_key(F.col("b.south")), tiles.tile_key(F.col("b.north")))).alias("kn"))
     west, south = (F.col(k).cast("double") * tiles.SIDE for k in ("ke", "kn"))
-    middle = geometry.contains(F.col("rings"), west + tiles.SIDE / 2, south + tiles.SIDE / 2)
-    ring = F.transform(F.col("rings"), lambda r: F.array(r))
-    crossed = F.exists(ring, lambda one: geometry.meets_box(one, west, south, west + tiles.SIDE, south + tiles.SIDE) & ~geometry.contains(one, west, south))
-    return pairs.where(middle & ~crossed).select("ke", "kn", tiles.tile_id(F.col("ke"), F.col("kn")).alias("tile_id")).distinct()
+    held = pairs.where(geometry.holds_box(F.col("rings"), west, south, west + tiles.SIDE, south + tiles.SIDE))
+    return held.select("ke", "kn", tiles.tile_id(F.col("ke"), F.col("kn")).alias("tile_id")).distinct()
+
+
+def hydro(*layers: DataFrame) -> DataFrame:
+    """rings of the hydro structures of all layers (of the street map and the survey), one after the other."""
+    return reduce(lambda a, b: a.unionByName(b), (x.select("rings") for x in layers))
+
+
+def obstruction_bytes(wanted: DataFrame, index: DataFrame, meta: DataFrame, head: int = 4096) -> DataFrame:
+    """One row, bytes: of the rasters (two a cell and ``head`` each) of all obstructions in the wanted tiles.
+
+    ``meta``: obstruction_type, obstruction_id, w, h.
+    """
+    near = obstructions_near(wanted, index).join(meta, ["obstruction_type", "obstruction_id"])
+    return near.agg(F.coalesce(F.sum(stored_bytes(F.col("w"), F.col("h")) + head), F.lit(0)).cast("long").alias("bytes"))

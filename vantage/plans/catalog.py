@@ -435,20 +435,171 @@ def analysis_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone.costs(S.links(spark, sf_dir))
 
 
-@query()
+@query(_with(S.LINKS_SQL + f""" SELECT link_id, 500 + kn * 1000 + ke AS tile, n, e, bottom, top FROM (SELECT *, (e // 500)::INT - {S.EAST // 500} AS ke, (n // 500)::INT - {S.NORTH // 500} AS kn FROM zone_cells WHERE alpha = 1.0) WHERE ke = 1 AND kn = 2"""))
+def zone_in_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = zone.zone_in_tile(S.links(spark, sf_dir), S.EAST // 500 + 1, S.NORTH // 500 + 2)
+    return cells.select("link_id", F.lit(2501).alias("tile"), "n", "e", "bottom", "top")
+
+
+@query(_with(S.LINKS_SQL + " SELECT link_id, (sum(e_hi - e_lo + 1) * 5)::BIGINT AS bytes FROM zone_rows GROUP BY link_id"))
+def result_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone.result_bytes(zone.costs(S.links(spark, sf_dir)))
+
+
+#: Rounding keeps the last bits of sines and roots, which engines may give otherwise, out of the comparison.
+_ENDS_SQL = f"""
+ends AS (
+  SELECT c_custkey AS link_id, ({S.EAST} + c_custkey * 17 % 2000)::DOUBLE AS ae, ({S.NORTH} + c_custkey * 29 % 2000)::DOUBLE AS an, (5 + c_custkey % 40)::DOUBLE AS az,
+    (40 + c_custkey % 200)::DOUBLE AS de, (30 + c_custkey % 150)::DOUBLE AS dn, (c_custkey % 20)::DOUBLE AS dz FROM customer
+)"""
+
+
+@query(
+    _with(
+        _ENDS_SQL,
+        """
+shape AS (SELECT *, sqrt(de * de + dn * dn + dz * dz) AS dist, 299792458.0 / 60e9 / 0.3048006096 AS wave, sqrt(de * de + dn * dn) AS flat FROM ends),
+turns AS (SELECT *, 2 * pi() / 90 * step AS turn FROM shape, LATERAL (SELECT unnest(range(91)) AS step)),
+sides AS (SELECT *, cos(turn) * (dist + wave / 2) / 2 AS along, sin(turn) * sqrt(wave * dist) / 2 AS across FROM turns)
+SELECT link_id, step::INT AS step, round((ae + de / 2 + along * de / flat - across * dn / flat) * 1000)::BIGINT AS e_milli, round((an + dn / 2 + along * dn / flat + across * de / flat) * 1000)::BIGINT AS n_milli FROM sides""",
+    )
+)
 def link_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zone.ellipse(S.links(spark, sf_dir))
+    milli = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_milli")
+    return zone.ellipse(S.links(spark, sf_dir)).select("link_id", "step", milli("e"), milli("n"))
 
 
-@query()
+def _latitude_sql() -> str:
+    """Five rounds of the conic's inverse as nested expressions."""
+    phi = "(pi() / 2 - 2 * atan(t))"
+    for _ in range(4):
+        s = f"({projection.E!r} * sin({phi}))"
+        phi = f"(pi() / 2 - 2 * atan(t * pow((1 - {s}) / (1 + {s}), {projection.E / 2!r})))"
+    return phi
+
+
+@query(
+    _with(
+        _ENDS_SQL,
+        f"""
+plane AS (SELECT *, ae * {projection.FOOT!r} - {projection.FALSE_EASTING!r} AS x, {projection.ORIGIN!r} - an * {projection.FOOT!r} AS y FROM ends),
+cone AS (SELECT *, pow(sqrt(x * x + y * y) / {projection.SCALE!r}, {1 / projection.N!r}) AS t FROM plane),
+globe AS (SELECT *, {_latitude_sql()} AS phi, atan2(x, y) / {projection.N!r} + {projection.LONGITUDE!r} AS meridian FROM cone)
+SELECT link_id, round(degrees(phi) * 1e8)::BIGINT AS lat_e8, round(degrees(meridian) * 1e8)::BIGINT AS lon_e8, round(az * {projection.FOOT!r} * 1e6)::BIGINT AS alt_um, round(ae * 1000)::BIGINT AS e_milli, round(an * 1000)::BIGINT AS n_milli FROM globe""",
+    )
+)
 def gps_to_nys(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = S.links(spark, sf_dir).select("link_id", projection.to_degrees(F.col("ae"), F.col("an"), F.col("az")).alias("g"))
-    return ends.select("link_id", "g.*", projection.to_plane(F.col("g.lat"), F.col("g.lon"), F.col("g.alt_m")).alias("p")).select("link_id", "lat", "lon", "alt_m", "p.*")
+    both = ends.select("link_id", "g.*", projection.to_plane(F.col("g.lat"), F.col("g.lon"), F.col("g.alt_m")).alias("p"))
+    whole = lambda c, times, name: F.round(F.col(c) * times).cast("long").alias(name)
+    return both.select("link_id", whole("lat", 1e8, "lat_e8"), whole("lon", 1e8, "lon_e8"), whole("alt_m", 1e6, "alt_um"), whole("p.easting", 1000, "e_milli"), whole("p.northing", 1000, "n_milli"))
 
 
 # Rooftops
 
 _SPACING = 4
+#: Boxes moved by fractions of a foot, so that some corners of cells are near an edge and some are not.
+_MOVED_SQL = """
+moved AS (SELECT obstruction_id AS bin, e + CASE WHEN h_in % 24 = 0 THEN 0.25 ELSE 0.75 END AS x, n + CASE WHEN w % 2 = 0 THEN 0.25 ELSE 0.75 END AS y, w, h, e, n FROM boxes)"""
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with their outlines moved, as rings."""
+    c = F.col
+    side = lambda flag: F.when(flag, 0.25).otherwise(0.75)
+    rows = S.boxes(spark, sf_dir).select(c("obstruction_id").alias("bin"), "w", "h", (c("e") + side(c("h_in") % 24 == 0)).alias("e"), (c("n") + side(c("w") % 2 == 0)).alias("n"))
+    return S.rings(rows)
+
+
+@query(
+    _with(
+        S.points_sql(),
+        S.BOXES_SQL,
+        S.TERRAIN_SQL,
+        _MOVED_SQL,
+        """
+box AS (SELECT bin, (e + i)::INT AS ce, (n + j)::INT AS cn, x, y, w, h FROM (SELECT *, unnest(range(w + 1)) AS i FROM moved), LATERAL (SELECT unnest(range(h + 1)) AS j)),
+masked AS (SELECT bin, ce AS e, cn AS n, pow(greatest(x - ce, ce - x - w, 0), 2) + pow(greatest(y - cn, cn - y - h, 0), 2) < 0.25 AS mask FROM box),
+tall AS (SELECT m.bin, m.e, m.n, m.mask, CASE WHEN m.mask THEN coalesce(t.h_in, 0) ELSE 0 END::INT AS h_in FROM masked m LEFT JOIN terrain t USING (e, n)),
+near AS (SELECT a.bin, a.e, a.n, avg(b.h_in) AS mean FROM tall a JOIN tall b ON a.bin = b.bin AND abs(a.e - b.e) <= 1 AND abs(a.n - b.n) <= 1 AND (a.e <> b.e OR a.n <> b.n) WHERE a.mask AND b.mask GROUP BY ALL)
+SELECT t.bin, t.e, t.n, t.mask, CASE WHEN t.mask AND abs(t.h_in - mean) > 180 THEN round(mean)::INT ELSE t.h_in END AS h_in FROM tall t LEFT JOIN near USING (bin, e, n)""",
+    )
+)
+def rooftop_heightmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rooftop.heightmap(_moved(spark, sf_dir).select("bin", "rings"), _terrain(spark, sf_dir)).select("bin", "e", "n", "mask", "h_in")
+
+
+_KINDS = ("building", "structure", "hydro", "land")
+_CLASS_SQL = """
+ground AS (SELECT e, n, max(h_in) / 12.0 AS height, max(CASE WHEN h_in % 36 = 0 THEN h_in ELSE 0 END) / 12.0 AS veg FROM box_cells GROUP BY ALL),
+shapes AS (SELECT h_in // 12 % 4 AS kind, e + 0.5 AS x0, n + 0.5 AS y0, e + w + 0.25 AS x1, n + h + 0.25 AS y1 FROM boxes),
+marked AS (
+  SELECT e, n, height, veg, bool_or(kind = 0 AND far = 0) AS building, bool_or(kind = 2 AND far = 0) AS hydro, bool_or(kind = 3 AND far = 0) AS land, bool_or(kind <> 3 AND far <= 25) AS near FROM (
+    SELECT g.*, kind, pow(greatest(x0 - g.e - 0.5, g.e + 0.5 - x1, 0), 2) + pow(greatest(y0 - g.n - 0.5, g.n + 0.5 - y1, 0), 2) AS far
+    FROM ground g LEFT JOIN shapes ON x0 - 5.5 <= g.e AND g.e <= x1 + 4.5 AND y0 - 5.5 <= g.n AND g.n <= y1 + 4.5)
+  GROUP BY ALL
+),
+classes AS (SELECT e, n, CASE WHEN coalesce(building, false) THEN 2 WHEN NOT coalesce(land, false) AND NOT coalesce(hydro, false) THEN 3 WHEN veg > 0 AND veg >= height - 5 AND NOT coalesce(near, false) THEN 1 ELSE 0 END AS class FROM marked),
+open AS (SELECT a.e, a.n, count(*) AS total, count(*) FILTER (b.class = 1) AS green FROM classes a JOIN classes b ON abs(a.e - b.e) <= 1 AND abs(a.n - b.n) <= 1 AND (a.e <> b.e OR a.n <> b.n) WHERE a.class = 0 GROUP BY ALL)"""
+
+
+def _class_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    boxes = S.boxes(spark, sf_dir)
+    grid = _box_cells(spark, sf_dir).groupBy("e", "n").agg((F.max("h_in") / 12.0).alias("height"), (F.max(F.when(c("h_in") % 36 == 0, c("h_in")).otherwise(0)) / 12.0).alias("veg"))
+    outline = S.rings(boxes.select(F.floor(c("h_in") / 12).cast("int").alias("feet"), (c("e") + 0.5).alias("e"), (c("n") + 0.5).alias("n"), (c("w") - 0.25).alias("w"), (c("h") - 0.25).alias("h")))
+    shapes = [outline.where(c("feet") % 4 == k) for k, _ in enumerate(_KINDS)]
+    return raster.class_grid(grid, *shapes)
+
+
+@query(_with(S.BOXES_SQL, _CLASS_SQL + " SELECT c.e, c.n, CASE WHEN green > total // 2 THEN 1 ELSE class END::INT AS class FROM classes c LEFT JOIN open USING (e, n)"))
+def class_from_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_grid(spark, sf_dir)
+
+
+_SPLIT_SQL = """
+held AS (SELECT e, n, max(h_in)::INT AS h_in, max(CASE WHEN h_in % 36 = 0 THEN 1 ELSE 0 END)::INT AS class FROM box_cells GROUP BY ALL)"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _box_cells(spark, sf_dir).groupBy("e", "n").agg(F.max("h_in").alias("h_in"), F.max((F.col("h_in") % 36 == 0).cast("int")).alias("class"))
+
+
+@query(_with(S.BOXES_SQL, _SPLIT_SQL + """
+SELECT (e // 500)::INT AS ke, (n // 500)::INT AS kn, 250000::BIGINT AS cells, sum(h_in)::BIGINT AS inches, sum(h_in * (e % 500 * 500 + n % 500))::BIGINT AS placed, (250000 - count(*))::BIGINT AS water FROM held GROUP BY ALL"""))
+def tile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as they are stored, unpacked again and added up."""
+    tiles_held = raster.split_tiles(_held(spark, sf_dir))
+    place = (F.col("e") % 500 * 500 + F.col("n") % 500).cast("long")
+    cells = raster.tile_cells(tiles_held, tiles_held)
+    return cells.groupBy("ke", "kn").agg(F.count(F.lit(1)).alias("cells"), F.sum("h_in").alias("inches"), F.sum(F.col("h_in") * place).alias("placed"), F.count_if(F.col("class") == 3).alias("water"))
+
+
+@query(_with(S.BOXES_SQL, _SPLIT_SQL + " SELECT (e // 500)::INT AS ke, (n // 500)::INT AS kn, min(h_in)::INT AS lowest, max(h_in)::INT AS highest FROM held GROUP BY ALL"))
+def tile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.tile_range(_held(spark, sf_dir)).select(F.col("ke").cast("int").alias("ke"), F.col("kn").cast("int").alias("kn"), F.col("lowest").cast("int").alias("lowest"), F.col("highest").cast("int").alias("highest"))
+
+
+@query(_with(S.BOXES_SQL, """
+foot AS (SELECT obstruction_id AS bin, e, n, w, h FROM boxes WHERE h_in % 24 = 0)
+SELECT b.obstruction_id AS bin, c.e, c.n, CASE WHEN f.bin IS NOT NULL AND c.e + 0.0 > f.e + 0.5 AND c.e + 0.0 < f.e + f.w - 0.5 AND c.n + 0.0 > f.n + 0.5 AND c.n + 0.0 < f.n + f.h - 0.5 THEN 0 ELSE c.h_in END::INT AS h_in
+FROM box_cells c JOIN boxes b USING (obstruction_id) LEFT JOIN foot f ON f.bin = b.obstruction_id"""))
+def footprint_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells under a building's own outline, drawn half a foot inside its box, are set to 0."""
+    c = F.col
+    inner = S.rings(S.boxes(spark, sf_dir).where("h_in % 24 = 0").select(c("obstruction_id").alias("bin"), (c("e") + 0.5).alias("e"), (c("n") + 0.5).alias("n"), (c("w") - 1).alias("w"), (c("h") - 1).alias("h")))
+    cells = _box_cells(spark, sf_dir).select(c("obstruction_id").alias("bin"), "e", "n", "h_in")
+    return terrain.without_footprint(cells, inner).select("bin", "e", "n", c("h_in").cast("int").alias("h_in"))
+
+
+@query(f"""
+SELECT (ke + {S.EAST // 500})::INT AS ke, (kn + {S.NORTH // 500})::INT AS kn FROM (SELECT DISTINCT r_regionkey * 20 AS k FROM region), LATERAL (SELECT unnest(range(k, k + 11)) AS ke), LATERAL (SELECT unnest(range(k, k + 7)) AS kn)
+WHERE ke * 500 >= k * 500 + 250 AND (ke + 1) * 500 <= k * 500 + 250 + 4100 AND kn * 500 >= k * 500 + 100 AND (kn + 1) * 500 <= k * 500 + 100 + 2500""")
+def city_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles wholly inside one of five outlines."""
+    k = F.col("r_regionkey") * 10_000
+    outlines = S.rings(S.table(spark, sf_dir, "region").select((F.lit(S.EAST + 250) + k).alias("e"), (F.lit(S.NORTH + 100) + k).alias("n"), F.lit(4100).alias("w"), F.lit(2500).alias("h")))
+    return terrain.city_tiles(outlines).select(F.col("ke").cast("int").alias("ke"), F.col("kn").cast("int").alias("kn"))
 _MASKED_SQL = """
 roof_cells AS (SELECT obstruction_id AS bin, c.e, c.n, (h_in + CASE WHEN c.e % 8 < 4 THEN 0 ELSE 90 END)::INT AS h_in, (c.e + c.n) % 6 <> 0 AS mask, sw_e, sw_n FROM box_cells c JOIN (SELECT obstruction_id, e AS sw_e, n AS sw_n FROM boxes) USING (obstruction_id)),
 on_grid AS (SELECT * FROM roof_cells WHERE (e - sw_e) % 4 = 2 AND (n - sw_n) % 4 = 2),
