@@ -16,14 +16,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: nodes a, b (long), any order, repeats allowed. Returns node, root (its smallest node).
 
     Nodes without edges don't appear. Each step joins the edges with each node's smallest
-    neighbour, so a node with many edges is never gathered in one task; every round is kept in
-    the shared folder. Ends when a round changes nothing, after about log(nodes) rounds.
+    neighbour, which is kept first, so that nothing but the join is in its stage and Spark can split
+    a node with many edges; every round is kept in the shared folder. Ends when a round changes nothing, after about log(nodes) rounds.
     """
     edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

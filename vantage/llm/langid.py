@@ -56,8 +56,14 @@ def _word() -> re.Pattern:
     return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
+#: The same for texts of the first 256 code points, whose letters are few.
+_LATIN, _LATIN_WORD = re.compile("[\x00-\xff]*"), re.compile("[a-zªµºß-öø-ÿ]+")
+
+
 def words_of(text: str | None) -> list[str]:
-    return _word().findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_LATIN_WORD if _LATIN.fullmatch(text) else _word()).findall(text.lower())
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:

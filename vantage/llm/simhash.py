@@ -309,7 +309,7 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
         open_rows = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
         if not len(open_rows):
             continue
-        both = np.bitwise_count(bits[i] & bits[open_rows]).sum(1, dtype=np.int64)
+        both = np.concatenate([np.bitwise_count(bits[i] & bits[open_rows[a : a + 64]]).sum(1, dtype=np.int64) for a in range(0, len(open_rows), 64)])
         near = open_rows[both >= least * (sizes[i] + sizes[open_rows] - both) - 1e-9]
         if len(near):
             p.append(np.full(len(near), i))

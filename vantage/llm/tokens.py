@@ -14,7 +14,7 @@ END = 2
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Runs between blanks that a worker remembers, about 220 bytes each.
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
 #: Characters of the longest of them.
 MAX_LENGTH = 64
 
