@@ -1,6 +1,7 @@
 """Operators of the line-of-sight system on literal cases and small grids, and queries against DuckDB."""
 
 import datetime
+import json
 import math
 import struct
 
@@ -298,6 +299,51 @@ def test_geojson(spark, tmp_path):
     assert sorted(r.height_roof for r in rows) == [3.0, 3.0, 12.5] and rows[0].output_geometry.startswith("POLYGON ((0")
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "hertz", "full", "inner"),
+    [
+        ((1009748.3478422969, 253099.53772897943, 251.25), (1000565.7271487191, 241854.0, 257.6095239708276), 24e9, (11246, 278120), (11246, 166896)),
+        ((1013771.106, 246714.567, 150.083), (1009758.4997793691, 253096.57297435577, 251.91700744628906), 60e9, (6382, 65830), (6382, 39486)),
+        ((1009948.5, 237111.5, 233.667), (998001.8977003782, 236324.25420103534, 291.61352244298905), 5e9, (789, 456380), (788, 273811)),
+    ],
+)
+def test_zones_of_long_links(spark, a, b, hertz, full, inner):
+    """Rows and cells of links of one to three miles, as counted from the ellipsoid's matrix form."""
+    link = spark.createDataFrame([(1, *a, *b, hertz)], "link_id int, ae double, an double, az double, be double, bn double, bz double, hertz double")
+    for alpha, (rows, cells) in ((1.0, full), (0.6, inner)):
+        made = zone.zone_rows(link, alpha)
+        assert made.count() == rows and made.agg(F.sum(F.col("e_hi") - F.col("e_lo") + 1)).first()[0] == cells
+        assert zone.zone_cells(link, alpha).count() == cells
+
+
+def test_index_and_footprints_are_read(spark, tmp_path):
+    index = spark.createDataFrame([("active_permits", "240_00", ["a", "b"]), ("unheard_of", "240_00", ["c"])], "obstruction_type string, tile_id string, ids array<string>")
+    sinks.write_index(index, str(tmp_path / "index"))
+    held = geo.read_index(spark, str(tmp_path / "index"))
+    assert [tuple(r) for r in held.select("obstruction_type", "tile_id", "ids").collect()] == [("active_permits", "240_00", ["a", "b"])]
+    meta = spark.createDataFrame([("active_permits", "a", 3, 4), ("active_permits", "x", 9, 9)], "obstruction_type string, obstruction_id string, w int, h int")
+    assert terrain.obstruction_bytes(spark.createDataFrame([("240_00",)], "tile_id string"), held, meta).first()[0] == 24 + 4096
+    feature = json.loads(geo.footprint_geojson(_shapes(spark, {"1": [(1000000, 240000), (1000100, 240000), (1000000, 240100), (1000000, 240000)]})).first().feature)
+    lon, lat = feature["geometry"]["coordinates"][0][0]
+    assert -74.1 < lon < -73.9 and 40.8 < lat < 40.9 and feature["properties"] == {"bin": "1"}
+    point = F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("enz", (5, 7, 9))))
+    base = F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("enz", (1, 2, 10))))
+    assert tuple(value(spark, tiles.relative(point, base))) == (4.0, 5.0, -1.0)
+
+
+def test_deep_geometry_collections(spark, tmp_path):
+    shape = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
+    for name, levels in (("a", 5), ("b", 8)):
+        text = shape
+        for _ in range(levels):
+            text = f'{{"type":"GeometryCollection","geometries":[{shape},{text}]}}'
+        (tmp_path / f"{name}.json").write_text(text)
+        assert geo.read_geojson(spark, str(tmp_path / f"{name}.json")).count() == levels + 1
+    (tmp_path / "c.json").write_text('{"type":"GeometryCollection","geometries":[' + text + "]}")
+    with pytest.raises(Exception, match="nested too deeply"):
+        geo.read_geojson(spark, str(tmp_path / "c.json")).collect()
+
+
 def test_las_points(spark, tmp_path):
     header = bytearray(227)
     header[:4], header[24:26] = b"LASF", bytes([1, 2])

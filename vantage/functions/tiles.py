@@ -75,3 +75,8 @@ def valid_altitude(feet: Column) -> Column:
 
 def valid_frequency(hertz: Column) -> Column:
     return hertz.between(1e3, 200e9)
+
+
+def relative(point: Column, base: Column) -> Column:
+    """Struct e, n, z of a point (e, n, z) as seen from another."""
+    return F.struct(*((point[c] - base[c]).alias(c) for c in "enz"))

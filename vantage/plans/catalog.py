@@ -653,7 +653,30 @@ def nearest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rooftop.nearest_status(cells, found, _SPACING)
 
 
-@query()
+@query(
+    _with(
+        S.BOXES_SQL,
+        _MASKED_SQL,
+        """
+ring AS (SELECT obstruction_id AS bin, e, n, w, h, 4 * unnest(range((2 * (w + h) + 3) // 4)) AS d FROM boxes),
+walk AS (
+  SELECT bin, e, n, w, h, d, (CASE WHEN d < w THEN e + d WHEN d < w + h THEN e + w WHEN d < 2 * w + h THEN e + 2 * w + h - d ELSE e END)::DOUBLE AS x,
+    (CASE WHEN d < w THEN n WHEN d < w + h THEN n + d - w WHEN d < 2 * w + h THEN n + h ELSE n + 2 * w + 2 * h - d END)::DOUBLE AS y FROM ring
+),
+tried AS (
+  SELECT bin, d, x, y, least(greatest(floor(x)::INT, e), e + w - 1) + i AS ce, least(greatest(floor(y)::INT, n), n + h - 1) + j AS cn, r
+  FROM walk, (VALUES (0, 0, 0), (1, -1, -1), (2, -1, 0), (3, -1, 1), (4, 0, -1), (5, 0, 1), (6, 1, -1), (7, 1, 0), (8, 1, 1)) t(r, i, j)
+),
+edge AS (SELECT t.bin, d, x, y, arg_min(h_in, r) / 12 AS z FROM tried t JOIN roof_cells c ON c.bin = t.bin AND c.e = ce AND c.n = cn WHERE mask GROUP BY ALL),
+cliffs AS (SELECT bin, e, n, h_in + unnest(range(1, (next_in - h_in) // 24 + 2)) * 24 AS h_in FROM samples WHERE next_in - h_in > 48),
+inner_points AS (SELECT bin, e + 0.5::DOUBLE AS x, n + 0.5::DOUBLE AS y, h_in / 12 AS z FROM (SELECT bin, e, n, h_in FROM samples UNION ALL SELECT * FROM cliffs)),
+points AS (
+  SELECT bin, x, y, z FROM edge UNION ALL
+  SELECT bin, x, y, z FROM inner_points p WHERE NOT EXISTS (SELECT 1 FROM edge g WHERE g.bin = p.bin AND (g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y) < 4)
+)
+SELECT bin, x, y, z, CASE WHEN row_number() OVER (PARTITION BY bin, x, y ORDER BY z DESC) = 1 THEN z + 5 ELSE z END AS measure_z FROM points""",
+    )
+)
 def rooftop_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = S.rings(S.boxes(spark, sf_dir)).select(F.col("obstruction_id").alias("bin"), "rings")
     return rooftop.rooftop_samples(polygons, _roof_cells(spark, sf_dir), 4.0, 5.0).select("bin", "x", "y", "z", "measure_z")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.functions import geometry
+from vantage.functions import geometry, projection
+from vantage.operators.terrain import TYPES
 
 _RING = "array<array<double>>"
-_GEOMETRY = f"type string, coordinates string, geometries array<struct<type:string,coordinates:string,geometries:string>>, rings array<{_RING}>"
+_GEOMETRY = f"type string, coordinates string, geometries string, rings array<{_RING}>"
+#: Levels of geometry collections in collections that are opened; deeper ones are an error.
+LEVELS = 8
 _FEATURE = f"type string, properties map<string,string>, geometry struct<{_GEOMETRY.replace(' string', ':string').replace(' array', ':array')}>"
 
 
@@ -25,7 +28,7 @@ def polygons_of(df: DataFrame, kind: str, coordinates: str, *keep: str) -> DataF
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """properties and rings of every polygon in files of a FeatureCollection, a Feature or a geometry.
 
-    Geometry collections are opened to two levels.
+    Geometry collections are opened to LEVELS levels; a deeper one fails the query, so no shape is lost.
     """
     collection = f"type string, features array<struct<{_FEATURE.replace('type string, properties map', 'type:string,properties:map').replace(', geometry struct', ',geometry:struct')}>>"
     text = spark.read.option("wholetext", True).text(path)
@@ -33,10 +36,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     as_feature = F.struct(whole["type"].alias("type"), F.create_map().cast("map<string,string>").alias("properties"), bare.alias("geometry"))
     rows = text.select(F.explode(F.when(whole["type"] == "FeatureCollection", whole["features"]).when(whole["type"] == "Feature", F.array(single)).otherwise(F.array(as_feature))).alias("f"))
     shapes = rows.select("f.properties", "f.geometry.*")
-    direct = shapes.select("properties", "type", "coordinates")
-    nested = shapes.select("properties", F.explode("geometries").alias("g")).select("properties", "g.type", "g.coordinates", F.from_json("g.geometries", "array<struct<type:string,coordinates:string>>").alias("deep"))
-    deep = nested.select("properties", F.explode("deep").alias("d")).select("properties", "d.type", "d.coordinates")
-    return polygons_of(direct.unionByName(nested.drop("deep")).unionByName(deep), "type", "coordinates", "properties")
+    level = shapes.select("properties", "type", "coordinates", "geometries")
+    found = level.select("properties", "type", "coordinates")
+    for _ in range(LEVELS):
+        inner = F.explode(F.from_json("geometries", "array<struct<type:string,coordinates:string,geometries:string>>")).alias("g")
+        level = level.select("properties", inner).select("properties", "g.*")
+        found = found.unionByName(level.select("properties", "type", "coordinates"))
+    deeper = level.where("geometries IS NOT NULL").select("properties", F.raise_error(F.lit("geometry collections are nested too deeply")).cast("string").alias("type"), "coordinates")
+    return polygons_of(found.unionByName(deeper), "type", "coordinates", "properties")
 
 
 def named_obstructions(shapes: DataFrame, kind: str) -> DataFrame:
@@ -107,3 +114,17 @@ def building_of(numbers: DataFrame, nodes: DataFrame, installs: DataFrame, build
     through = nodes.select("number", F.posexplode("building_ids").alias("place", "building_id")).join(valid, "building_id").groupBy("number").agg(F.min_by("bin", "place").alias("_node"))
     direct = installs.join(valid, "building_id").groupBy("number").agg(F.min("bin").alias("_install"))
     return numbers.select("number").distinct().join(through, "number", "left").join(direct, "number", "left").select("number", F.coalesce("_node", "_install").alias("bin"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """obstruction_type, tile_id and ids of a written index; unknown types are left out."""
+    rows = spark.read.option("basePath", path).schema("obstruction_type string, tile_id string, ids array<string>").json(path)
+    return rows.where(F.col("obstruction_type").isin(*TYPES))
+
+
+def footprint_geojson(footprints: DataFrame) -> DataFrame:
+    """bin and a GeoJSON feature of its outline (rings, feet) in degrees."""
+    place = lambda p: projection.to_degrees(p["x"], p["y"], F.lit(0.0))
+    rings = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(place(p)["lon"], place(p)["lat"])))
+    shape = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
+    return footprints.select("bin", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("bin").alias("properties"), shape.alias("geometry"))).alias("feature"))
