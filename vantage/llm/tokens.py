@@ -32,15 +32,19 @@ class WordIds(dict):
         self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in letters if c != 0xF7}
 
     def __missing__(self, run: str) -> bytes:
-        if run.isascii():
-            pieces = (run,) if run.isalpha() else _PIECES.findall(run)
+        if run.isalpha():
+            ids = self.merged(run if run.isascii() else run.translate(self.alphabet))
+        elif run[-1] in ".,;:!?" and run[:-1].isalpha():  # a word and a mark, which may have been seen
+            ids = self[run[:-1]] + self[run[-1]]
         else:
-            pieces = [p.translate(self.alphabet) for p in _PIECES.findall(run)]
-        ids = array("I", [t.id for p in pieces for t in self.merge(p)]).tobytes()
+            ids = b"".join([self.merged(p.translate(self.alphabet)) for p in _PIECES.findall(run)])
         if len(run) <= MAX_LENGTH:
             self[run] = ids
         return ids
 
+    def merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.merge(piece)]).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
