@@ -74,11 +74,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row and everything tied with the last."""
+    """Columns of the k best of each row; of those tied with the last the first ones, so columns come by rising id."""
     if scores.shape[1] <= k:
         return np.isfinite(scores)
     least = np.partition(scores, -k, axis=1)[:, -k:].min(1)
-    return (scores >= least[:, None]) & np.isfinite(scores)
+    chosen = (scores >= least[:, None]) & np.isfinite(scores)
+    over = np.flatnonzero(chosen.sum(1) > k)
+    if len(over):
+        tied = chosen[over] & (scores[over] == least[over, None])
+        room = k - (chosen[over].sum(1) - tied.sum(1))
+        chosen[over] &= ~tied | (np.cumsum(tied, axis=1) <= room[:, None])
+    return chosen
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
@@ -118,7 +124,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
     reach, held = _tasks(places, window, total)
 
     def search(table: pa.Table) -> pa.Table:
-        queries, block = table.filter(table.column("asks")), table.filter(pc.invert(table.column("asks")))
+        queries, block = table.filter(table.column("asks")), table.filter(pc.invert(table.column("asks"))).sort_by("vid")
         found = []
         if queries.num_rows and block.num_rows:
             x, ids, at = _matrix(block.column("v")), block.column("vid").to_numpy(), block.column("place").to_numpy()
@@ -209,6 +215,7 @@ def _window(points: DataFrame, places: DataFrame, asking: DataFrame, k: int, cur
         ask, q = shared.value
         for batch in batches:
             if batch.num_rows:
+                batch = batch.sort_by("vid")
                 scores = q @ _matrix(batch.column(1)).T
                 a, b = np.nonzero(_best(scores, k + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ask[a]), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[b]), pa.array(scores[a, b])], names=["query", "vid", "score"])
