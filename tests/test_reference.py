@@ -328,6 +328,7 @@ def test_index_and_footprints_are_read(spark, tmp_path):
     lon, lat = feature["geometry"]["coordinates"][0][0]
     assert -74.1 < lon < -73.9 and 40.8 < lat < 40.9 and feature["properties"] == {"bin": "1"}
     point = F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("enz", (5, 7, 9))))
+    assert [value(spark, tiles.valid_gps(F.lit(lat), F.lit(lon))) for lat, lon in ((40.7, -74.0), (40.2, -72.0), (41.2, -74.0), (40.7, -71.9))] == [True, True, False, False]
     base = F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("enz", (1, 2, 10))))
     assert tuple(value(spark, tiles.relative(point, base))) == (4.0, 5.0, -1.0)
 

@@ -77,6 +77,12 @@ def valid_frequency(hertz: Column) -> Column:
     return hertz.between(1e3, 200e9)
 
 
+def valid_gps(lat: Column, lon: Column) -> Column:
+    """Whether degrees are near enough to be projected."""
+    # The lowest and highest latitude and longitude.
+    return lat.between(40.2, 41.15) & lon.between(-77.2, -72.0)
+
+
 def relative(point: Column, base: Column) -> Column:
     """Struct e, n, z of a point (e, n, z) as seen from another."""
     return F.struct(*((point[c] - base[c]).alias(c) for c in "enz"))
