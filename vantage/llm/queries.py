@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import ann, decontam, langid, packing, sharding, simhash, substring, tokenstore, toxicity, urlfilter
+from vantage.llm import alignment, ann, bpe, decontam, langid, packing, periodic, sharding, simhash, substring, tokenstore, toxicity, urlfilter
 from vantage.llm.common import shared_dir
 
 #: Fixed rules of the url query: action, host, path.
@@ -73,6 +73,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def _with_runs_planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where crc32(doc_id) % 10 is 0, the words from the a-th on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        root = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(root), F.lit(1), n - a)), " "))
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_runs_planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    greater = lambda x, y: F.when(y.isNull() | (x["length"] * y["period"] > y["length"] * x["period"]), x).otherwise(y)
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    best = F.aggregate("runs", none, lambda best, run: greater(run, best))  # of ties the first by start, then period
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents"))
+    ids = F.col("ids")
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.as_bytes(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -85,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_url_filter": op9_url_filter,
         "op10_sharding": op10_sharding,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_alignment": op13_alignment,
     }
 
 
