@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from vantage.llm.common import shared_dir, slices, text_bytes
 
 #: Bytes of text laid end to end, about; a longer document stands alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Texts given to a tokenizer at once, in bytes, because its answers are large.
 CALL_BYTES = 1 << 18
 #: Bits of a B id in a pair.
