@@ -93,24 +93,25 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _table(ranks: dict[bytes, int]) -> Column:
     """A vocabulary's ranks as a struct of literals, hashed into buckets, because Spark searches a map from end to end."""
     words: list[dict[str, int]] = [{} for _ in range(WORD_BUCKETS)]
-    keys: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
-    values: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
+    pairs: list[list[dict[str, int]]] = [[] for _ in range(PAIR_BUCKETS)]
     for token, rank in ranks.items():
         words[zlib.crc32(token) % WORD_BUCKETS][token.hex().upper()] = rank
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                keys[(left * MIX + right) % PAIR_BUCKETS].append(left << 32 | right)
-                values[(left * MIX + right) % PAIR_BUCKETS].append(rank)
-    parts = {"words": (words, "array<map<string,int>>"), "keys": (keys, "array<array<bigint>>"), "values": (values, "array<array<int>>"), "bytes": ([ranks[bytes([b])] for b in range(256)], "array<int>")}
-    return F.struct(*[_literal(value, kind).alias(name) for name, (value, kind) in parts.items()])
+                pairs[(left * MIX + right) % PAIR_BUCKETS].append({"k": left << 32 | right, "v": rank})
+    of_pair = F.transform(_literal(pairs, "array<array<struct<k: bigint, v: int>>>"), F.map_from_entries)
+    starts = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
+    return F.struct(
+        _literal(words, "array<map<string,int>>").alias("words"), of_pair.alias("pairs"), _literal(starts, "array<int>").alias("starts"), _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes")
+    )
 
 
 class Merges:
     """Expressions over a vocabulary's table, which is a variable bound once, so that its literals stand in the plan once."""
 
     def __init__(self, table: Column):
-        self.words, self.keys, self.values, self.of_byte = (table[name] for name in ("words", "keys", "values", "bytes"))
+        self.words, self.pairs, self.starts, self.of_byte = (table[name] for name in ("words", "pairs", "starts", "bytes"))
 
     def whole(self, word: Column) -> Column:
         """The rank of a word that is a token, else null."""
@@ -118,9 +119,8 @@ class Merges:
 
     def rank(self, left: Column, right: Column) -> Column:
         """The rank of the token that two ids make, NONE if there is none."""
-        bucket = F.pmod(left * F.lit(MIX) + right, F.lit(PAIR_BUCKETS)).cast("int")
-        place = F.array_position(F.get(self.keys, bucket), left * F.lit(1 << 32) + right)
-        return F.coalesce(F.get(F.get(self.values, bucket), (place - 1).cast("int")), F.lit(NONE))
+        bucket = F.get(self.pairs, F.pmod(left * F.lit(MIX) + right, F.lit(PAIR_BUCKETS)))
+        return F.coalesce(F.try_element_at(bucket, left * F.lit(1 << 32) + right), F.lit(NONE))
 
     def ranks(self, ids: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: self.rank(F.get(ids, i - 1), F.get(ids, i)))
@@ -130,13 +130,14 @@ class Merges:
         ids, ranks = state["ids"], state["ranks"]
 
         def merged(at: Column) -> Column:
-            beside = F.array(self.rank(F.get(ids, at - 2), low), self.rank(low, F.get(ids, at + 1)))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
-            )
+            # what follows moves up, and -1 comes in at the end: Spark's slice and concat of arrays are slow
+            up = lambda values, i, end: F.coalesce(F.get(values, i + 1), F.lit(end))
+            new_ids = F.transform(ids, lambda x, i: F.when(i < at, x).when(i == at, low).otherwise(up(ids, i, -1)))
+            sides = lambda r, i: F.when(i < at - 1, r).when(i > at, up(ranks, i, NONE))
+            new_ranks = F.transform(ranks, lambda r, i: sides(r, i).when(i == at, self.rank(low, F.get(ids, at + 2))).otherwise(self.rank(F.get(ids, at - 1), low)))
+            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
 
-        return _let(F.array_position(ranks, low).cast("int"), merged)
+        return _let(F.array_position(ranks, low).cast("int") - 1, merged)
 
     def everywhere(self, state: Column, low: Column) -> Column:
         """The state after all pairs of rank ``low`` are merged from left to right, if no merge makes a pair
@@ -163,18 +164,19 @@ class Merges:
 
     def fold(self, units: Column) -> Column:
         """The ids of a word, given its bytes as numbers. On both sides stands -1, which makes no token with any id."""
-        end = F.array(F.lit(-1))
-        start = F.concat(end, F.transform(units, lambda b: F.get(self.of_byte, b.cast("int"))), end)
-        start = _let(start, lambda ids: F.struct(ids.alias("ids"), self.ranks(ids).alias("ranks")))
-        return F.aggregate(units, start, lambda state, _: self.step(state), lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2))
+        end, none = F.array(F.lit(-1)), F.array(F.lit(NONE))
+        ids = F.concat(end, F.transform(units, lambda b: F.get(self.of_byte, b)), end)
+        pairs = F.transform(units, lambda b, i: F.coalesce(F.get(self.starts, b * 256 + F.get(units, i + 1)), F.lit(NONE)))  # the last has no right side
+        start = F.struct(ids.alias("ids"), F.concat(none, pairs).alias("ranks"))
+        return F.aggregate(units, start, lambda state, _: self.step(state), lambda state: F.array_remove(state["ids"], -1))
 
     def ids(self, word: Column, units: Column) -> Column:
         return _let(self.whole(word), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(self.fold(units)))
 
 
-SCHEMA = "words array<binary>, units array<array<smallint>>, docs array<struct<doc_id: long, words: array<int>>>"
+SCHEMA = "words array<binary>, units array<array<int>>, docs array<struct<doc_id: long, words: array<int>>>"
 _ARROW = pa.schema(
-    [("words", pa.list_(pa.binary())), ("units", pa.list_(pa.list_(pa.int16()))), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])))]
+    [("words", pa.list_(pa.binary())), ("units", pa.list_(pa.list_(pa.int32()))), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])))]
 )
 
 
@@ -186,7 +188,7 @@ def _block(doc_ids: list, numbers: list[array], words: dict[str, int]) -> pa.Rec
     """One row: the different words of some documents, and for each document the numbers of its words."""
     coded = [w.encode() for w in words]
     sizes = list(map(len, coded))
-    units = _lists(pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int16)), sizes)
+    units = _lists(pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)), sizes)
     own = np.concatenate([np.frombuffer(n, np.int32) for n in numbers])
     docs = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), _lists(pa.array(own), list(map(len, numbers)))], names=["doc_id", "words"])
     return pa.RecordBatch.from_arrays([_lists(pa.array(coded, pa.binary()), [len(coded)]), _lists(units, [len(units)]), _lists(docs, [len(docs)])], schema=_ARROW)
@@ -211,37 +213,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Reco
         yield _block(doc_ids, numbers, words)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id (long), ids (array of int).
+def _joined(parts: Column) -> Column:
+    """Binary values joined, as a string, in which bytes stay what they are."""
+    return F.array_join(F.transform(parts, lambda b: b.cast("string")), "")
+
+
+def _pieces(path: str) -> Column:
+    tokens: list[str] = []
+    for token, rank in sorted(read_ranks(path).items(), key=lambda item: item[1]):
+        tokens += [""] * (rank - len(tokens)) + [base64.b64encode(token).decode()]
+    return _literal(tokens, "array<binary>")
+
+
+def _little_endian(path: str) -> Column:
+    return _literal([base64.b64encode(i.to_bytes(4, "little")).decode() for i in range(max(read_ranks(path).values()) + 1)], "array<binary>")
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, parts: tuple[str, ...] = ("ids",), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id (long) and ``parts``: ids (array of int), packed (binary: the ids as little-endian
+    unsigned 32-bit integers), decoded (binary: the bytes that the ids give back).
 
     Null and empty texts have no ids. Repeated rows and keys, null ones too, each give a row of
     their own, in no stated order. A table without rows gives none; other columns are not read.
     Texts are taken whole, and special tokens are no more than their characters. A word of n bytes
     takes up to n - 1 steps over its ids; one of more than ``ROUNDS_FROM`` ids merges equal pairs together.
     """
+    path = path or vocabulary_path()
     blocks = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(partial(_blocks, pattern=pattern), SCHEMA)
-    of_words = lambda table: F.transform(F.arrays_zip("words", "units"), lambda w: Merges(table).ids(w["words"], w["units"]))
-    of_docs = lambda ids: F.transform(
-        F.col("docs"), lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["words"], lambda i: F.get(ids, i))).alias("ids"))
-    )
-    return blocks.select(F.inline(_let(_let(_table(read_ranks(path or vocabulary_path())), of_words), of_docs)))
+    tables = {"merges": _table(read_ranks(path))}
+    if "packed" in parts:
+        tables["packed"] = _little_endian(path)
+    if "decoded" in parts:
+        tables["decoded"] = _pieces(path)
 
+    def of_word(table: Column, word: Column) -> Column:
+        def each(ids: Column) -> Column:
+            looked_up = lambda p: F.transform(ids, lambda i: F.get(table[p], i))
+            return F.struct(*((ids if p == "ids" else _joined(looked_up(p))).alias(p) for p in parts))
 
-def _joined(parts: Column) -> Column:
-    """Binary values joined; as strings their bytes stay what they are."""
-    return F.array_join(F.transform(parts, lambda b: b.cast("string")), "").cast("binary")
+        return _let(Merges(table["merges"]).ids(word["words"], word["units"]), each)
 
+    def of_doc(words: Column, doc: Column) -> Column:
+        own = lambda p: F.transform(doc["words"], lambda i: F.get(words, i)[p])
+        return F.struct(doc["doc_id"].alias("doc_id"), *((F.flatten(own(p)) if p == "ids" else F.array_join(own(p), "").cast("binary")).alias(p) for p in parts))
 
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes of an array of ids; null for null. An id that the vocabulary lacks has no bytes."""
-    tokens: list[str] = []
-    for token, rank in sorted(read_ranks(path or vocabulary_path()).items(), key=lambda item: item[1]):
-        tokens += [""] * (rank - len(tokens)) + [base64.b64encode(token).decode()]
-    pieces = _literal(tokens, "array<binary>")
-    return _joined(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit(b""))))
+    encoded = _let(F.struct(*(t.alias(name) for name, t in tables.items())), lambda table: F.transform(F.arrays_zip("words", "units"), partial(of_word, table)))
+    return blocks.select(F.inline(_let(encoded, lambda words: F.transform(F.col("docs"), partial(of_doc, words)))))
 
 
-def as_bytes(ids: Column, size: int = 1 << 16) -> Column:
-    """Ids below ``size`` as little-endian unsigned 32-bit integers in a row."""
-    words = _literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(words, i)), ""))
+def decode(ids: Column, path: str | None = None) -> Column:
+    """The bytes of an array of ids; null for null. An id that the vocabulary lacks has no bytes."""
+    pieces = _pieces(path or vocabulary_path())
+    return _joined(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit(b"")))).cast("binary")

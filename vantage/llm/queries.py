@@ -105,9 +105,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(_table(spark, sf_dir, "documents"))
-    ids = F.col("ids")
-    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.as_bytes(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), parts=("packed", "decoded"))
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("packed") / 4).alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
