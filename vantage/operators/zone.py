@@ -54,10 +54,9 @@ def zone_rows(links: DataFrame, alpha: float = FULL) -> DataFrame:
     return rows.select("*", met.alias("_met")).drop("_met").withColumn("n", c("n").cast("int"))
 
 
-def zone_cells(links: DataFrame, alpha: float = FULL) -> DataFrame:
-    """link_id, alpha, n, e, bottom, top (inches) and the row's west end."""
+def cell_heights(cells: DataFrame, *keep: str) -> DataFrame:
+    """link_id, alpha, n, e, bottom, top (inches) and the row's west end of rows of ``zone_rows`` with a cell e each, with ``keep``."""
     c = F.col
-    cells = zone_rows(links, alpha).withColumn("e", F.explode(F.sequence("e_lo", "e_hi")))
     x = c("e") - (c("me") + c("u"))
     span = F.sqrt(F.greatest((c("m02") * c("m02") - c("m00") * c("m22")) / (c("m22") * c("m22")) * x * x - c("fn") / c("m22"), F.lit(0.0)))
     centre = -(c("m02") / c("m22")) * x + c("v") + c("mz")
@@ -66,10 +65,15 @@ def zone_cells(links: DataFrame, alpha: float = FULL) -> DataFrame:
     sag = F.sqrt(F.greatest(radius * radius - axial * axial, F.lit(0.0))) - F.sqrt(radius * radius - c("major") * c("major"))
     return cells.select(
         "link_id", "alpha", "n", c("e").cast("int").alias("e"), inches_cut(centre - span - sag).alias("bottom"), inches_cut(centre + span - sag).alias("top"),
-        c("e_lo").cast("int").alias("west"), "ae", "an", "be", "bn",
+        c("e_lo").cast("int").alias("west"), "ae", "an", "be", "bn", *keep,
     )
 
 
+def zone_cells(links: DataFrame, alpha: float = FULL) -> DataFrame:
+    """link_id, alpha, n, e, bottom, top (inches) and the row's west end."""
+    return cell_heights(zone_rows(links, alpha).withColumn("e", F.explode(F.sequence("e_lo", "e_hi"))))
+
+
 def zone_tiles(links: DataFrame, alpha: float = FULL) -> DataFrame:
     """Distinct link_id, ke, kn of tiles that a zone has cells in, from its rows alone."""
     rows = zone_rows(links, alpha)
@@ -81,26 +85,30 @@ def occlusion(bottom: Column, top: Column, terrain: Column) -> Column:
     return F.when(terrain >= top, 1.0).when(terrain <= bottom, 0.0).otherwise((terrain - bottom) / (top - bottom))
 
 
-def intersect(cells: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
-    """Zone cells with terrain (0 where there is none) and fraction (0..255).
+def fractions(cells: DataFrame, by_row: bool = True) -> DataFrame:
+    """Zone cells (with terrain) and their fraction (0..255).
 
     Cells at most six feet from an antenna don't count. The distance is taken at the row's west
     end (``by_row``, as the system studied does) or at the cell itself.
     """
-    joined = cells.join(terrain.select("e", "n", F.col("h_in").alias("_h")), ["e", "n"], "left").withColumn("terrain", F.coalesce("_h", F.lit(0))).drop("_h")
     at = F.col("west") if by_row else F.col("e")
 
     def near(e: str, n: str) -> Column:
         return (at - F.col(e)) * (at - F.col(e)) + (F.col("n") - F.col(n)) * (F.col("n") - F.col(n)) <= NEAR * NEAR
 
     value = F.when(near("ae", "an") | near("be", "bn"), F.lit(0).cast("smallint")).otherwise(fraction_byte(occlusion(F.col("bottom"), F.col("top"), F.col("terrain"))))
-    return joined.withColumn("fraction", value)
+    return cells.withColumn("fraction", value)
 
 
-def statuses(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
-    """link_id, max_full, max_inner and result of each link; one without cells has none (too short)."""
-    cells = zone_cells(links, FULL).unionByName(zone_cells(links, INNER))
-    worst = intersect(cells, terrain, by_row).groupBy("link_id").agg(
+def intersect(cells: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
+    """Zone cells with terrain (0 where there is none) and fraction (see ``fractions``)."""
+    joined = cells.join(terrain.select("e", "n", F.col("h_in").alias("_h")), ["e", "n"], "left").withColumn("terrain", F.coalesce("_h", F.lit(0))).drop("_h")
+    return fractions(joined, by_row)
+
+
+def verdicts(cells: DataFrame) -> DataFrame:
+    """link_id, max_full, max_inner and result of the fractions of both zones' cells."""
+    worst = cells.groupBy("link_id").agg(
         F.max(F.when(F.col("alpha") == FULL, F.col("fraction"))).alias("max_full"), F.max(F.when(F.col("alpha") == INNER, F.col("fraction"))).alias("max_inner")
     )
     full, inner = F.col("max_full"), F.coalesce("max_inner", F.lit(0))
@@ -108,6 +116,11 @@ def statuses(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataF
     return worst.where(full.isNotNull()).select("link_id", full.cast("int").alias("max_full"), inner.cast("int").alias("max_inner"), kind.alias("result"))
 
 
+def statuses(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
+    """link_id, max_full, max_inner and result of each link; one without cells has none (too short)."""
+    return verdicts(intersect(zone_cells(links, FULL).unionByName(zone_cells(links, INNER)), terrain, by_row))
+
+
 def tile_overview(links: DataFrame, terrain: DataFrame, by_row: bool = True) -> DataFrame:
     """link_id, tile_id, bounds and detected: whether a link that isn't clear is touched there.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.functions import geometry, normalize, projection, tiles
-from vantage.operators import filings, raster, rooftop, terrain, zone
+from vantage.operators import city, filings, lidar, raster, rooftop, terrain, zone
 from vantage.plans import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,6 +398,31 @@ def zone_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANALYSIS = (S.points_sql(), S.BOXES_SQL, S.TERRAIN_SQL, S.LINKS_SQL)
 
 
+_SURVEY_SQL = f"""
+survey AS (
+  SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_suppkey % 40 AS file, ({S.EAST} + (l_orderkey * 7 + l_linenumber * 13) % 100)::DOUBLE AS x, ({S.NORTH} + (l_partkey * 11) % 100)::DOUBLE AS y,
+    (l_quantity + CASE WHEN l_orderkey % 101 = 0 AND l_linenumber = 1 THEN 60 + l_partkey % 50 ELSE 0 END)::DOUBLE AS z, CASE l_returnflag WHEN 'R' THEN 7 WHEN 'A' THEN 3 ELSE 2 END AS class FROM lineitem
+),
+asked AS (SELECT id, file, x, y, z FROM survey WHERE class <> 7),
+means AS (
+  SELECT a.id, any_value(a.file) AS file, list_avg(min(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)), 12)) AS mean FROM asked a JOIN asked b ON a.file = b.file AND a.id <> b.id GROUP BY a.id
+),
+limits AS (SELECT file, avg(mean) + 4 * coalesce(stddev_samp(mean), 0) AS most FROM means GROUP BY file)"""
+
+
+@query(_with(_SURVEY_SQL + " SELECT l_orderkey, l_linenumber, CASE WHEN mean > most THEN 7 ELSE class END::INT AS class FROM survey LEFT JOIN means USING (id) LEFT JOIN limits ON limits.file = means.file"))
+def lidar_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as points of 40 files, some far above the others; classes after statistical outliers became noise."""
+    c = F.col
+    stray = F.when((c("l_orderkey") % 101 == 0) & (c("l_linenumber") == 1), 60 + c("l_partkey") % 50).otherwise(0)
+    kind = F.when(c("l_returnflag") == "R", 7).when(c("l_returnflag") == "A", 3).otherwise(2)
+    points = S.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (c("l_suppkey") % 40).alias("file"), (F.lit(S.EAST) + (c("l_orderkey") * 7 + c("l_linenumber") * 13) % 100).cast("double").alias("x"),
+        (F.lit(S.NORTH) + (c("l_partkey") * 11) % 100).cast("double").alias("y"), (c("l_quantity") + stray).cast("double").alias("z"), kind.alias("class"),
+    )
+    return lidar.mark_outliers(points).select("l_orderkey", "l_linenumber", "class")
+
+
 @query(_with(*_ANALYSIS, S.FRACTION_SQL + " SELECT link_id, n, e, fraction FROM hits WHERE alpha = 1.0 AND fraction > 0"))
 def occlusion_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = zone.intersect(zone.zone_cells(S.links(spark, sf_dir)), _terrain(spark, sf_dir))
@@ -409,6 +434,37 @@ def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone.statuses(S.links(spark, sf_dir), _terrain(spark, sf_dir))
 
 
+# A city of 16 tiles, five of them without terrain of their own.
+_CITY_WIDE = 4
+_CITY_SQL = f"""
+leaving AS (
+  SELECT DISTINCT link_id FROM zone_cells
+  WHERE alpha = 1.0 AND NOT ((e // 500) BETWEEN {S.EAST // 500} AND {S.EAST // 500 + _CITY_WIDE - 1} AND (n // 500) BETWEEN {S.NORTH // 500} AND {S.NORTH // 500 + _CITY_WIDE - 1})
+)"""
+
+
+def _city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ke, kn of tiles wholly inside an outline that the links' own reach passes on the east and north."""
+    outline = S.rings(S.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(S.EAST).alias("e"), F.lit(S.NORTH).alias("n"), F.lit(500 * _CITY_WIDE + 100).alias("w"), F.lit(500 * _CITY_WIDE + 100).alias("h")))
+    return terrain.city_tiles(outline)
+
+
+@query(
+    _with(
+        *_ANALYSIS,
+        S.FRACTION_SQL,
+        _CITY_SQL
+        + """
+SELECT link_id, CASE WHEN l.link_id IS NULL THEN max_full END AS max_full, CASE WHEN l.link_id IS NULL THEN max_inner END AS max_inner, CASE WHEN l.link_id IS NULL THEN result ELSE 'OutsideCity' END AS result
+FROM results LEFT JOIN leaving l USING (link_id)""",
+    )
+)
+def link_outside_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses from stored tiles, for links that stay in the city; others fail."""
+    held = raster.split_tiles(_terrain(spark, sf_dir).withColumn("class", F.lit(raster.NONE)))
+    return city.statuses(S.links(spark, sf_dir), held, _city(spark, sf_dir))
+
+
 @query(_with(*_ANALYSIS, S.FRACTION_SQL + " SELECT result, count(*) AS links FROM results GROUP BY ALL"))
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_status(spark, sf_dir).groupBy("result").agg(F.count(F.lit(1)).alias("links"))
