@@ -32,9 +32,7 @@ def texts(docs):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(tokens.tokenizer_path())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 @given(st.lists(st.text("ab c\t\nñ\u3000", max_size=30), max_size=6))
@@ -287,12 +285,32 @@ def test_capitals_hide_no_benchmark_item(spark):
     assert len(items) == 62 and {(n, n) for n, _ in items} <= found
 
 
-@given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("aB'st ÀéßÿÞ.,'123\n#<|>endoftxt", max_size=60))
+_SOME = st.text(st.characters(codec="utf-8"), max_size=60) | st.text("aB'st ÀéßÿÞ.,'123\n#<|>endoftxt", max_size=60)
+
+
+@given(st.lists(_SOME | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "<|ENDOFTEXT|>"]), max_size=4).map("".join), st.booleans())
 @settings(deadline=None, max_examples=300)
-def test_ids_are_the_library_s(text):
-    own = test_ids_are_the_library_s.__dict__.setdefault("tokenizer", Tokenizer.from_file(tokens.tokenizer_path()))
-    own.encode_special_tokens = True
-    assert np.frombuffer(tokens.encode(text, tokens.tokenizer_path()), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+def test_ids_are_the_library_s(text, as_text):
+    own = Tokenizer.from_file(tokens.tokenizer_path()) if not hasattr(test_ids_are_the_library_s, "own") else test_ids_are_the_library_s.own
+    test_ids_are_the_library_s.own = own
+    own.encode_special_tokens = as_text
+    assert np.frombuffer(tokens.encode(text, tokens.tokenizer_path(), as_text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_are_their_tokens():
+    ids = np.frombuffer(tokens.encode("hello <|endoftext|> world <|startoftext|>", tokens.tokenizer_path()), "<u4").tolist()
+    assert ids == [3306, 49407, 1002, 49406]
+
+
+def test_learning_samples_are_bounded_at_any_size(spark):
+    ids = F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id"))
+    rows = spark.range(30_000).select(ids.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert common.sampled(rows, 100_000, 30_000, "doc_id", "text").count() == 30_000
+    for scale in (1, 10**7):  # a table of 3e11 rows, of which these are the ones at hand
+        got = common.sampled(rows, 3_000 * scale, 30_000 * scale, "doc_id", "text")
+        assert 2_600 < got.count() < 3_400 and 800 < got.where("doc_id IS NULL").count() < 1_200
+    copies = spark.range(30_000).select(F.lit(5).alias("doc_id"), F.lit("one text").alias("text"))
+    assert common.sampled(copies, 20_000, 30_000, "doc_id", "text").count() <= 1
 
 
 def test_packing_has_each_id_once_and_little_padding(spark, texts, tokenizer):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text is hashed in slices of about so many bytes, so that the work arrays stay small.
@@ -125,8 +126,18 @@ def slices(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def sampled(rows: DataFrame, limit: int, total: int, *columns: str) -> DataFrame:
+    """All of ``total`` rows, or if they are more than ``limit`` about so many at most, each different one once.
+
+    A row is chosen by a hash of ``columns`` over 2^62 values, so the share stays exact for any total;
+    equal rows are chosen together and count once, so neither a common key nor copies exceed the limit.
+    """
+    if total <= limit:
+        return rows
+    hashed = F.xxhash64(*columns, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1))
+    return rows.where(hashed < F.lit((1 << 62) * limit // total)).dropDuplicates(list(columns))
+
+
 def string_size(df: DataFrame, column: str) -> int:
     """Characters in a column, counted over all rows."""
-    from pyspark.sql import functions as F
-
     return df.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]

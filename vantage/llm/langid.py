@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from vantage.llm.common import U64, mixed, slices
+from vantage.llm.common import U64, mixed, sampled, slices
 
 # First code points of ranges and the script that starts there ("" for none).
 SCRIPTS = [
@@ -121,14 +121,12 @@ class Model:
 def fit(docs: DataFrame, use: Column | None = None, max_docs: int = 20_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the languages in ``lang``; null languages and texts teach nothing.
 
-    Of the rows that ``use`` allows about ``max_docs`` at most are read, chosen by a hash of the
-    key. Counts are added up by Spark; the table that comes to the driver has FEATURES numbers
+    Of the rows that ``use`` allows about ``max_docs`` at most are read, chosen by a hash of key,
+    text and language; equal rows then teach once. Counts are added up by Spark; the table that comes to the driver has FEATURES numbers
     for each language at most.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.lit(True) if use is None else use))
-    total = rows.count()
-    if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+    rows = sampled(rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")), max_docs, rows.count(), "k", "t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -146,7 +144,7 @@ def fit(docs: DataFrame, use: Column | None = None, max_docs: int = 20_000, key:
             yield pa.RecordBatch.from_pydict({"lang": [language] * len(at), "feature": at, "n": own[at]}, schema)
 
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int64()), ("n", pa.int64())])
-    seen = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(count, "lang string, feature long, n long")
+    seen = rows.select("t", "l").mapInArrow(count, "lang string, feature long, n long")
     table = seen.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique())
     counts = np.zeros((FEATURES + len(_NAMES), len(languages)))

@@ -22,10 +22,12 @@ MAX_LENGTH = 64
 class WordIds(dict):
     """The ids of a run between blanks, in lower case and of plain characters, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = specials_as_text
+        #: Beginnings of the strings of added tokens; texts that hold one are the library's own.
+        self.added = () if specials_as_text else tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.merge = self.tokenizer.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = (*range(0x21, 0x7F), *range(0xDF, 0x100))
@@ -49,27 +51,30 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_known: dict[str, WordIds] = {}
+_known: dict[tuple[str, bool], WordIds] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(text: str | None, path: str) -> bytes:
+def encode(text: str | None, path: str, specials_as_text: bool = False) -> bytes:
     """The text's ids as the library gives them (null: none), little-endian unsigned 32-bit.
 
+    The string of an added token in a text is that token, as in the library's plain call;
+    ``specials_as_text``: it is ordinary text.
+
     This tokenizer cuts texts into words, numbers and marks, none of them with a blank, before it
     merges, so a text's ids are those of its runs between blanks in order. Where plain characters
     make the cut certain, each different run is merged by the library's model once; other texts go
     to the library whole.
     """
-    words = _known.get(path)
+    words = _known.get((path, specials_as_text))
     if words is None:
-        words = _known[path] = WordIds(path)
+        words = _known[path, specials_as_text] = WordIds(path, specials_as_text)
     if not text:
         return b""
-    if not _PLAIN.fullmatch(text):
+    if not _PLAIN.fullmatch(text) or any(a in text for a in words.added):
         return words.whole(text)
     if len(words) > MAX_WORDS:
         words.clear()

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import kept
+from vantage.llm.common import kept, sampled
 
 # Words for "you" and "your" in some languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer usted ustedes ti tus su vosotros".split())
@@ -159,17 +159,15 @@ def learn_lexicons(labelled: DataFrame, least: int = 4, odds: float = 8.0, max_t
 def fit(labelled: DataFrame, max_docs: int = 24_000, key: str = "doc_id", max_terms: int = 50_000, max_lexicon: int = 5_000) -> Model | None:
     """``labelled``: key, text, toxic (0 or 1; others are left out). None if a label has no rows.
 
-    About ``max_docs`` labelled rows at most are learned from, chosen by a hash of the key (equal
-    keys together), so the fit costs the same for any corpus; so do the bounds of
+    About ``max_docs`` labelled rows at most are learned from, chosen by a hash of key, text
+    and label (equal rows once), so the fit costs the same for any corpus; so do the bounds of
     ``learn_lexicons``. Null texts are empty ones. Trees see three quarters, the calibration the
     rest. The trees' texts are described by a lexicon of the other two quarters, the calibration's
     by that of all three, so each lexicon is new to the texts it describes. Calibration texts of
     one raw score come to one task, at most a quarter of ``max_docs``.
     """
     rows = labelled.where(F.col("toxic").isin(0, 1)).select(key, F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+    rows = sampled(rows, max_docs, rows.count(), key, "text", "toxic")
     rows = kept(rows.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(PARTS)).cast("int")))
     lexicons = learn_lexicons(rows.where("part > 0"), max_terms=max_terms, max_lexicon=max_lexicon)
     lexicons = {p: lexicons.get(p, lexicons.get(0, {})) for p in range(PARTS)}
