@@ -202,6 +202,13 @@ def test_clashes_and_nothing(spark, tables, kind):
             assert Counter(map(repr, rows)) == Counter(map(repr, run(full).collect()))
 
 
+@given(st.text("aB'sllTÀéß 12.,!\n\t\r", max_size=50) | st.text(max_size=20))
+@settings(deadline=None, max_examples=300)
+def test_words_of_a_are_the_librarys(text):
+    pair = alignment._pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert pair.encode_a(text).tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_decode_of_null_and_unknown(spark):
     rows = spark.createDataFrame([([0, 60_000, 1],), (None,), ([],)], "ids array<int>").select(bpe.decode(F.col("ids")).alias("b")).collect()
     assert [r.b if r.b is None else bytes(r.b) for r in rows] == [b"!\"", None, b""]

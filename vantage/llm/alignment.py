@@ -14,6 +14,8 @@ back to the blocks as one list each, and prefix sums over a block's links give i
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -26,7 +28,7 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from vantage.llm.common import shared_dir, slices, text_bytes
 
@@ -34,6 +36,11 @@ from vantage.llm.common import shared_dir, slices, text_bytes
 BLOCK_BYTES = 2 << 20
 #: Texts given to a tokenizer at once, in bytes, because its answers are large.
 CALL_BYTES = 1 << 18
+#: Texts of these characters are cut into A's words alike by any version of Unicode.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+#: Words of A that a worker remembers.
+MAX_WORDS = 200_000
 #: Bits of a B id in a pair.
 SHIFT = 32
 #: The character that B writes for a space.
@@ -46,6 +53,7 @@ _LONGS = pa.list_(pa.int64())
 _ARROW = pa.schema(
     [("block", pa.int64())] + [(name, _LONGS) for name in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.list_(pa.string())), ("pairs", _LONGS), ("pair_docs", _LONGS), ("links", pa.binary())]
 )
+_BLOCK = ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "counts", "bests")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 _RESULT = pa.schema([(name, pa.int64()) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups", pa.string())])
 
@@ -72,13 +80,31 @@ class Pieces:
         return self.data[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class WordIds(dict):
+    """The ids of A's words, which A cuts before it merges, by the library's model; little-endian 32-bit."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.merge = tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x100))}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        ids = self[word] = np.array([t.id for t in self.merge(word.translate(self.alphabet))], "<i4").tobytes()
+        return ids
+
+
 class Pair:
     """The two tokenizers in a worker."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.words = WordIds(self.a)
         alphabet = byte_alphabet()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocabulary.values()) + 1)
@@ -88,9 +114,14 @@ class Pair:
         b = self.b
         self.of_b = Pieces([bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(b.get_piece_size())])
 
+    def encode_a(self, text: str) -> np.ndarray:
+        """A's ids of a space and the text; a plain text's are those of its words in order."""
+        if _PLAIN.fullmatch(text):
+            return np.frombuffer(b"".join(map(self.words.__getitem__, _WORDS.findall(" " + text))), "<i4").astype(np.int64)
+        return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        return [self.encode_a(t) for t in texts], [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
 
 
 @lru_cache(2)
@@ -184,19 +215,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, digest:
             block += 1
 
 
-def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            doc_ids, n_a, n_b, n_groups, n_links, groups, packed, counts, best = (batch.column(i)[row] for i in range(9))
-            per_doc = n_links.values.to_numpy()
-            bounds = np.concatenate([[0], np.cumsum(per_doc)])
-            links = np.frombuffer(pa.decompress(packed.as_py(), int(bounds[-1]) * 4, codec="zstd", asbytes=True), "<i4") if bounds[-1] else np.zeros(0, np.int32)
-            sums = []
-            for values in (best, counts):
-                values = np.array([] if values.as_py() is None else values.values.to_numpy(zero_copy_only=False), np.int64)
-                sums.append(np.diff(np.concatenate([[0], np.cumsum(values[links])])[bounds]))
-            columns = [doc_ids.values, n_a.values, n_b.values, n_groups.values, n_links.values, *map(pa.array, sums), groups.values]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
+def _result(table: pa.Table) -> pa.Table:
+    """The rows of one block's documents."""
+    doc_ids, n_a, n_b, n_groups, n_links, groups, packed, counts, best = (table.column(name)[0] for name in _BLOCK)
+    bounds = np.concatenate([[0], np.cumsum(n_links.values.to_numpy())])
+    links = np.frombuffer(pa.decompress(packed.as_py(), int(bounds[-1]) * 4, codec="zstd", asbytes=True), "<i4") if bounds[-1] else np.zeros(0, np.int32)
+    sums = []
+    for values in (best, counts):
+        values = values.values.to_numpy(zero_copy_only=False).astype(np.int64) if values.is_valid else np.zeros(0, np.int64)
+        sums.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(values[links])])[bounds])))
+    columns = [doc_ids.values, n_a.values, n_b.values, n_groups.values, n_links.values, *sums, groups.values]
+    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, digest: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,5 +255,6 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     answers = (
         held.select("block", "at", "pair").join(counts, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("found"))
     ).select("block", F.col("found.count").alias("counts"), F.col("found.best").alias("bests"))
-    whole = blocks.select("block", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups", "links").join(answers, "block", "left")
-    return whole.select("doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "counts", "bests").mapInArrow(_results, RESULT)
+    whole = blocks.drop("pairs", "pair_docs").join(answers, "block", "left")
+    # the join has sorted by block: a task takes one after the other
+    return whole.groupBy("block").applyInArrow(_result, RESULT)
