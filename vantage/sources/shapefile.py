@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from vantage.functions import projection
+from vantage.sources.files import opened
 
 # Bytes of a file's and a record's head, the kind of plain polygons, and the city's box in degrees.
 FILE_HEAD, RECORD_HEAD, POLYGON, CITY_BOX = 100, 8, 5, (-74.4, 40.3, -73.5, 41.1)
@@ -31,13 +32,9 @@ _TESTS = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessTha
 _BOX = ("west", "south", "east", "north")
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _files(path: str) -> list[str]:
     """The .shp files of a folder, or the file itself."""
-    system, place = _opened(path)
+    system, place = opened(path)
     if system.get_file_info(place).type != fs.FileType.Directory:
         return [path]
     names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(place)) if f.base_name.lower().endswith(".shp"))
@@ -86,7 +83,7 @@ class ShapefileReader(DataSourceReader):
     def partitions(self) -> list[Records]:
         out = []
         for path in _files(self.path):
-            system, place = _opened(_index_of(path))
+            system, place = opened(_index_of(path))
             count = (system.get_file_info(place).size - FILE_HEAD) // 8
             out += [Records(path, first, min(self.size, count - first)) for first in range(0, count, self.size)]
         return out
@@ -94,11 +91,11 @@ class ShapefileReader(DataSourceReader):
     def read(self, part: Records | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # Spark asks once where there is no partition
             return
-        system, place = _opened(_index_of(part.path))
+        system, place = opened(_index_of(part.path))
         with system.open_input_file(place) as index:
             index.seek(FILE_HEAD + 8 * part.first)
             offsets, lengths = np.frombuffer(index.read(8 * part.count), ">i4").reshape(-1, 2).T.astype(np.int64) * 2
-        system, place = _opened(part.path)
+        system, place = opened(part.path)
         rows: list[tuple] = []
         with system.open_input_file(place) as file:
             for number, (offset, length) in enumerate(zip(offsets.tolist(), lengths.tolist()), part.first + 1):
