@@ -76,19 +76,21 @@ def fill_vegetation(cells: DataFrame) -> DataFrame:
     return joined.select("e", "n", F.when(F.col("green"), VEGETATION).otherwise(F.col("class")).cast("int").alias("class"))
 
 
-def replace_outliers(cells: DataFrame, limit: float = 180.0) -> DataFrame:
-    """bin, e, n, h_in of masked roof cells: a height further than ``limit`` inches from its neighbours' mean becomes the mean, rounded.
+def replace_outliers(cells: DataFrame, limit: float = 180.0, *keep: str) -> DataFrame:
+    """bin, e, n, h_in of roof cells, with ``keep``: a height further than ``limit`` inches from its neighbours' mean becomes the mean, rounded.
 
-    Each cell is spread over its row's three places and added up there, and these sums over three
-    along each column: three rows a cell instead of eight, and no join.
+    Where there is a column mask, only cells with it are changed and are neighbours. Each cell is
+    spread over its row's three places and added up there, and these sums over three along each
+    column: three rows a cell instead of eight, and no join.
     """
-    across = cells.select("bin", "e", "n", "h_in", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d")).withColumn("at", F.col("e") + F.col("d"))
-    own = F.max(F.when(F.col("at") == F.col("e"), F.col("h_in"))).alias("h_in")
-    rows = across.groupBy("bin", F.col("at"), "n").agg(F.sum("h_in").alias("s"), F.count(F.lit(1)).alias("c"), own).withColumnRenamed("at", "e")
+    masked = F.col("mask") if "mask" in keep else F.lit(True)
+    across = cells.select("bin", "e", "n", "h_in", *keep, F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d")).withColumn("at", F.col("e") + F.col("d"))
+    own = [F.max(F.when(F.col("at") == F.col("e"), F.col(c))).alias(c) for c in ("h_in", *keep)]
+    rows = across.groupBy("bin", F.col("at"), "n").agg(F.sum(F.when(masked, F.col("h_in"))).alias("s"), F.count_if(masked).alias("c"), *own).withColumnRenamed("at", "e")
     column = Window.partitionBy("bin", "e").orderBy("n").rangeBetween(-1, 1)
     nine = rows.withColumns({"s": F.sum("s").over(column), "c": F.sum("c").over(column)}).where("h_in IS NOT NULL")
     mean = (F.col("s") - F.col("h_in")) / F.nullif(F.col("c") - 1, F.lit(0))
-    return nine.select("bin", "e", "n", F.when(F.abs(F.col("h_in") - mean) > limit, F.round(mean).cast("int")).otherwise(F.col("h_in")).alias("h_in"))
+    return nine.select("bin", "e", "n", F.when(masked & (F.abs(F.col("h_in") - mean) > limit), F.round(mean).cast("int")).otherwise(F.col("h_in")).alias("h_in"), *keep)
 
 
 def rasterize(polygons: DataFrame, *keep: str) -> DataFrame:
@@ -106,10 +108,11 @@ def rasterize(polygons: DataFrame, *keep: str) -> DataFrame:
     return cells.select(*keep, F.col("e").cast("int").alias("e"), F.col("n").cast("int").alias("n"))
 
 
-def near_edges(polygons: DataFrame, feet: float, *keep: str, touching: bool = True) -> DataFrame:
+def near_edges(polygons: DataFrame, feet: float, *keep: str, touching: bool = True, once: bool = True) -> DataFrame:
     """e, n of cells whose centre is at most ``feet`` (not ``touching``: less) from an edge of a polygon (column rings), with ``keep``.
 
     Edges are cut into pieces of 64 feet, so a piece looks at few cells and no ring travels with them.
+    Without ``once`` a cell comes for each piece that it is near, for callers that group by cell.
     """
     c = F.col
     cut = polygons.select(*keep, F.explode(geometry.edges(F.col("rings"))).alias("s")).select(*keep, "s.*")
@@ -122,7 +125,8 @@ def near_edges(polygons: DataFrame, feet: float, *keep: str, touching: bool = Tr
     dx, dy, px, py = c("x2") - c("x1"), c("y2") - c("y1"), c("e") + 0.5 - c("x1"), c("n") + 0.5 - c("y1")
     along = F.least(F.greatest(F.coalesce((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     far = (px - along * dx) * (px - along * dx) + (py - along * dy) * (py - along * dy)
-    return tried.where(far <= feet * feet if touching else far < feet * feet).select(*keep, c("e").cast("int").alias("e"), c("n").cast("int").alias("n")).distinct()
+    found = tried.where(far <= feet * feet if touching else far < feet * feet).select(*keep, c("e").cast("int").alias("e"), c("n").cast("int").alias("n"))
+    return found.distinct() if once else found
 
 
 def class_grid(grid: DataFrame, buildings: DataFrame, structures: DataFrame, hydro: DataFrame, land: DataFrame, buffer: float = 5.0, water_first: bool = True, tolerance: float = 5.0) -> DataFrame:
@@ -134,7 +138,7 @@ def class_grid(grid: DataFrame, buildings: DataFrame, structures: DataFrame, hyd
     """
     inside = {1: buildings, 2: land, 4: hydro}
     marks = [rasterize(shape.select("rings")).withColumn("bit", F.lit(bit)) for bit, shape in inside.items()]
-    marks += [near_edges(shape.select("rings"), buffer).withColumn("bit", F.lit(8)) for shape in (buildings, structures, hydro)]
+    marks += [near_edges(shape.select("rings"), buffer, once=False).withColumn("bit", F.lit(8)) for shape in (buildings, structures, hydro)]
     marks.append(rasterize(structures.select("rings")).withColumn("bit", F.lit(8)))
     rows = [m.select("e", "n", F.lit(None).cast("double").alias("height"), F.lit(None).cast("double").alias("veg"), "bit") for m in marks]
     rows.append(grid.select("e", "n", F.col("height").cast("double").alias("height"), F.col("veg").cast("double").alias("veg"), F.lit(16).alias("bit")))

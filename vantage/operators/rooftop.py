@@ -25,13 +25,11 @@ def heightmap(polygons: DataFrame, elevation: DataFrame, buffer: float = 0.5, li
     cells = box.withColumn("e", over("west", "east")).withColumn("n", over("south", "north")).select("bin", "e", "n", F.lit(False).alias("mask"), F.col("west").alias("sw_e"), F.col("south").alias("sw_n"))
     corner = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"))))
     moved = polygons.select("bin", corner.alias("rings"))  # a cell's corner is where its middle was
-    inside = rasterize(moved, "bin").unionByName(near_edges(moved, buffer, "bin", touching=False))
+    inside = rasterize(moved, "bin").unionByName(near_edges(moved, buffer, "bin", touching=False, once=False))
     marks = inside.select("bin", "e", "n", F.lit(True).alias("mask"), F.lit(None).cast("int").alias("sw_e"), F.lit(None).cast("int").alias("sw_n"))
     held = cells.unionByName(marks).groupBy("bin", "e", "n").agg(F.bool_or("mask").alias("mask"), F.max("sw_e").alias("sw_e"), F.max("sw_n").alias("sw_n")).where("sw_e IS NOT NULL")
     tall = held.join(elevation.select("e", "n", F.col("h_in").alias("_h")), ["e", "n"], "left").withColumn("h_in", F.when(F.col("mask"), F.coalesce("_h", F.lit(0))).otherwise(0).cast("int")).drop("_h")
-    smooth = replace_outliers(tall.where("mask"), limit).join(polygons.select("bin", F.floor(geometry.bounds(F.col("rings"))["west"]).cast("int").alias("sw_e"), F.floor(geometry.bounds(F.col("rings"))["south"]).cast("int").alias("sw_n")), "bin")
-    columns = ["bin", "e", "n", "h_in", "mask", "sw_e", "sw_n"]
-    return smooth.withColumn("mask", F.lit(True)).select(*columns).unionByName(tall.where("NOT mask").select(*columns))
+    return replace_outliers(tall, limit, "mask", "sw_e", "sw_n").select("bin", "e", "n", "h_in", "mask", "sw_e", "sw_n")
 
 
 def grid_samples(cells: DataFrame, spacing: int) -> DataFrame:

@@ -577,7 +577,9 @@ def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 box AS (SELECT bin, (e + i)::INT AS ce, (n + j)::INT AS cn, x, y, w, h FROM (SELECT *, unnest(range(w + 1)) AS i FROM moved), LATERAL (SELECT unnest(range(h + 1)) AS j)),
 masked AS (SELECT bin, ce AS e, cn AS n, pow(greatest(x - ce, ce - x - w, 0), 2) + pow(greatest(y - cn, cn - y - h, 0), 2) < 0.25 AS mask FROM box),
 tall AS (SELECT m.bin, m.e, m.n, m.mask, CASE WHEN m.mask THEN coalesce(t.h_in, 0) ELSE 0 END::INT AS h_in FROM masked m LEFT JOIN terrain t USING (e, n)),
-near AS (SELECT a.bin, a.e, a.n, avg(b.h_in) AS mean FROM tall a JOIN tall b ON a.bin = b.bin AND abs(a.e - b.e) <= 1 AND abs(a.n - b.n) <= 1 AND (a.e <> b.e OR a.n <> b.n) WHERE a.mask AND b.mask GROUP BY ALL)
+masks AS (SELECT * FROM tall WHERE mask),
+moves AS (SELECT i, j FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE i <> 0 OR j <> 0),
+near AS (SELECT bin, e + i AS e, n + j AS n, avg(h_in) AS mean FROM masks, moves GROUP BY ALL)
 SELECT t.bin, t.e, t.n, t.mask, CASE WHEN t.mask AND abs(t.h_in - mean) > 180 THEN round(mean)::INT ELSE t.h_in END AS h_in FROM tall t LEFT JOIN near USING (bin, e, n)""",
     )
 )
