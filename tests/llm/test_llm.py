@@ -375,6 +375,17 @@ def test_neighbours_reach_the_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_whole_search_and_the_exit_by_figures(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    table = {r.vec_id: np.array(r.embedding) for r in rows.select("vec_id", "embedding").collect()}
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, exact=True).collect()}
+    for q in (i for i in table if i % 20 == 0):
+        best = sorted((i for i in table if i != q), key=lambda i: (-float(table[q] @ table[i]), i))[:20]
+        assert [got[q, n + 1] for n in range(20)] == best
+    with pytest.raises(ValueError, match="comparisons"):
+        ann.nearest(rows, F.col("vec_id") % 20 == 0, max_pairs=10)
+
+
 def test_tasks_of_neighbours_are_bounded_on_both_sides(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     whole = sorted(map(tuple, ann.nearest(rows, F.col("vec_id") % 2 == 0).collect()))

@@ -4,8 +4,8 @@ Vectors are projected to a few dimensions, several times, shifted, and ordered a
 curve each time. Spark ranges the vectors by their place on each curve; a query looks at the
 places around its own on all curves, and the best of all windows are merged. The window is as wide
 as a sample of queries with known neighbours needs. On vectors without structure, whose neighbours
-lie together in no direction, the windows of all curves would hold more than the table; then one
-curve is searched whole, which is exact and compares less.
+lie together in no direction, windows are wide; where they would ask for more than a stated number of
+comparisons the search says so instead of starting. One curve can be searched whole, if that is asked for.
 """
 
 from __future__ import annotations
@@ -99,14 +99,16 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return rows.where(F.size(v) == (sizes.n if sizes else 0))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4, recall: float = 0.95, exact: bool = False, max_pairs: int = 10**14, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best by inner product, ties to the smaller id.
 
     An id is one vector: of rows with one id the smallest usable vector (as arrays are ordered)
     counts, and it asks if any of them does. Rows with a null id, or with a vector that is not
     usable (see there), neither ask nor answer. Equal vectors of several ids are searched once: each
-    stands for its k + 1 smallest ids. ``recall`` is what the sample of queries must reach. Other
-    columns are not read. An empty or unusable table gives no rows.
+    stands for its k + 1 smallest ids. ``recall`` is what the sample of queries must reach;
+    ``exact``: one curve is searched whole in blocks, so every query meets every vector. More than
+    ``max_pairs`` comparisons raise an error with the figures before any is made. Other columns are
+    not read. An empty or unusable table gives no rows.
     """
     rows = usable(vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).alias("v")).where("id IS NOT NULL"), "v")
     rows = kept(rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")))
@@ -117,10 +119,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 4,
     asked = kept(rows.where("asks").select(F.col("id").alias("query_id"), "v").join(points.select("v", "vid"), "v").select("query_id", "vid"))
     total = points.count()
     asking = asked.select("vid").distinct()
+    curves = 1 if exact else curves
     places = _places(points.join(asking.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), curves)
-    window = _window(points, places, asking, k, curves, recall, total)
-    if 2 * window * curves >= total:
-        window, places = total, places.where("curve = 0")
+    window = total if exact else _window(points, places, asking, k, curves, recall, total)
+    pairs = asking.count() * min(2 * window, total) * curves
+    if pairs > max_pairs:
+        raise ValueError(f"windows of {2 * window} of {total} vectors on {curves} curves need {pairs} comparisons, more than {max_pairs}")
     reach, held = _tasks(places, window, total)
 
     def search(table: pa.Table) -> pa.Table:
