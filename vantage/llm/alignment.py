@@ -33,14 +33,14 @@ from tokenizers import Tokenizer, pre_tokenizers
 from vantage.llm.common import shared_dir, slices, text_bytes
 
 #: Bytes of text laid end to end, about; a longer document stands alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Texts given to a tokenizer at once, in bytes, because its answers are large.
 CALL_BYTES = 1 << 18
 #: Texts of these characters are cut into A's words alike by any version of Unicode.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 #: Words of A that a worker remembers.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 #: Bits of a B id in a pair.
 SHIFT = 32
 #: The character that B writes for a space.
