@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.operators import city, lidar, raster, terrain, zone
-from vantage.sources import shapefile
+from vantage.sources import las, shapefile
 
 # LiDAR
 
@@ -232,3 +232,45 @@ def test_city_from_an_outline(spark, stored):
     outline = spark.createDataFrame([([[(1000000.0, 235000.0), (1002000.0, 235000.0), (1002000.0, 237000.0), (1000000.0, 237000.0), (1000000.0, 235000.0)]],)], "rings array<array<struct<x:double,y:double>>>")
     got = {r.link_id: r.result for r in city.statuses(links(spark), stored, terrain.city_tiles(outline)).collect()}
     assert got[3] == city.OUTSIDE and got[1] != city.OUTSIDE
+
+
+# LAS
+
+
+def write_las(path, points, minor=2, kind=0):
+    """Points x, y, z (hundredths of a foot from the offset) and class."""
+    size, place = (30, 16) if kind >= 6 else (20, 15)
+    head = bytearray(375 if minor >= 4 else 227)
+    head[:4], head[25], head[104] = b"LASF", minor, kind
+    struct.pack_into("<I", head, 96, len(head))
+    struct.pack_into("<H", head, 105, size)
+    struct.pack_into("<Q" if kind >= 6 else "<I", head, 247 if kind >= 6 else 107, len(points))
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 1000000.0, 240000.0, 0.0)
+    body = b""
+    for x, y, z, c in points:
+        row = bytearray(size)
+        struct.pack_into("<3i", row, 0, x, y, z)
+        row[place] = c
+        body += bytes(row)
+    path.write_bytes(bytes(head) + body)
+
+
+@pytest.mark.parametrize(("minor", "kind"), [(2, 0), (4, 6)])
+def test_a_file_is_read_in_several_tasks(spark, tmp_path, minor, kind):
+    points = [(i * 150, i * 70, i, i % 9) for i in range(25)]
+    write_las(tmp_path / "240.las", points, minor, kind)
+    write_las(tmp_path / "2240.las", [], minor, kind)
+    df = las.read_las(spark, str(tmp_path), points=10)
+    assert df.rdd.getNumPartitions() == 3
+    got = {(round(r.x, 2), round(r.y, 2), round(r.z, 2), r["class"], r.file) for r in df.collect()}
+    assert got == {(round(1000000 + x / 100, 2), round(240000 + y / 100, 2), z / 100, c, "240") for x, y, z, c in points}
+    with pytest.raises(ValueError):
+        las.read_head(str(tmp_path / "none.las") if (tmp_path / "none.las").write_bytes(b"x" * 400) else "")
+
+
+def test_points_beside_their_tile_do_not_count(spark):
+    rows = [(1000000.0, 240000.0, "240"), (1002499.9, 242499.9, "240"), (1002500.0, 240000.0, "240"), (999999.9, 240000.0, "240"), (1000000.0, 239999.0, "240")]
+    got = raster.within_file(spark.createDataFrame(rows, "x double, y double, file string")).collect()
+    assert [(r.x, r.y) for r in got] == [(1000000.0, 240000.0), (1002499.9, 242499.9)]
+    with pytest.raises(Exception, match="not named after a tile"):
+        raster.within_file(spark.createDataFrame([(1.0, 1.0, "x")], "x double, y double, file string")).collect()

@@ -35,6 +35,14 @@ def height_grid(points: DataFrame) -> DataFrame:
     )
 
 
+def within_file(points: DataFrame, side: int = 2500) -> DataFrame:
+    """Points (x, y, file) inside the tile of ``side`` feet that their file is named after; a file of another name is an error."""
+    corner = tiles.parse_las_name(F.col("file"))
+    inside = [F.floor(F.col(axis)).between(low, low + side - 1) for axis, low in (("x", tiles.component_feet(corner["e"])), ("y", tiles.component_feet(corner["n"])))]
+    named = F.when(corner.isNull(), F.raise_error(F.concat(F.lit("not named after a tile: "), F.coalesce("file", F.lit("null")))).cast("boolean"))
+    return points.where(named.otherwise(inside[0] & inside[1]))
+
+
 def kept_tiles(cells: DataFrame) -> DataFrame:
     """ke, kn of tiles (500-foot indexes) with a height or a class other than water; absent cells have neither."""
     keys = (tiles.tile_key(F.col("e")).alias("ke"), tiles.tile_key(F.col("n")).alias("kn"))
