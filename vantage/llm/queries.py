@@ -138,6 +138,18 @@ _RULES = ", ".join(f"('{action}', '{host}', '{path}')" for action, host, path in
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+windows AS (
+  SELECT doc_id, i, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS s FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows WHERE n = 13 GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE n = 13 AND doc_id > first),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, range(13) t(k)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+""",
         "op9_url_filter": rf"""
 WITH rules(action, rule_host, rule_path) AS (VALUES {_RULES}),
 rest AS (
