@@ -102,3 +102,16 @@ def test_roof_outliers_are_dealt_out_once(spark, monkeypatch):
         mean = sum(near) / len(near) if near else h
         assert got[b, e, n] == (int(mean + 0.5) if abs(h - mean) > 180 else h)
     assert len(got) == len(height)
+
+
+def test_fingerprints_give_candidates_of_near_copies(spark, monkeypatch):
+    from vantage.llm import simhash
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # the sketch finds nothing here: copies are found by their fingerprints, and verified
+    monkeypatch.setattr(simhash, "sketch", lambda hashes, least: (hashes[:0], np.zeros(simhash.SKETCH_WORDS, np.uint64)))
+    near = np.bitwise_count(np.bitwise_xor(*simhash.simhashes([simhash.shingles(t, 3) for t in texts[:2]], 42)))
+    assert near <= 2
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 2]

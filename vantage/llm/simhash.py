@@ -89,7 +89,7 @@ def sketch(hashes: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """key, twin, shingle_key (a hash of the set of shingles), n_shingles, cells and fp0, fp1, .. (see ``sketch``) of every row (key, twin, text)."""
+    """key, twin, shingle_key (a hash of the set of shingles), n_shingles, cells, print (the SimHash of its three-word shingles) and fp0, fp1, .. (see ``sketch``) of every row (key, twin, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +104,14 @@ def sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([c.tobytes() for c, _ in found], pa.binary()),
+                    pa.array(simhashes([shingles(t, 3) for t in part.column(2).to_pylist()], 42).view(np.int64)),
                     *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(SKETCH_WORDS)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     prints = [f"fp{i}" for i in range(SKETCH_WORDS)]
-    names = ["key", "twin", "shingle_key", "n_shingles", "cells", *prints]
-    schema = "key long, twin long, shingle_key binary, n_shingles long, cells binary, " + ", ".join(f"{c} long" for c in prints)
+    names = ["key", "twin", "shingle_key", "n_shingles", "cells", "print", *prints]
+    schema = "key long, twin long, shingle_key binary, n_shingles long, cells binary, print long, " + ", ".join(f"{c} long" for c in prints)
     return docs.select("key", "twin", "text").mapInArrow(of, schema)
 
 
@@ -362,12 +363,19 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) ->
     return placed.join(sets, "node").groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that join nodes (node, print) whose fingerprints are at most two bits apart."""
+    distinct = kept(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    equal = nodes.select("node", "print").join(distinct, "print").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return equal.unionByName(grid_links(distinct.select(F.col("least").alias("node"), F.col("print").alias("fp0")), 2))
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less near copies: of each group the one with the smallest id stays.
 
     Texts are near copies if their sets of five-word shingles have a Jaccard similarity of
-    ``least`` or more, and so are those linked through others. Candidates share one of the smallest
-    hashes of their sets: as many as make it certain, or leave a chance of 1e-14 to miss (see
+    ``least`` or more, and so are those linked through others. Candidates have SimHash fingerprints
+    at most two bits apart, as ``near_duplicates`` links them, or share one of the smallest hashes of their sets: as many as make it certain, or leave a chance of 1e-14 to miss (see
     ``sketch``). Of the parities of their SKETCH smallest hashes SKETCH_RADIUS may differ: nothing
     is missed by that among sets of up to SKETCH shingles; for larger ones at a similarity of 0.8
     the bound lies 6 standard deviations above the mean. Candidates are verified on the whole sets.
@@ -380,10 +388,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, ke
     rows = docs.select(F.struct(*docs.columns).alias("row"), keyed[0].alias("key"), keyed[1].alias("twin"))
     texts = docs.select(keyed[0].alias("key"), keyed[1].alias("twin"), F.col(text).alias("text"))
     prints = kept(sketches(texts, words, least))
-    sketched = [c for c in prints.columns if c not in ("key", "twin", "shingle_key")]
-    nodes = prints.groupBy("shingle_key").agg(F.min(F.struct("key", "twin")).alias("best"), *(F.first(c).alias(c) for c in sketched))
+    sketched = [c for c in prints.columns if c not in ("key", "twin", "shingle_key", "print")]
+    nodes = prints.groupBy("shingle_key").agg(F.min(F.struct("key", "twin")).alias("best"), F.min("print").alias("print"), *(F.first(c).alias(c) for c in sketched))
     nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(grid_links(nodes, SKETCH_RADIUS))
+    alike = grid_links(nodes.drop("print"), SKETCH_RADIUS).unionByName(_fingerprint_links(nodes))
+    roots = connected_components(alike)
     members = kept(roots.join(nodes.select("node", "best.key", "best.twin"), "node"))
     verified = connected_components(_verified(texts, members, words, least))
     named = nodes.join(verified, "node", "left").select("shingle_key", "best", F.coalesce("root", "node").alias("root"))
