@@ -115,3 +115,26 @@ def test_fingerprints_give_candidates_of_near_copies(spark, monkeypatch):
     near = np.bitwise_count(np.bitwise_xor(*simhash.simhashes([simhash.shingles(t, 3) for t in texts[:2]], 42)))
     assert near <= 2
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 2]
+
+
+def test_texts_stay_where_they_lie_while_the_sample_is_chosen(spark, monkeypatch):
+    from vantage.llm import toxicity
+
+    k = spark.range(3_000)
+    docs = k.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("text "), F.col("id") % 50)).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 900"))
+    labels = k.where("id % 3 > 0").select(F.col("id").alias("doc_id"), (F.col("id") % 4 - 1).alias("toxic"))
+    labels = labels.unionByName(labels.where("doc_id < 300").withColumn("toxic", F.lit(1).cast("long")))
+    fitted = []
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *_: fitted.append(rows))
+    for limit in (400, 100_000):
+        toxicity.fit(docs.join(labels, "doc_id"), limit)
+        toxicity.fit_joined(docs, labels, limit)
+        want, got = (sorted(map(tuple, rows.collect())) for rows in fitted[-2:])
+        assert got == want and len(want) > 200
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *_: plan(rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in toxicity.fit_joined(docs, labels, 400)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

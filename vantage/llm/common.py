@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -126,6 +126,16 @@ def slices(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def sample_hash(*columns: Column | str) -> Column:
+    """62 bits of a hash of the columns, which say whether a row is in a sample."""
+    return F.xxhash64(*columns, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def sample_limit(limit: int, total: int) -> Column:
+    """What the hash of a row is below if about ``limit`` of ``total`` rows are chosen."""
+    return F.lit((1 << 62) * limit // total)
+
+
 def sampled(rows: DataFrame, limit: int, total: int, *columns: str) -> DataFrame:
     """All of ``total`` rows, or if they are more than ``limit`` about so many at most, each different one once.
 
@@ -134,8 +144,7 @@ def sampled(rows: DataFrame, limit: int, total: int, *columns: str) -> DataFrame
     """
     if total <= limit:
         return rows
-    hashed = F.xxhash64(*columns, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1))
-    return rows.where(hashed < F.lit((1 << 62) * limit // total)).dropDuplicates(list(columns))
+    return rows.where(sample_hash(*columns) < sample_limit(limit, total)).dropDuplicates(list(columns))
 
 
 def string_size(df: DataFrame, column: str) -> int:

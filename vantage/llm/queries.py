@@ -32,7 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels.where(_fold(4) != 2), "doc_id"))
+    model = toxicity.fit_joined(docs, labels.where(_fold(4) != 2))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

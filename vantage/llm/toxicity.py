@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import kept, sampled
+from vantage.llm.common import kept, sample_hash, sample_limit, sampled
 
 # Words for "you" and "your" in some languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer usted ustedes ti tus su vosotros".split())
@@ -167,7 +167,30 @@ def fit(labelled: DataFrame, max_docs: int = 24_000, key: str = "doc_id", max_te
     one raw score come to one task, at most a quarter of ``max_docs``.
     """
     rows = labelled.where(F.col("toxic").isin(0, 1)).select(key, F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = sampled(rows, max_docs, rows.count(), key, "text", "toxic")
+    return _fit(sampled(rows, max_docs, rows.count(), key, "text", "toxic"), key, max_terms, max_lexicon)
+
+
+def fit_joined(docs: DataFrame, labels: DataFrame, max_docs: int = 24_000, key: str = "doc_id", max_terms: int = 50_000, max_lexicon: int = 5_000) -> Model | None:
+    """``fit`` of the join of ``docs`` (key, text) and ``labels`` (key, toxic), on the same rows.
+
+    Texts stay where they lie: only their keys and hashes meet the labels, and what is
+    chosen, about ``max_docs`` keys, is broadcast back to the texts.
+    """
+    texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    known = labels.where(F.col("toxic").isin(0, 1)).select(key, F.col("toxic").cast("int").alias("toxic"))
+    rows = texts.withColumns({f"_hash{kind}": sample_hash(key, "text", F.lit(kind)) for kind in (0, 1)})
+    met = rows.drop("text").join(known, key).select(key, "toxic", F.when(F.col("toxic") == 1, F.col("_hash1")).otherwise(F.col("_hash0")).alias("_hash"))
+    total = met.count()
+    if total <= max_docs:
+        return _fit(texts.join(known, key), key, max_terms, max_lexicon)
+    chosen = met.where(F.col("_hash") < sample_limit(max_docs, total)).select(F.col(key).alias("_key"), "toxic", "_hash").distinct()
+    same = (F.col(key) == F.col("_key")) & (F.when(F.col("toxic") == 1, F.col("_hash1")).otherwise(F.col("_hash0")) == F.col("_hash"))
+    found = rows.join(F.broadcast(chosen), same).select(key, "text", "toxic")
+    return _fit(found.dropDuplicates([key, "text", "toxic"]), key, max_terms, max_lexicon)
+
+
+def _fit(rows: DataFrame, key: str, max_terms: int, max_lexicon: int) -> Model | None:
+    """The model of these rows (key, text, toxic: 0 or 1)."""
     rows = kept(rows.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(PARTS)).cast("int")))
     lexicons = learn_lexicons(rows.where("part > 0"), max_terms=max_terms, max_lexicon=max_lexicon)
     lexicons = {p: lexicons.get(p, lexicons.get(0, {})) for p in range(PARTS)}
