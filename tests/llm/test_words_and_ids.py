@@ -117,6 +117,19 @@ def test_bpe_is_the_librarys(spark, tables):
         assert Counter(map(tuple, rows)) == want
 
 
+def test_words_of_a_block_merge_together(spark):
+    """All words of a block at once, by arrays in the task: no fold of expressions, node by node, in the plan."""
+    path = bpe.vocabulary_path()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aabcdeé語\U0001f600ßxyz", k=rng.randint(1, 40))) for _ in range(800)] + ["a" * 5_000, "ab" * 3_000, "", "z"]
+    ids, sizes = bpe.Merges(bpe.read_ranks(path), bpe.ROUNDS_FROM).ids([w.encode() for w in words])
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [own._core_bpe.encode_single_piece(w.encode()) if w else [] for w in words]
+    coded = bpe.encode(spark.createDataFrame([(1, "some words")], "doc_id long, text string"))
+    assert "aggregate(" not in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_words_merge_as_short_ones(spark, monkeypatch, tables):
     """Joint merges are right on small vocabularies with ranks in any order, where some have to wait."""
     rng = random.Random(5)

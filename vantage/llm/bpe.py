@@ -1,23 +1,22 @@
-"""Byte-level BPE: merges folded over the bytes of distinct words by Spark's higher-order functions, and decoding by joining pieces.
+"""Byte-level BPE: merges over the bytes of a block's different words at once, and decoding by joining pieces.
 
 Texts are cut into words by the vocabulary's pattern, block by block of whole documents; a block's
-different words are encoded once. A word starts as its bytes' ids. Each step of the fold looks up
-every neighbouring pair in a literal map from pairs to ranks and merges the leftmost pair of the
-lowest rank, until no pair has one. A word that is a token itself has that one id, as the tiktoken
-library has it. Nothing is shuffled or broadcast by key: blocks are cut where rows lie, so a hot
-word or source costs one fold in each block that holds it.
+different words are encoded once. A word starts as its bytes' ids. All words of a block lie end to
+end in one array; each round finds every word's lowest rank of a pair and merges there, until no pair
+has one. A word that is a token itself has that one id, as the tiktoken library has it. Nothing is
+shuffled: blocks are cut where rows lie, so a hot word or source costs one merging in each block that
+holds it.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import unicodedata
-import zlib
 from array import array
-from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
-from itertools import accumulate
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,12 +28,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about; a longer document has a block of its own.
 BLOCK_BYTES = 16 << 20
-#: Buckets of the literal maps.
-PAIR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 14
-#: Spreads pairs over their buckets.
-MIX = 31337
-#: Words of more ids than this merge all pairs of the lowest rank in one step, where that is the same.
-ROUNDS_FROM = 48
+#: Words of more ids than this merge all pairs of the lowest rank in one round, where that is the same.
+ROUNDS_FROM = 2
 #: The rank of a pair that is not merged.
 NONE = 2**31 - 1
 
@@ -85,132 +80,103 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _table(ranks: dict[bytes, int]) -> Column:
-    """A vocabulary's ranks as a struct of literals, hashed into buckets, because Spark searches a map from end to end."""
-    words: list[dict[str, int]] = [{} for _ in range(WORD_BUCKETS)]
-    pairs: list[list[dict[str, int]]] = [[] for _ in range(PAIR_BUCKETS)]
-    for token, rank in ranks.items():
-        words[zlib.crc32(token) % WORD_BUCKETS][token.hex().upper()] = rank
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                pairs[(left * MIX + right) % PAIR_BUCKETS].append({"k": left << 32 | right, "v": rank})
-    of_pair = F.transform(_literal(pairs, "array<array<struct<k: bigint, v: int>>>"), F.map_from_entries)
-    starts = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-    return F.struct(
-        _literal(words, "array<map<string,int>>").alias("words"), of_pair.alias("pairs"), _literal(starts, "array<int>").alias("starts"), _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes")
-    )
-
-
 class Merges:
-    """Expressions over a vocabulary's table, which is a variable bound once, so that its literals stand in the plan once."""
-
-    def __init__(self, table: Column):
-        self.words, self.pairs, self.starts, self.of_byte = (table[name] for name in ("words", "pairs", "starts", "bytes"))
-
-    def whole(self, word: Column) -> Column:
-        """The rank of a word that is a token, else null."""
-        return F.try_element_at(F.get(self.words, F.pmod(F.crc32(word), F.lit(WORD_BUCKETS)).cast("int")), F.hex(word))
-
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of the token that two ids make, NONE if there is none."""
-        bucket = F.get(self.pairs, F.pmod(left * F.lit(MIX) + right, F.lit(PAIR_BUCKETS)))
-        return F.coalesce(F.try_element_at(bucket, left * F.lit(1 << 32) + right), F.lit(NONE))
-
-    def ranks(self, ids: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: self.rank(F.get(ids, i - 1), F.get(ids, i)))
-
-    def leftmost(self, state: Column, low: Column) -> Column:
-        """The state after the first pair of rank ``low`` is merged."""
-        ids, ranks = state["ids"], state["ranks"]
-
-        def merged(at: Column) -> Column:
-            # what follows moves up, and -1 comes in at the end: Spark's slice and concat of arrays are slow
-            up = lambda values, i, end: F.coalesce(F.get(values, i + 1), F.lit(end))
-            new_ids = F.transform(ids, lambda x, i: F.when(i < at, x).when(i == at, low).otherwise(up(ids, i, -1)))
-            sides = lambda r, i: F.when(i < at - 1, r).when(i > at, up(ranks, i, NONE))
-            new_ranks = F.transform(ranks, lambda r, i: sides(r, i).when(i == at, self.rank(low, F.get(ids, at + 2))).otherwise(self.rank(F.get(ids, at - 1), low)))
-            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
-
-        return _let(F.array_position(ranks, low).cast("int") - 1, merged)
-
-    def everywhere(self, state: Column, low: Column) -> Column:
-        """The state after all pairs of rank ``low`` are merged from left to right, if no merge makes a pair
-        of lower rank beside it, which would go before the rest; else as ``leftmost``."""
-        ids = state["ids"]
-        marks = F.array_join(F.transform(state["ranks"], lambda r: F.when(r == low, "1").otherwise("0")), "")
-        taken = F.split(F.regexp_replace(marks, "11", "10"), "")  # of overlapping pairs every other one
-        is_taken = lambda t, i: F.coalesce(F.get(t, i) == "1", F.lit(False))
-
-        def lower(t: Column, i: Column) -> Column:
-            before = F.when(is_taken(t, i - 2), low).otherwise(F.get(ids, i - 1))
-            return is_taken(t, i) & ((self.rank(before, low) < low) | (self.rank(low, F.get(ids, i + 2)) < low))
-
-        def merged(t: Column) -> Column:
-            after = F.transform(ids, lambda x, i: F.when(is_taken(t, i), low).when(is_taken(t, i - 1), None).otherwise(x))
-            after = _let(F.filter(after, lambda x: x.isNotNull()), lambda new: F.struct(new.alias("ids"), self.ranks(new).alias("ranks")))
-            return F.when(F.exists(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: lower(t, i)), self.leftmost(state, low)).otherwise(after)
-
-        return _let(taken, merged)
-
-    def step(self, state: Column) -> Column:
-        merged = lambda low: F.when(F.size(state["ids"]) > ROUNDS_FROM, self.everywhere(state, low)).otherwise(self.leftmost(state, low))
-        return _let(F.array_min(state["ranks"]), lambda low: F.when(low == NONE, state).otherwise(merged(low)))
-
-    def fold(self, units: Column) -> Column:
-        """The ids of a word, given its bytes as numbers. On both sides stands -1, which makes no token with any id."""
-        end, none = F.array(F.lit(-1)), F.array(F.lit(NONE))
-        ids = F.concat(end, F.transform(units, lambda b: F.get(self.of_byte, b)), end)
-        pairs = F.transform(units, lambda b, i: F.coalesce(F.get(self.starts, b * 256 + F.get(units, i + 1)), F.lit(NONE)))  # the last has no right side
-        start = F.struct(ids.alias("ids"), F.concat(none, pairs).alias("ranks"))
-        return F.aggregate(units, start, lambda state, _: self.step(state), lambda state: F.array_remove(state["ids"], -1))
-
-    def ids(self, word: Column, units: Column) -> Column:
-        return _let(self.whole(word), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(self.fold(units)))
-
-
-SCHEMA = "words array<binary>, units array<array<int>>, docs array<struct<doc_id: long, words: array<int>>>"
-_ARROW = pa.schema(
-    [("words", pa.list_(pa.binary())), ("units", pa.list_(pa.list_(pa.int32()))), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])))]
-)
-
-
-def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
-
-
-def _block(doc_ids: list, numbers: list[array], words: dict[str, int]) -> pa.RecordBatch:
-    """One row: the different words of some documents, and for each document the numbers of its words."""
-    coded = [w.encode() for w in words]
-    sizes = list(map(len, coded))
-    units = _lists(pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)), sizes)
-    own = np.concatenate([np.frombuffer(n, np.int32) for n in numbers])
-    docs = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), _lists(pa.array(own), list(map(len, numbers)))], names=["doc_id", "words"])
-    return pa.RecordBatch.from_arrays([_lists(pa.array(coded, pa.binary()), [len(coded)]), _lists(units, [len(units)]), _lists(docs, [len(docs)])], schema=_ARROW)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    cut = splitter(pattern).words
-    doc_ids: list = []
-    numbers: list[array] = []
-    words: dict[str, int] = {}
-    size = 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py() or ""
-            if numbers and size + len(text) > BLOCK_BYTES:
-                yield _block(doc_ids, numbers, words)
-                doc_ids, numbers, words, size = [], [], {}, 0
-            doc_ids.append(doc_id.as_py())
-            numbers.append(array("i", [words.setdefault(w, len(words)) for w in cut(text)]))
-            size += len(text)
-    if numbers:
-        yield _block(doc_ids, numbers, words)
+    """A vocabulary's merges, over arrays of ids in which -1 stands between words and makes no token with any id."""
+
+    def __init__(self, ranks: dict[bytes, int], rounds_from: int):
+        self.ranks, self.rounds_from, self.wide = ranks, rounds_from, max(ranks.values()) + 1
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left * self.wide + right] = rank
+        self.keys = np.array([*sorted(pairs), 2**62], np.int64)
+        self.values = np.array([*(pairs[k] for k in sorted(pairs)), NONE], np.int64)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pieces = {rank: token for token, rank in ranks.items()}
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of the tokens that two ids each make, NONE where there is none."""
+        key = np.where((left < 0) | (right < 0), 0, left * self.wide + right)
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        whole = [self.ranks.get(w) for w in words]
+        rest = [i for i, rank in enumerate(whole) if rank is None and words[i]]
+        known = np.array([i for i, rank in enumerate(whole) if rank is not None], np.int64)
+        found = [(known, np.array([whole[i] for i in known], np.int64)), *self._merged(np.array(rest, np.int64), [words[i] for i in rest])]
+        word, ids = (np.concatenate(parts) for parts in zip(*found))
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _merged(self, numbers: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and ids of words, when no pair of theirs makes a token."""
+        sizes = np.array(list(map(len, words)), np.int64) + 1
+        if not len(sizes):
+            return
+        ids, inside = np.full(sizes.sum(), -1, np.int64), np.ones(sizes.sum(), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        ids[inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        word, ranks = np.repeat(np.arange(len(words)), sizes), np.full(len(ids), NONE, np.int64)
+        ranks[:-1] = self.rank(ids[:-1], ids[1:])
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            lowest = np.minimum.reduceat(ranks, starts)
+            low = np.repeat(lowest, sizes)
+            if (lowest == NONE).any():
+                done = low == NONE
+                own = done & (ids >= 0)
+                yield numbers[word[own]], ids[own]
+                ids, word, ranks, low, sizes = ids[~done], word[~done], ranks[~done], low[~done], sizes[lowest != NONE]
+                if not len(ids):
+                    return
+            taken = np.flatnonzero(ranks == low)
+            place = np.arange(len(taken))
+            run = np.maximum.accumulate(np.where(np.append(True, taken[1:] != taken[:-1] + 1), place, 0))
+            taken = taken[(place - run) % 2 == 0]  # of overlapping pairs every other one
+            new, of = low[taken], word[taken]
+            mark = np.zeros(len(ids), bool)
+            mark[taken] = True
+            before = np.where(mark[taken - 2], new, ids[taken - 1])
+            # a merge may make a pair of lower rank, which goes before the rest: then the first alone, as in short words
+            wait = (self.rank(before, new) < new) | (self.rank(new, ids[taken + 2]) < new)
+            alone = np.zeros(len(words), bool)
+            alone[of[wait]] = True
+            first = np.append(True, of[1:] != of[:-1])
+            keep = first | ~(alone[of] | (np.repeat(sizes, sizes)[taken] - 1 <= self.rounds_from))
+            taken, new = taken[keep], new[keep]
+            ids[taken] = new
+            stays = np.ones(len(ids), bool)
+            stays[taken + 1] = False
+            ids, word, ranks = ids[stays], word[stays], ranks[stays]
+            moved = taken - np.arange(len(taken))
+            for at in (moved, moved - 1):  # before the first there is the end of the last word
+                ranks[at] = self.rank(ids[at], ids[at + 1])
+
+
+_known: dict[str, Merges] = {}
+
+
+def _block(doc_ids: list, numbers: list[array], words: dict[str, int], merges: Merges, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each document, given the numbers of its words."""
+    ids, sizes = merges.ids([w.encode() for w in words])
+    starts, piece = np.cumsum(sizes) - sizes, merges.pieces.__getitem__
+    columns: dict[str, list] = {name: [] for name in schema.names}
+    columns["doc_id"] = doc_ids
+    for own in numbers:
+        at = np.frombuffer(own, np.int32)
+        n = sizes[at]
+        line = ids[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if "ids" in columns:
+            columns["ids"].append(line.astype(np.int32))
+        if "packed" in columns:
+            columns["packed"].append(line.astype("<u4").tobytes())
+        if "decoded" in columns:
+            columns["decoded"].append(b"".join(map(piece, line.tolist())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def _joined(parts: Column) -> Column:
@@ -225,10 +191,6 @@ def _pieces(path: str) -> Column:
     return _literal(tokens, "array<binary>")
 
 
-def _little_endian(path: str) -> Column:
-    return _literal([base64.b64encode(i.to_bytes(4, "little")).decode() for i in range(max(read_ranks(path).values()) + 1)], "array<binary>")
-
-
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, parts: tuple[str, ...] = ("ids",), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id (long) and ``parts``: ids (array of int), packed (binary: the ids as little-endian
     unsigned 32-bit integers), decoded (binary: the bytes that the ids give back).
@@ -236,29 +198,36 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     Null and empty texts have no ids. Repeated rows and keys, null ones too, each give a row of
     their own, in no stated order. A table without rows gives none; other columns are not read.
     Texts are taken whole, and special tokens are no more than their characters. A word of n bytes
-    takes up to n - 1 steps over its ids; one of more than ``ROUNDS_FROM`` ids merges equal pairs together.
+    takes up to n - 1 rounds over its ids; one of more than ``ROUNDS_FROM`` ids merges equal pairs together.
     """
-    path = path or vocabulary_path()
-    blocks = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(partial(_blocks, pattern=pattern), SCHEMA)
-    tables = {"merges": _table(read_ranks(path))}
-    if "packed" in parts:
-        tables["packed"] = _little_endian(path)
-    if "decoded" in parts:
-        tables["decoded"] = _pieces(path)
-
-    def of_word(table: Column, word: Column) -> Column:
-        def each(ids: Column) -> Column:
-            looked_up = lambda p: F.transform(ids, lambda i: F.get(table[p], i))
-            return F.struct(*((ids if p == "ids" else _joined(looked_up(p))).alias(p) for p in parts))
-
-        return _let(Merges(table["merges"]).ids(word["words"], word["units"]), each)
-
-    def of_doc(words: Column, doc: Column) -> Column:
-        own = lambda p: F.transform(doc["words"], lambda i: F.get(words, i)[p])
-        return F.struct(doc["doc_id"].alias("doc_id"), *((F.flatten(own(p)) if p == "ids" else F.array_join(own(p), "").cast("binary")).alias(p) for p in parts))
-
-    encoded = _let(F.struct(*(t.alias(name) for name, t in tables.items())), lambda table: F.transform(F.arrays_zip("words", "units"), partial(of_word, table)))
-    return blocks.select(F.inline(_let(encoded, lambda words: F.transform(F.col("docs"), partial(of_doc, words)))))
+    ranks = read_ranks(path or vocabulary_path())
+    name, rounds_from = hashlib.sha256(repr((sorted(ranks.items()), ROUNDS_FROM)).encode()).hexdigest(), ROUNDS_FROM
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "packed": ("binary", pa.binary()), "decoded": ("binary", pa.binary())}
+    schema = pa.schema([("doc_id", pa.int64()), *((p, kinds[p][1]) for p in parts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _known:
+            _known[name] = Merges(shared.value, rounds_from)
+        cut, merges = splitter(pattern).words, _known[name]
+        doc_ids: list = []
+        numbers: list[array] = []
+        words: dict[str, int] = {}
+        size = 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                if numbers and size + len(text) > BLOCK_BYTES:
+                    yield _block(doc_ids, numbers, words, merges, schema)
+                    doc_ids, numbers, words, size = [], [], {}, 0
+                doc_ids.append(doc_id.as_py())
+                numbers.append(array("i", [words.setdefault(w, len(words)) for w in cut(text)]))
+                size += len(text)
+        if numbers:
+            yield _block(doc_ids, numbers, words, merges, schema)
+
+    rows = docs.select(F.col(key).cast("long"), F.col(text))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{p} {kinds[p][0]}" for p in parts)]))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
