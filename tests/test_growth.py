@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.operators import raster, rooftop, terrain
-from vantage.plans import standins
+from vantage.plans import catalog, standins
 
 
 def plan(df):
@@ -138,3 +138,19 @@ def test_texts_stay_where_they_lie_while_the_sample_is_chosen(spark, monkeypatch
         assert "BroadcastHashJoin" in toxicity.fit_joined(docs, labels, 400)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flattened_cells_stay_where_their_boxes_are(spark, tables):
+    held = plan(catalog.QUERIES["footprint_flattened"](spark, tables))
+    assert "BroadcastHashJoin" not in held and "ENSURE_REQUIREMENTS" not in held and held.count("REPARTITION_BY_NUM") == 2
+
+
+def test_flattened_cells_are_those_inside(spark):
+    ring = lambda *p: [[dict(zip("xy", map(float, q))) for q in (*p, p[0])]]
+    rings = [("a", ring((-3.5, -2), (6, -4.25), (5, 7), (1, 1), (-4, 8))), ("b", ring((2, 2), (5, 2), (5, 5), (2, 5)))]
+    polygons = spark.createDataFrame(rings, "bin string, rings array<array<struct<x:double,y:double>>>")
+    cells = spark.createDataFrame([(b, e, n, 5) for b in "abc" for e in range(-8, 10) for n in range(-8, 12)], "bin string, e int, n int, h_in int")
+    from vantage.functions import geometry
+
+    inside = cells.join(polygons, "bin", "left").select("bin", "e", "n", F.when(geometry.contains(F.col("rings"), F.col("e").cast("double"), F.col("n").cast("double")), 0).otherwise(5).alias("h_in"))
+    assert sorted(map(tuple, terrain.without_footprint(cells, polygons).select("bin", "e", "n", "h_in").collect())) == sorted(map(tuple, inside.collect()))
