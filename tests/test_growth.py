@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.operators import raster, rooftop, terrain
+from vantage.operators import raster, rooftop, terrain, zone
 from vantage.plans import catalog, standins
 
 
@@ -140,6 +140,22 @@ def test_texts_stay_where_they_lie_while_the_sample_is_chosen(spark, monkeypatch
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_zones_meet_squares_of_terrain_and_shuffle_no_cells(spark):
+    rng = np.random.default_rng(12)
+    ends = rng.uniform(-400, 400, (30, 2))
+    steps = np.r_[rng.uniform(-300, 300, (26, 2)), [[0, 200], [200, 0], [0, 0], [-150, 0.01]]]
+    rows = [(i, *map(float, (a[0], a[1], 10, a[0] + s[0], a[1] + s[1], 14, 3e9 if i % 2 else 60e9))) for i, (a, s) in enumerate(zip(ends, steps))]
+    links = spark.createDataFrame(rows, "link_id long, ae double, an double, az double, be double, bn double, bz double, hertz double")
+    ground = spark.createDataFrame([(int(e), int(n), int(e * 7 + n * 11) % 260 - 20) for e in range(-700, 700, 2) for n in range(-300, 300) if (e // 90 + n // 70) % 3], "e int, n int, h_in int")
+    both = zone.zone_cells(links, zone.FULL).unionByName(zone.zone_cells(links, zone.INNER))
+    keep = ["link_id", "alpha", "n", "e", "bottom", "top", "west", "terrain", "fraction"]
+    want = sorted(map(tuple, zone.intersect(both, ground).select(*keep).collect()))
+    got = zone.fractions(zone.over_terrain(links, ground, zone.FULL, zone.INNER)).select(*keep)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10_000
+    for query in (zone.statuses(links, ground), zone.tile_overview(links, ground)):
+        assert "pe#" in plan(query) and "Join [e#" not in plan(query)
+
+
 def test_flattened_cells_stay_where_their_boxes_are(spark, tables):
     held = plan(catalog.QUERIES["footprint_flattened"](spark, tables))
     assert "BroadcastHashJoin" not in held and "ENSURE_REQUIREMENTS" not in held and held.count("REPARTITION_BY_NUM") == 2
