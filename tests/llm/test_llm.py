@@ -613,3 +613,19 @@ def test_lexicon_is_of_toxic_words(spark):
     lexicon = lexicons[0]
     assert {"moronic", "fool"} <= set(lexicon) and "today" not in lexicon
     assert packing.HarmonicBins(64, 0).next == 0
+
+
+def test_large_groups_compare_like_sizes_only(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    words = [f"w{i}" for i in range(400)]
+    texts = {100 * size + i: " ".join([*words[:size], f"end{size}x{i}"]) for size in (8, 30, 60, 75, 90, 150, 300) for i in range(8)}
+    rows = spark.createDataFrame([(k, 0, t) for k, t in texts.items()], "key long, twin long, text string")
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in texts.items()}
+    members = spark.createDataFrame([(k, 1, len(sets[k]), k, 0) for k in texts], "node long, root long, n_shingles long, key long, twin long")
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = simhash.joined_table(np.array([a for a, _ in near]), np.array([b for _, b in near])).to_pylist()
+    edges = simhash._verified(rows, members, 5, 0.8).collect()
+    got = simhash.joined_table(np.array([r.a for r in edges]), np.array([r.b for r in edges])).to_pylist()
+    assert got == want and len({r["b"] for r in want}) > 2
+    # without classes each of 56 members would travel once for each of 4 parts
+    assert "class" in simhash._verified(rows, members, 5, 0.8)._jdf.queryExecution().analyzed().toString()

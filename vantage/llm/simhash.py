@@ -327,11 +327,18 @@ GROUP = 1024
 def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) -> DataFrame:
     """Edges (a, b) of nodes of one candidate group whose shingle sets are similar.
 
-    ``rows``: key, twin, text. ``members``: node, root, and the key and twin of its text. Groups of up to GROUP members are compared whole, several in a task;
-    a larger one is cut into parts, and each two parts are compared in a task of their own.
+    ``rows``: key, twin, text. ``members``: node, root, n_shingles, and the key and twin of its text. Groups of up to GROUP members are compared whole, several in a task.
+    Of a larger one only sets of like sizes meet, as no others can be similar: it becomes a group for each class of sizes, and one that is still larger is cut into parts, and each two parts are compared in a task of their own. Texts travel, and sets of hashes, which
+    are larger, are made where they are compared.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    wanted = rows.join(members.select("node", "key", "twin"), ["key", "twin"]).select("node", "text").dropDuplicates(["node"])
     tasks = max(16, members.count() // GROUP)
+    sizes, step = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), float(np.log(1 / least))
+    level = F.log(F.greatest("n_shingles", F.lit(1))) / step
+    classes = F.sequence(F.floor(level - 1e-9), F.floor(level + 1 + 1e-9))  # its own, and that of the largest set it can be similar to
+    classed = members.join(sizes, "root").select("node", "root", "n", F.explode(F.when(F.col("n") > GROUP, classes).otherwise(F.array(F.lit(-1).cast("long")))).alias("class"))
+    members = classed.withColumn("root", F.when(F.col("n") > GROUP, F.xxhash64("root", "class")).otherwise(F.col("root"))).drop("n", "class")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / GROUP)
     placed = (
         members.join(sizes, "root")
@@ -340,18 +347,10 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) ->
         .select("node", "root", F.when(F.col("other") < 0, F.pmod("root", F.lit(tasks))).otherwise(F.col("root")).alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "set"])
-
-    wanted = rows.join(members.select("node", "key", "twin"), ["key", "twin"]).select("node", "text").dropDuplicates(["node"])
-    sets = wanted.mapInArrow(sets_of, "node long, set binary")
-
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("root")
         roots, nodes = table.column("root").to_numpy(), table.column("node").to_numpy()
-        held = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
+        held = [shingle_hashes(t, words) for t in table.column("text").to_pylist()]
         cut = np.flatnonzero(np.r_[True, roots[1:] != roots[:-1], True])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in zip(cut, cut[1:]):
@@ -360,14 +359,19 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, least: float) ->
             b.append(nodes[x + q])
         return joined_table(np.concatenate(a), np.concatenate(b))
 
-    return placed.join(sets, "node").groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
+    met = placed.join(wanted, "node").select("node", "root", "task", "i", "j", "text")
+    return met.groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _fingerprint_links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that join nodes (node, print) whose fingerprints are at most two bits apart."""
     distinct = kept(nodes.groupBy("print").agg(F.min("node").alias("least")))
     equal = nodes.select("node", "print").join(distinct, "print").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return equal.unionByName(grid_links(distinct.select(F.col("least").alias("node"), F.col("print").alias("fp0")), 2))
+    apart = grid_links(distinct.select(F.col("print").alias("node"), F.col("print").alias("fp0")), 2)  # a node that is its print packs well
+    named = apart
+    for end in "ab":
+        named = named.join(distinct.select(F.col("print").alias(end), F.col("least").alias(f"{end}_node")), end)
+    return equal.unionByName(named.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,7 +397,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = SIMILAR, ke
     nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()))
     alike = grid_links(nodes.drop("print"), SKETCH_RADIUS).unionByName(_fingerprint_links(nodes))
     roots = connected_components(alike)
-    members = kept(roots.join(nodes.select("node", "best.key", "best.twin"), "node"))
+    members = kept(roots.join(nodes.select("node", "best.key", "best.twin", "n_shingles"), "node"))
     verified = connected_components(_verified(texts, members, words, least))
     named = nodes.join(verified, "node", "left").select("shingle_key", "best", F.coalesce("root", "node").alias("root"))
     winners = named.groupBy("root").agg(F.min("best").alias("winner"))
