@@ -170,3 +170,15 @@ def test_flattened_cells_are_those_inside(spark):
 
     inside = cells.join(polygons, "bin", "left").select("bin", "e", "n", F.when(geometry.contains(F.col("rings"), F.col("e").cast("double"), F.col("n").cast("double")), 0).otherwise(5).alias("h_in"))
     assert sorted(map(tuple, terrain.without_footprint(cells, polygons).select("bin", "e", "n", "h_in").collect())) == sorted(map(tuple, inside.collect()))
+
+
+def test_masks_are_bits_of_runs(spark):
+    rng = np.random.default_rng(15)
+    shapes = [rng.uniform(-90, 90, (rng.integers(3, 7), 2)).round(int(rng.integers(0, 3))) for _ in range(12)] + [np.array([[0, 0], [40, 0], [40, 70.5], [0, 70.5]]), np.array([[-5.5, 3.5]] * 3)]
+    rings = [(i, [[{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]]) for i, p in enumerate(shapes)]
+    polygons = spark.createDataFrame(rings, "id int, rings array<array<struct<x:double,y:double>>>")
+    for spans, cells in ((raster.near_spans(polygons, 5.0, "id"), raster.near_edges(polygons, 5.0, "id")), (raster.row_spans(polygons, "id"), raster.rasterize(polygons, "id"))):
+        words = raster.packed_spans(spans, "id").collect()
+        got = {(r.id, r.word * raster.WORD + bit, r.n) for r in words for bit in range(raster.WORD) if r.cells >> bit & 1}
+        assert got == {(r.id, r.e, r.n) for r in cells.collect()} and len(got) > 5_000
+        assert len(words) < len(got)
