@@ -629,3 +629,23 @@ def test_large_groups_compare_like_sizes_only(spark, monkeypatch):
     assert got == want and len({r["b"] for r in want}) > 2
     # without classes each of 56 members would travel once for each of 4 parts
     assert "class" in simhash._verified(rows, members, 5, 0.8)._jdf.queryExecution().analyzed().toString()
+
+
+def test_texts_that_share_a_line_are_no_candidates(spark):
+    """Sketches of sets of a known size differ by no more than the sizes allow, so one common line joins no group."""
+    rng = np.random.default_rng(5)
+    bounds = simhash._apart(simhash.SKETCH_RADIUS)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        pool = np.unique(rng.integers(0, 2**63, 3 * n, dtype=np.uint64))
+        rng.shuffle(pool)
+        gone, new = int(rng.integers(0, n // 9 + 1)), int(rng.integers(0, n // 9 + 1))
+        x, y = np.sort(pool[:n]), np.sort(np.r_[pool[gone:n], pool[n : n + new]])
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            apart = int(np.bitwise_count(simhash.sketch(x)[1] ^ simhash.sketch(y)[1]).sum())
+            assert apart <= bounds[min(len(x), 511), min(len(y), 511)]
+    line = "this one line of twelve words stands in very many short texts"
+    rows = [(i, 0, line + " " + " ".join(f"w{k}" for k in rng.integers(0, 10**9, 20))) for i in range(200)]
+    rows.append((200, 0, rows[0][2] + " more"))
+    nodes = simhash.sketches(spark.createDataFrame(rows, "key long, twin long, text string"), 5, 0.8).withColumnRenamed("key", "node").drop("print")
+    assert {(r.a, r.b) for r in simhash.grid_links(nodes, simhash.SKETCH_RADIUS).collect()} == {(200, 0)}
