@@ -225,3 +225,28 @@ def test_words_of_a_are_the_librarys(text):
 def test_decode_of_null_and_unknown(spark):
     rows = spark.createDataFrame([([0, 60_000, 1],), (None,), ([],)], "ids array<int>").select(bpe.decode(F.col("ids")).alias("b")).collect()
     assert [r.b if r.b is None else bytes(r.b) for r in rows] == [b"!\"", None, b""]
+
+
+def test_events_of_ids_are_counted_as_they_come():
+    """Contexts and events of a chunk by plain loops, with blocks of two sizes and ids too rare for a number."""
+    from vantage.llm import rangecoder as R
+
+    rng = np.random.default_rng(3)
+    ids = np.r_[np.minimum(rng.geometric(0.05, R.BLOCK + 700), 60), np.arange(900, 1000), np.tile([5, 6, 7, 8, 9], 40), 3].astype(np.uint32)
+    sizes, (head, line) = R._sizes(len(ids)), R.numbered(ids)
+    assert len(sizes) == 2 and sizes[0] == sizes[1] + 1 and head.rare
+    kinds, known, wanted = head.all_kinds, len(head.ids), np.zeros(R.CONTEXTS * R.EVENTS, np.int64)
+    for part in (line[: sizes[0]], line[sizes[0] :]):
+        tables = [[(0, 0)] * R.SLOTS for _ in range(2)]
+        one = two = kind = 0
+        for now in part.tolist():
+            spots = [one * 40503 >> 4 & R.SLOTS - 1, one * 40503 + two * 30011 >> 3 & R.SLOTS - 1]
+            (guess1, sure1), (guess2, sure2) = (t[s] for t, s in zip(tables, spots))
+            event = R.SECOND if guess2 == now != known else R.FIRST if guess1 == now != known else int(kinds[now])
+            wanted[((sure2 << 2 | sure1) * R.CLASSES + kind) * R.EVENTS + event] += 1
+            for table, spot, guess, sure in zip(tables, spots, (guess1, guess2), (sure1, sure2)):
+                table[spot] = (guess, min(3, sure + 1)) if guess == now else (guess, sure - 1) if sure else (now, 0)
+            two, one, kind = one, now, int(kinds[now])
+    head, blocks = R.encode_blocks(ids)
+    assert (R.Head.unpacked(head).events == R._rough(wanted)).all()
+    assert (R.decode_blocks(head, blocks, len(ids)) == ids).all()

@@ -1,14 +1,13 @@
-"""An adaptive context-mixing range coder for token ids, many blocks at a time.
+"""A range coder for token ids, many blocks at a time.
 
 An id is coded as one of sixteen events and, where that leaves it open, a place inside a class. The
 events are: the id that the last two ids predict (order 2), the id that the last one predicts
-(order 1), or one of fourteen classes, into which a chunk's ids fall by their neighbours. Two
-distributions over the events are mixed by learned weights: one learned by how sure the two
-predictions have been (order 0 but for that), one by the last two ids' classes (order 2). Inside a class ids have the chunk's frequencies; the last class is for ids
-too rare for that, whose bits are sent.
+(order 1), or one of fourteen classes, into which a chunk's ids fall by their neighbours. What an id
+predicts is learned block by block; events have the chunk's frequencies for each class of the last
+id and each way in which the two predictions have been sure. Inside a class ids have the chunk's
+frequencies; the last class is for ids too rare for that, whose bits are sent.
 
-The ids, classes and frequencies are in the chunk's head, with the first state of the distributions;
-each block starts from that state and learns for itself, so it needs the head and no other block.
+The ids, classes and frequencies are in the chunk's head; a block needs the head and no other block.
 Blocks are coded side by side: a numpy operation takes one step in all of them. The model computes
 with integers, the coder with whole numbers below 2^53, so results are the same everywhere.
 """
@@ -25,13 +24,13 @@ BLOCK, SLOTS = 2048, 128
 #: Events: classes (the last for rare ids), the order-1 id, the order-2 id.
 EVENTS, CLASSES, RARE, FIRST, SECOND = 16, 14, 13, 14, 15
 #: Ids with a frequency of their own; bits of shares of events and of ids inside a class.
-KNOWN, EVENT_BITS, INSIDE_BITS = 1 << 14, 15, 15
-#: How fast distributions and weights learn, and every how many steps weights do.
-RATE, WEIGHT_RATE, EVERY = 6, 3, 16
+KNOWN, EVENT_BITS, INSIDE_BITS = 1 << 14, 12, 15
+#: Contexts of events: 16 ways in which two predictions have been sure, times classes.
+CONTEXTS = 16 * CLASSES
+#: Steps whose shares are looked up at once.
+STEPS = 64
 _WHOLE = 1 << EVENT_BITS
 _LEAST, _WORD = 2.0**32, 2.0**16
-#: Share (of 256) that the events of predicted ids have at first, by how sure they have been.
-_SURE = np.array([4, 40, 110, 180])
 
 
 def _rough(counts: np.ndarray) -> np.ndarray:
@@ -59,7 +58,7 @@ class Head:
     ids: np.ndarray  # known ids by number
     kinds: np.ndarray  # their classes
     rough: np.ndarray  # their counts, as ``_rough`` gives them
-    follow: np.ndarray  # how often a class follows two classes, as ``_rough`` gives it
+    events: np.ndarray  # how often each event comes in each context, as ``_rough`` gives it
     bits: int  # of the largest id
     rare: bool  # whether there are ids without a number
 
@@ -78,7 +77,7 @@ class Head:
                 self.slots[kind << INSIDE_BITS : kind + 1 << INSIDE_BITS] = np.repeat(own, share)
 
     def packed(self) -> bytes:
-        data = zlib.compress(b"".join(x.tobytes() for x in (self.follow, self.ids.astype("<u4"), self.kinds, self.rough)))
+        data = zlib.compress(b"".join(x.tobytes() for x in (self.events, self.ids.astype("<u4"), self.kinds, self.rough)))
         data = bytes([self.bits, self.rare]) + len(self.ids).to_bytes(4, "little") + data
         return zlib.crc32(data).to_bytes(4, "little") + data
 
@@ -87,9 +86,9 @@ class Head:
         if len(data) < 10 or zlib.crc32(data[4:]) != int.from_bytes(data[:4], "little"):
             raise ValueError("the head of a chunk is damaged")
         n, raw = int.from_bytes(data[6:10], "little"), zlib.decompress(data[10:])
-        at = np.cumsum([CLASSES**3, 4 * n, n])
-        follow, ids, kinds, rough = (np.frombuffer(x, d) for x, d in zip((raw[: at[0]], raw[at[0] : at[1]], raw[at[1] : at[2]], raw[at[2] :]), ("u1", "<u4", "u1", "u1")))
-        return Head(ids.astype(np.int64), kinds, rough, follow, data[4], bool(data[5]))
+        at = np.cumsum([CONTEXTS * EVENTS, 4 * n, n])
+        events, ids, kinds, rough = (np.frombuffer(x, d) for x, d in zip((raw[: at[0]], raw[at[0] : at[1]], raw[at[1] : at[2]], raw[at[2] :]), ("u1", "<u4", "u1", "u1")))
+        return Head(ids.astype(np.int64), kinds, rough, events, data[4], bool(data[5]))
 
 
 def _classes(line: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -113,7 +112,7 @@ def _classes(line: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def numbered(ids: np.ndarray) -> tuple[Head, np.ndarray]:
-    """The head of a chunk and its ids as numbers, most frequent first; all rare ids have the last number."""
+    """The head of a chunk, but for its events, and its ids as numbers, most frequent first; all rare ids have the last number."""
     top = int(ids.max())
     if top < 1 << 20:
         counts = np.bincount(ids)
@@ -128,66 +127,92 @@ def numbered(ids: np.ndarray) -> tuple[Head, np.ndarray]:
     number[values[order] if place is ids else order] = np.arange(known)
     line = number.take(place)
     kinds = (_classes(line, counts[order]) if known else np.zeros(0)).astype(np.uint8)
-    own = np.append(kinds, np.uint8(RARE)).astype(np.int16).take(line)
-    follow = np.bincount((own[:-2] * np.int16(CLASSES) + own[1:-1]) * np.int16(CLASSES) + own[2:], minlength=CLASSES**3)
-    return Head(values[order].astype(np.int64), kinds, _rough(counts[order]), _rough(follow), top.bit_length(), known < len(values)), line
-
-
-def _cumulated(shares: np.ndarray) -> np.ndarray:
-    return np.cumsum(shares, -1) - shares
-
-
-def _first_states(head: Head) -> list[np.ndarray]:
-    """Cumulated shares of the events in each context of both distributions, as every block starts."""
-    counts = _SMOOTH[head.follow].reshape((CLASSES,) * 3)
-
-    def events(classes: np.ndarray, sure: np.ndarray) -> np.ndarray:
-        """``sure``: shares of 256 for the predicted ids."""
-        classes = _shares(classes, _WHOLE >> 1) * (256 - sure.sum(-1, keepdims=True)) >> 8
-        return _cumulated(_shares(np.concatenate([classes + 1, np.broadcast_to(sure * (_WHOLE >> 9), (*classes.shape[:-1], 2))], -1), _WHOLE))
-
-    both = np.stack(np.broadcast_arrays(_SURE[None, :], _SURE[:, None]), -1).reshape(16, 2) * 2 // 3
-    some = np.array([16, 16])
-    order0 = events(np.broadcast_to(counts.sum((0, 1)), (16, CLASSES)), both)
-    order2 = events(counts * 8 + counts.sum(0) * 8 // counts.sum((0, 2))[:, None] + 1, some).reshape(-1, EVENTS)
-    return [order0, order2]
+    return Head(values[order].astype(np.int64), kinds, _rough(counts[order]), np.zeros(CONTEXTS * EVENTS, np.uint8), top.bit_length(), known < len(values)), line
 
 
 _TOP = _WHOLE - 1
-_NEXT = np.where(np.arange(EVENTS)[None, :] > np.arange(EVENTS)[:, None], _TOP, 0).astype(np.int16)
-#: Mixing: shares in 10 bits times weights that add up to 31; what is left to 2^15 is dealt out evenly.
-_CUT, _WEIGHTS = 5, 31
-_FLOOR = (np.arange(EVENTS) * ((_WHOLE - _WEIGHTS * (_TOP >> _CUT)) // EVENTS)).astype(np.int16)
-#: A prediction's sureness after a miss (first four) or a hit, as a step.
-_STEP = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int32)
-_ROW = np.dtype((np.void, 2 * EVENTS))
-
-
-def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
-    """Codes ``line`` (numbers, a row for each step; ``raw``: their ids), or decodes ``words``, to ids.
+#: Which of a coded number and two guesses an event means.
+_MEANT = np.maximum(np.arange(EVENTS) - RARE, 0)
+
+
+class _Guesses:
+    """What the last id (first half of the arrays) and the last two predict in each block, and how sure that has been (0 to 3)."""
+
+    def __init__(self, lanes: int):
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # number * 4 + how sure
+        self.lane = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
+        self.one = self.two = np.zeros(lanes, np.int32)
+        self.kind = np.zeros(lanes, np.uint8)
+
+    def first(self, n: int) -> None:
+        """Goes on with the first ``n`` blocks."""
+        self.lane, self.one, self.two, self.kind = self.lane[:, :n], self.one[:n], self.two[:n], self.kind[:n]
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers that one id predicts and that two do (2, n), and the contexts of events, times EVENTS."""
+        hashed = self.one * np.int32(40503)
+        slot = np.empty(self.lane.shape, np.int32)
+        np.right_shift(hashed, 4, out=slot[0])
+        hashed += self.two * np.int32(30011)
+        np.right_shift(hashed, 3, out=slot[1])
+        slot &= SLOTS - 1
+        self.spots = self.lane + slot
+        self.entries = self.table.take(self.spots)
+        self.sure = (self.entries & 3).astype(np.uint8)
+        self.guesses = self.entries >> 2
+        ways = (self.sure[1] << 2 | self.sure[0]) * np.uint8(CLASSES) + self.kind
+        return self.guesses, ways.astype(np.int64) << 4
+
+    def learn(self, now: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
+        """``now``, of class ``kind``, came; ``hit``: whether that was guessed (2, n)."""
+        some, entry = self.sure != 0, self.entries
+        entry += hit & (self.sure != 3)
+        entry -= some > hit
+        np.copyto(entry, now << 2, where=~(some | hit))
+        self.table[self.spots] = entry
+        self.two, self.one, self.kind = self.one, now, kind
+
+
+def _places(head: Head, sizes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The context and event of each number: context * EVENTS + event; ``line`` has a row for each step."""
+    out, guesses, known = np.zeros(line.shape, np.int16), _Guesses(len(sizes)), len(head.ids)
+    kinds = head.all_kinds.astype(np.uint8).take(line)
+    for t, row in enumerate(line):
+        n = len(sizes) if t < sizes[-1] else int((sizes > t).sum())
+        if n < len(guesses.one):
+            guesses.first(n)
+        guess, context = guesses.asked()
+        now, kind = row[:n].astype(np.int32), kinds[t, :n]
+        hit = guess == now
+        told = hit & (now != known) if head.rare else hit
+        event = np.maximum(kind, np.maximum(told[0].view(np.uint8) * np.uint8(FIRST), told[1].view(np.uint8) * np.uint8(SECOND)))
+        out[t, :n] = context + event
+        guesses.learn(now, kind, hit)
+    return out
+
+
+def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray | None, places: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
+    """Codes ``line`` (numbers, a row for each step; ``raw``: their ids; ``places``: their events), or decodes ``words``, to ids.
 
     A column is a block; sizes differ by one at most and don't rise.
     """
     lanes, steps = len(sizes), int(sizes[0])
     coding, known = line is not None, len(head.ids)
-    states = [t.astype(np.int16) for t in _first_states(head)]
-    tables = [np.tile(t, (lanes, 1)).view(_ROW).reshape(-1) for t in states]
-    bases = [np.arange(lanes) * len(t) for t in states]
-    guesses = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # number * 4 + how sure
-    wide_weights = [np.repeat(np.array([w], np.int16), lanes * EVENTS).reshape(lanes, EVENTS) for w in (15, 16)]
-    weight = np.full(lanes, _WEIGHTS * 128, np.int32)  # of the first; the other has the rest
-    floor = np.tile(_FLOOR, (lanes, 1))
-    room = np.zeros(lanes * EVENTS + 1, np.int16)
+    shares = _shares(_SMOOTH[head.events].reshape(CONTEXTS, EVENTS), _WHOLE)
+    starts = (np.cumsum(shares, -1) - shares).reshape(-1).astype(np.float64)
     low, span = np.zeros(lanes), np.full(lanes, _LEAST * _WORD)
     at = np.arange(lanes)  # the next word of each block, in rows of words of all blocks
     if coding:
         stream = np.zeros((4 * steps + 8) * lanes, np.int32)
         found = stream[:0]
     else:
-        stream, found = words.reshape(-1), np.zeros((steps, lanes), np.uint32)
+        stream, found, guesses = words.reshape(-1), np.zeros((steps, lanes), np.uint32), _Guesses(lanes)
+        extra = np.zeros((steps, lanes), np.uint32) if head.rare else None
         code = words[0] * _LEAST + words[1] * _WORD + words[2]
         at += 3 * lanes
-    kinds, ids = head.all_kinds, np.append(head.ids, 0).astype(np.uint32)
+        events = np.repeat(np.tile(np.arange(EVENTS, dtype=np.uint8), CONTEXTS), shares.reshape(-1))
+    shares = shares.reshape(-1).astype(np.float64)
+    kinds, lane = head.all_kinds.astype(np.uint8), np.arange(lanes)
 
     def settle(moved: np.ndarray) -> None:
         """Shifts words out of or into these lanes until their spans are large again."""
@@ -214,96 +239,54 @@ def _run(head: Head, sizes: np.ndarray, line: np.ndarray | None, raw: np.ndarray
             else:
                 value = np.minimum((code[rare] / inner).astype(np.int64), (1 << wide) - 1)
                 code[rare] -= inner * value
-                found[t, rare] += (value << shift).astype(np.uint32)
+                extra[t, rare] += (value << shift).astype(np.uint32)
             span[rare] = inner
             settle(rare[inner < _LEAST])
 
     n = lanes
-    lane, places = np.arange(lanes) * SLOTS, np.arange(lanes) * EVENTS
-    one = two = kind_one = kind_two = np.zeros(lanes, np.int64)
     for t in range(steps):
         if t >= sizes[-1] and n == lanes:  # the last step of the longer blocks
             n = int((sizes > t).sum())
-            one, two, kind_one, kind_two, lane, places, floor = (x[:n] for x in (one, two, kind_one, kind_two, lane, places, floor))
-            bases, wide_weights = [b[:n] for b in bases], [w[:n] for w in wide_weights]
-        hashed = one * 40503
-        spots = [lane + (hashed >> 4 & SLOTS - 1), lane + (hashed + two * 30011 >> 3 & SLOTS - 1)]
-        entries = [table.take(spot) for table, spot in zip(guesses, spots)]
-        sure = [e & 3 for e in entries]
-        guess1, guess2 = entries[0] >> 2, entries[1] >> 2
-        rows = [bases[0] + (sure[1] << 2 | sure[0]), bases[1] + (kind_two * CLASSES + kind_one)]
-        own = [table.take(row).view(np.int16).reshape(n, EVENTS) for table, row in zip(tables, rows)]
-        mixed = np.multiply(own[0] >> _CUT, wide_weights[0], out=room[: n * EVENTS].reshape(n, EVENTS))
-        part = own[1] >> _CUT
-        part *= wide_weights[1]
-        mixed += part
-        mixed += floor
+            if not coding:
+                guesses.first(n)
         unit = np.floor(span[:n] * (1.0 / _WHOLE))
         if coding:
-            now = line[t, :n].astype(np.int64)
-            kind = kinds.take(now)
-            event = kind.copy()
-            for which, guess in ((FIRST, guess1), (SECOND, guess2)):
-                hit = guess == now
-                if head.rare:
-                    hit &= now != known
-                np.copyto(event, which, where=hit)
+            i = t % STEPS
+            if not i:
+                some = places[t : t + STEPS]
+                event = some & EVENTS - 1
+                number = line[t : t + STEPS].astype(np.int64)
+                np.copyto(number, known + 1, where=event >= RARE)
+                some_starts, some_shares, some_begins, some_insides = starts.take(some), shares.take(some), head.begin.take(number), head.share.take(number)
+                rare = event == RARE
+                some_rare = rare.any(axis=1).tolist()
+            inner = np.floor(unit * some_shares[i, :n] * (1.0 / (1 << INSIDE_BITS)))
+            low[:n] += unit * some_starts[i, :n] + inner * some_begins[i, :n]
+            size = inner * some_insides[i, :n]
+            here = np.flatnonzero(rare[i, :n]) if some_rare[i] and head.rare else ()
         else:
-            value = np.minimum(code[:n] / unit, _TOP).astype(np.int16)
-            under = (mixed <= value[:, None]).view(np.uint64)
-            event = (np.bitwise_count(under[:, 0]) + np.bitwise_count(under[:, 1])).astype(np.int64)
-            event -= 1
-        place = places + event
-        after = place + 1
-        start = room.take(place)
-        share = (room.take(after) - start) & _TOP
-        first, size = unit * start, unit * share
-        inner = np.floor(size * (1.0 / (1 << INSIDE_BITS)))
-        if coding:
-            number = now.copy()
-            np.copyto(number, known + 1, where=event >= RARE)
-            first += inner * head.begin.take(number)
-            low[:n] += first
-        else:
-            rest = code[:n] - first
+            guess, context = guesses.asked()
+            value = np.minimum(code[:n] / unit, _TOP).astype(np.int64)
+            event = events.take((context << EVENT_BITS - 4) + value)
+            place = context + event
+            inner = np.floor(unit * shares.take(place) * (1.0 / (1 << INSIDE_BITS)))
+            rest = code[:n] - unit * starts.take(place)
             slot = np.minimum(rest / inner, (1 << INSIDE_BITS) - 1).astype(np.int64)
-            number = head.slots.take((event << INSIDE_BITS) + slot).astype(np.int64)
-            now = number.copy()
-            for which, guess in ((FIRST, guess1), (SECOND, guess2)):
-                np.copyto(now, guess, where=event == which)
+            slot += event.astype(np.int64) << INSIDE_BITS
+            number = head.slots.take(slot)
             code[:n] = rest - inner * head.begin.take(number)
-            found[t, :n] = ids.take(now)
-            kind = kinds.take(now)
-        size = inner * head.share.take(number)
+            now = np.concatenate([number, guess[0], guess[1]], dtype=np.int32, casting="unsafe").take(_MEANT.take(event) * n + lane[:n])
+            found[t, :n] = now
+            guesses.learn(now, kinds.take(now), guess == now)
+            size = inner * head.share.take(number)
+            here = np.flatnonzero(event == RARE) if head.rare else ()
         span[:n] = size
         settle(np.flatnonzero(size < _LEAST))
-        if head.rare:
-            rare = np.flatnonzero(event == RARE)
-            if len(rare):
-                rare_ids(t, rare)
-        if t % EVERY == 0:
-            chances = []
-            for part in own:
-                cut = np.append(part.reshape(-1), np.int16(0))
-                chances.append(((cut.take(after) - cut.take(place)) & _TOP).astype(np.int32) + 8)
-            weight[:n] += ((chances[0] * (_WEIGHTS << 8) // (chances[0] + chances[1])) - weight[:n]) >> WEIGHT_RATE
-            whole = (weight[:n] >> 8).astype(np.int16)
-            for wide, one_weight in zip(wide_weights, (whole, _WEIGHTS - whole)):
-                wide[:] = one_weight[:, None]
-        goal = _NEXT.take(event, axis=0)
-        for table, row, part in zip(tables, rows, own):
-            change = goal - part
-            change >>= RATE
-            part += change
-            table[row] = part.view(_ROW).reshape(-1)
-        for table, spot, entry, was, guess in zip(guesses, spots, entries, sure, (guess1, guess2)):
-            was += (guess == now) * np.int32(4)
-            entry += _STEP.take(was)
-            np.copyto(entry, now << 2, where=was == 0, casting="unsafe")
-            table[spot] = entry
-        kind_two, kind_one, two, one = kind_one, kind, one, now
+        if len(here):
+            rare_ids(t, here)
     if not coding:
-        return found, []
+        found = np.append(head.ids, 0).astype(np.uint32).take(found)
+        return found + extra if head.rare else found, []
     for _ in range(3):
         high = np.floor(low * (1.0 / _LEAST))
         stream[at] = high
@@ -329,14 +312,18 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
         return b"", []
     head, line = numbered(ids)
     sizes = _sizes(len(ids))
-    inside = np.arange(sizes[0])[None, :] < sizes[:, None]
+    longer, least = int((sizes > sizes[-1]).sum()), int(sizes[-1])
 
     def by_step(values: np.ndarray, kind: type) -> np.ndarray:
-        table = np.zeros(inside.shape, kind)
-        table[inside] = values
-        return np.ascontiguousarray(table.T)
-
-    coded = _run(head, sizes, by_step(line, np.uint16), by_step(ids, np.uint32) if head.rare else None, None)[1]
+        table, cut = np.zeros((sizes[0], len(sizes)), kind), longer * int(sizes[0])
+        table[:, :longer] = values[:cut].reshape(longer, int(sizes[0])).T
+        table[:least, longer:] = values[cut:].reshape(len(sizes) - longer, least).T
+        return table
+
+    line = by_step(line, np.uint16)
+    places = _places(head, sizes, line)
+    head.events = _rough(np.bincount(places[:least].reshape(-1), minlength=CONTEXTS * EVENTS) + np.bincount(places[least:, :longer].reshape(-1), minlength=CONTEXTS * EVENTS))
+    coded = _run(head, sizes, line, by_step(ids, np.uint32) if head.rare else None, places, None)[1]
     return head.packed(), [zlib.crc32(data).to_bytes(4, "little") + data for data in coded]
 
 
@@ -350,4 +337,6 @@ def decode_blocks(head: bytes, blocks: list[bytes], tokens: int) -> np.ndarray:
     words = np.zeros((len(blocks), max(map(len, blocks)) // 2 + 8), np.uint16)
     for row, data in zip(words, blocks):
         row[: len(data) // 2 - 2] = np.frombuffer(data, "<u2", offset=4)
-    return _run(Head.unpacked(head), sizes, None, None, words.T.astype(np.float64, order="C"))[0].T[np.arange(sizes[0])[None, :] < sizes[:, None]]
+    found = _run(Head.unpacked(head), sizes, None, None, None, words.T.astype(np.float64, order="C"))[0]
+    longer = int((sizes > sizes[-1]).sum())
+    return np.concatenate([found[:, :longer].T.reshape(-1), found[: sizes[-1], longer:].T.reshape(-1)])

@@ -13,6 +13,8 @@ END = 2
 #: Texts of these characters need no Unicode rules: printable ASCII, white space, Latin-1 letters.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Marks of one piece, if they stand together after a word (an apostrophe may begin one).
+_MARKS = "!#$%&()*+,-./:;=?@_~"
 #: Runs between blanks that a worker remembers, about 220 bytes each.
 MAX_WORDS = 500_000
 #: Characters of the longest of them.
@@ -36,8 +38,8 @@ class WordIds(dict):
     def __missing__(self, run: str) -> bytes:
         if run.isalpha():
             ids = self.merged(run if run.isascii() else run.translate(self.alphabet))
-        elif run[-1] in ".,;:!?" and run[:-1].isalpha():  # a word and a mark, which may have been seen
-            ids = self[run[:-1]] + self[run[-1]]
+        elif (word := run.rstrip(_MARKS)) != run and word.isalpha():  # a word and marks, which may have been seen
+            ids = self[word] + self[run[len(word) :]]
         else:
             ids = b"".join([self.merged(p.translate(self.alphabet)) for p in _PIECES.findall(run)])
         if len(run) <= MAX_LENGTH:
