@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs token ids into sequences, a row for each piece; reads doc_id and text only."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, keep_words=False)
 
 
 STAGES = [

@@ -250,3 +250,19 @@ def test_events_of_ids_are_counted_as_they_come():
     head, blocks = R.encode_blocks(ids)
     assert (R.Head.unpacked(head).events == R._rough(wanted)).all()
     assert (R.decode_blocks(head, blocks, len(ids)) == ids).all()
+
+
+def test_packing_leaves_no_words_in_its_worker(spark):
+    """Workers live on through the other stages of a pipeline, whose memory the words would take."""
+    from vantage.llm import packing, tokens
+
+    docs = spark.createDataFrame([(i, f"word{i} and others") for i in range(50)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"rows": [n], "held": [sum(map(len, tokens._known.values()))]})
+
+    row = packing.pack_documents(docs, with_ids=False, keep_words=False).mapInArrow(held, "rows long, held long").first()
+    assert row.rows >= 50 and row.held == 0

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.tokens import END, encode, tokenizer_path
+from vantage.llm.tokens import END, encode, forget, tokenizer_path
 
 
 #: Share of a sequence that whole pieces of a class may leave empty.
@@ -94,14 +94,15 @@ def pieces(tokens: int, capacity: int) -> Iterator[tuple[int, int]]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, with_ids: bool = True, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, with_ids: bool = True, path: str | None = None, key: str = "doc_id", text: str = "text", keep_words: bool = True) -> DataFrame:
     """One row per piece: where it is in its document, its checksum, and its place in a sequence.
 
     A document is its ids and the end id, so a null or empty text is one token. ``with_ids`` adds
     the piece's ids. Sequences have up to ``capacity`` tokens, and are to be padded to that. Rows
     with one key, or with none, are packed each for itself; other columns are not read, and a table
     without rows gives none. Nothing is shuffled: sequences hold pieces of one input partition, so the
-    input has to be a table that is read, whose partitions are the same in each attempt.
+    input has to be a table that is read, whose partitions are the same in each attempt. Unless
+    ``keep_words``, a task frees the words that its worker remembers, which costs the next one their merging.
     """
     path = path or tokenizer_path()
     schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
@@ -127,6 +128,8 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, with_ids: bool = True,
                 if len(placed) >= 4096:
                     yield batch_of(placed)
                     placed = []
+        if not keep_words:
+            forget(path)
         placed.extend(bins.rest())
         yield batch_of(placed)
 

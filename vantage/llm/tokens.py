@@ -81,3 +81,10 @@ def encode(text: str | None, path: str, specials_as_text: bool = False) -> bytes
     if len(words) > MAX_WORDS:
         words.clear()
     return b"".join(map(words.__getitem__, text.lower().split()))
+
+
+def forget(path: str) -> None:
+    """Frees the runs that this worker remembers, as it goes on to tasks of other stages."""
+    for (known, _), words in _known.items():
+        if known == path:
+            words.clear()
