@@ -1,6 +1,7 @@
 """Plans that hold on larger tables: work dealt out before it grows, no broadcast of exploded rows, few shuffles."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -182,3 +183,28 @@ def test_masks_are_bits_of_runs(spark):
         got = {(r.id, r.word * raster.WORD + bit, r.n) for r in words for bit in range(raster.WORD) if r.cells >> bit & 1}
         assert got == {(r.id, r.e, r.n) for r in cells.collect()} and len(got) > 5_000
         assert len(words) < len(got)
+
+
+def test_roofs_meet_squares_of_elevation(spark):
+    rng = np.random.default_rng(21)
+    shapes = [rng.uniform(-100, 100, (rng.integers(3, 7), 2)).round(int(rng.integers(0, 3))) for _ in range(6)] + [np.array([[-62, -1.5], [62, -1.5], [62, 1], [-62, 1]]), np.array([[5.5, 3.5]] * 3)]
+    rings = [(f"r{i}", [[{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]]) for i, p in enumerate(shapes)] + [("none", None)]
+    polygons = spark.createDataFrame(rings, "bin string, rings array<array<struct<x:double,y:double>>>")
+    tall = {(e, n): int(h) for (e, n), h in zip(itertools.product(range(-90, 120), range(-100, 62)), rng.choice([0, 100, 130, 900], 210 * 162))}
+    found = rooftop.heightmap(polygons, spark.createDataFrame([(*k, h) for k, h in tall.items()], "e int, n int, h_in int"))
+    assert not re.search(r"hashpartitioning\([^)]*\be#", plan(found))  # no cell is shuffled
+    got = {(r.bin, r.e, r.n): (r["mask"], r.h_in, r.sw_e, r.sw_n) for r in found.collect()}
+    moved = spark.createDataFrame([(k, [[{"x": p["x"] + 0.5, "y": p["y"] + 0.5} for p in shape[0]]]) for k, shape in rings[:-1]], polygons.schema)
+    inside = raster.rasterize(moved, "bin").unionByName(raster.near_edges(moved, 0.5, "bin", touching=False))
+    masks = {(r.bin, r.e, r.n) for r in inside.collect()}
+    want = {}
+    for i, p in enumerate(shapes):
+        (west, south), (east, north) = np.floor(p.min(0)).astype(int), np.ceil(p.max(0)).astype(int)
+        box = {(e, n) for e in range(west, east) for n in range(south, north)}
+        own = {c: tall.get(c, 0) for c in box if (f"r{i}", *c) in masks}
+        for e, n in box:
+            near = [own[c] for c in itertools.product((e - 1, e, e + 1), (n - 1, n, n + 1)) if c in own and c != (e, n)]
+            h = own.get((e, n), 0)
+            mean = sum(near) / len(near) if near else h
+            want[f"r{i}", e, n] = ((e, n) in own, int(mean + 0.5) if (e, n) in own and abs(h - mean) > 180 else h, west, south)
+    assert got == want and len(got) > 50_000
