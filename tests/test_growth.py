@@ -208,3 +208,40 @@ def test_roofs_meet_squares_of_elevation(spark):
             mean = sum(near) / len(near) if near else h
             want[f"r{i}", e, n] = ((e, n) in own, int(mean + 0.5) if (e, n) in own and abs(h - mean) > 180 else h, west, south)
     assert got == want and len(got) > 50_000
+
+
+def test_roof_samples_stay_with_their_roof(spark, tables):
+    for query in (catalog.rooftop_samples, catalog.sample_grid, catalog.cliff_points, catalog.cull_near_perimeter):
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\), (\w+)", plan(query(spark, tables)))
+        assert dealt and all(keys.startswith("obstruction_id#") and by == "REPARTITION_BY_NUM" for keys, by in dealt)  # boxes alone
+
+
+def test_edge_points_of_winding_roofs(spark):
+    rng = np.random.default_rng(23)
+    shapes = {f"r{i}": [rng.uniform(-30, 30, (rng.integers(3, 6), 2)).round(int(rng.integers(0, 3))) for _ in range(rng.integers(1, 4))] for i in range(8)}
+    shapes["square"] = [np.array([[0, 0], [12, 0], [12, 12], [0, 12]])] * 2  # two rings of the same points
+    closed = {b: [np.vstack([p, p[:1]]) for p in rings] for b, rings in shapes.items()}
+    polygons = spark.createDataFrame([(b, [[{"x": float(x), "y": float(y)} for x, y in p] for p in rings]) for b, rings in closed.items()], "bin string, rings array<array<struct<x:double,y:double>>>")
+    cells = {(b, int(e), int(n)): (int(h), bool(m)) for b in [*shapes, "alone"] for (e, n), h, m in zip(rng.integers(-28, 26, (1500, 2)), rng.integers(0, 999, 1500), rng.random(1500) < 0.4)}
+    order = [(0, 0), *((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)]
+    want = []
+    for b, rings in closed.items():
+        (west, south), (east, north) = (f([c[1:] for c in cells if c[0] == b], axis=0) for f in (np.min, np.max))
+        for ring, p in enumerate(rings):
+            until = np.cumsum(np.hypot(*np.diff(p, axis=0).T))
+            for step in range(int(np.ceil(until[-1] / 2.5))):
+                i = int(np.searchsorted(until, step * 2.5, "right"))
+                t = (step * 2.5 - (until[i - 1] if i else 0)) / (until[i] - (until[i - 1] if i else 0))
+                x, y = p[i] + t * (p[i + 1] - p[i])
+                e, n = np.clip(np.floor(x), west, east), np.clip(np.floor(y), south, north)
+                seen = [cells[b, e + k, n + m] for k, m in order if cells.get((b, e + k, n + m), (0, False))[1]]
+                want += [(b, ring, step, seen[0][0])] if seen else []
+    held = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "bin string, e int, n int, h_in int, mask boolean")
+    edge = rooftop.perimeter_samples(polygons, held, 2.5)
+    rows = edge.collect()
+    assert sorted((r.bin, r.ring, r.step, r.h_in) for r in rows) == sorted(want) and len(want) > 300
+    points = held.where("h_in % 8 = 0").select("bin", F.col("e").cast("double").alias("x"), (F.col("n") + 0.5).alias("y"), "h_in")
+    points = points.unionByName(points.limit(3).withColumn("x", F.lit(None).cast("double"))).unionByName(points.limit(3).withColumn("bin", F.lit(None).cast("string")))
+    for radius in (0.0, 1.25, 7.0):
+        far = [p for p in points.collect() if p.x is None or all(r.bin != p.bin or (r.x - p.x) ** 2 + (r.y - p.y) ** 2 >= radius**2 for r in rows)]
+        assert sorted(map(str, rooftop.cull_near(points, edge, radius).collect())) == sorted(map(str, far))
